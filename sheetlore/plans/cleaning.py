@@ -19,11 +19,11 @@ def _(t):
     return op.request_batches(t.detections, 40)
 
 
-_RESPONSES = """SELECT p_partkey AS id, CASE p_partkey % 6
+_RESPONSES = """CASE p_partkey % 6
    WHEN 0 THEN '[{"original": "' || p_name || '", "cleaned": "' || upper(p_name) || '", "feature_type": "river", "confidence": 0.9}]'
    WHEN 1 THEN '```json' || chr(10) || '[{"original": "a' || p_size || '", "cleaned": "A", "feature_type": "lake", "confidence": 0.5}, {"original": "b", "cleaned": "B"}]' || chr(10) || '```'
    WHEN 2 THEN '{"original": "' || p_name || '", "cleaned": "X"}' WHEN 3 THEN 'no list here' WHEN 4 THEN '[]'
-   ELSE '  [{"original": "' || p_name || '", "cleaned": "c", "feature_type": "road", "confidence": 1}]  ' END AS payload FROM """
+   ELSE '  [{"original": "' || p_name || '", "cleaned": "c", "feature_type": "road", "confidence": 1}]  ' END AS payload"""
 
 
 @query(
@@ -34,7 +34,7 @@ _RESPONSES = """SELECT p_partkey AS id, CASE p_partkey % 6
        UNION ALL SELECT p_partkey, p_name, 'c', 'road', 1.0 FROM part WHERE p_partkey % 6 = 5""",
 )
 def _(t):
-    responses = t.spark.sql(_RESPONSES + "{part}", part=t.part)
+    responses = t.part.selectExpr("p_partkey AS id", _RESPONSES)
     return op.response_items(responses)
 
 
