@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlore.operators.detections import batches
+from sheetlore.session import small_side
 
 # ---- requests and responses --------------------------------------------------------------
 
@@ -34,9 +35,10 @@ def response_items(responses: DataFrame, payload: str = "payload") -> DataFrame:
 
 # ---- rule classifier ---------------------------------------------------------------------
 
-# Label patterns and words of each class, in the order they are tried.
+# Label patterns and words of each class, in the order they are tried; all are
+# matched against lower-cased labels.
 NOISE_PATTERNS = (
-    r"^\d+$", r"^\d+\.\d+$", r"^[A-Z]$", r"^[A-Z]\d+$", r"^\d+[A-Z]$", r"^(N|S|E|W|NE|NW|SE|SW)$",
+    r"^\d+$", r"^\d+\.\d+$", r"^[a-z]$", r"^[a-z]\d+$", r"^\d+[a-z]$", r"^(n|s|e|w|ne|nw|se|sw)$",
     r"^\d+:\d+", r"^(miles?|feet?|km|metres?|ft|m)$", r"^[^\p{L}\p{N}]+$",
 )
 RIVER_WORDS = (
@@ -60,19 +62,21 @@ RULE_CONFIDENCE = {
 
 
 def _any_word(words: tuple[str, ...]) -> str:
-    return "(" + "|".join(rf"\b{w}\b" for w in words) + ")"
+    return rf"\b(?:{'|'.join(words)})\b"
 
 
 def classify(df: DataFrame, column: str = "text") -> DataFrame:
     """Add ``cleaned``, ``feature_type`` and ``confidence`` by the first rule that fits."""
     cleaned = F.trim(F.col(column))
     low = F.lower(cleaned)
-    word = F.regexp_replace(low, r"^[^\p{L}\p{N}_]+", "")
-    # The ending must follow at least two characters of the word.
-    ending = word.rlike("..(" + "|".join(SETTLEMENT_ENDINGS) + ")$")
+    # The ending must follow at least two characters of the word, leading punctuation aside.
+    letters = F.length(F.regexp_replace(low, r"^[^\p{L}\p{N}_]+", ""))
+    ending = F.lit(False)
+    for end in SETTLEMENT_ENDINGS:
+        ending = ending | (low.endswith(end) & (letters > len(end) + 1))
     capital = cleaned.rlike(r"^\p{Lu}") & (F.length(cleaned) >= 4) & F.replace(cleaned, F.lit(" "), F.lit("")).rlike(r"^\p{L}+$")
     rules = [
-        (low.rlike("(?i)" + "|".join(NOISE_PATTERNS)), "noise", "noise"),
+        (low.rlike("|".join(NOISE_PATTERNS)), "noise", "noise"),
         (F.length(low) <= 1, "noise", "short"),
         (low.rlike(_any_word(RIVER_WORDS)), "river", "water"),
         (low.rlike(_any_word(LAKE_WORDS)), "lake", "water"),
@@ -194,9 +198,10 @@ def normalise_spelling(df: DataFrame, key: str, column: str, dictionary: DataFra
     """Replace historical spellings once, as a whole text or else word by word.
 
     ``column`` gets the new text and ``spelling_source`` the old one where it changed. The
-    text is cut into word and non-word runs; words meet the dictionary in an equi-join, and
-    the runs of one text are put together again in their order.
+    text is cut into word and non-word runs; words meet the dictionary in an equi-join, and the
+    runs of one text are put together again in their order.
     """
+    dictionary = small_side(dictionary)
     whole = lookup(df, column, dictionary)
     whole = whole.withColumn("_whole", F.when(F.col("canonical").isNotNull(), _like_initial(F.col(column), F.col("canonical")))).drop("canonical")
     runs = F.regexp_extract_all(F.col(column), F.lit(r"([A-Za-z']+|[^A-Za-z']+)"), F.lit(1))

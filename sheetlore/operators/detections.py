@@ -59,8 +59,11 @@ def to_sheet_coordinates(local: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, size: int, order: Sequence[str] = ("y1", "x1", "det_id")) -> DataFrame:
-    """Add ``batch`` and ``item``: consecutive groups of ``size`` rows per map in reading order."""
-    numbered = number_rows(df, ["map_name"], F.floor(F.col(order[0]) / 4), list(order))
+    """Add ``batch`` and ``item``: consecutive groups of ``size`` rows per map in reading order.
+
+    Rows are numbered pixel row by pixel row, so the sort of a large map is shared out.
+    """
+    numbered = number_rows(df, ["map_name"], F.col(order[0]), list(order))
     position = F.col("row_no") - 1
     return numbered.withColumns({"batch": F.floor(position / size), "item": (position % size) + 1}).drop("row_no")
 
@@ -83,8 +86,8 @@ def _priority() -> Column:
     return F.struct((-F.col("confidence")).alias("c"), F.col("y1").alias("y"), F.col("x1").alias("x"), F.col("det_id").alias("d"))
 
 
-def overlapping_pairs(binned: DataFrame, bin_size: int = BIN_SIZE) -> DataFrame:
-    """Pairs of boxes that meet, the one of higher priority as ``a``.
+def overlapping_pairs(binned: DataFrame, bin_size: int = BIN_SIZE, also: Column | None = None) -> DataFrame:
+    """Pairs of boxes that meet, the one of higher priority as ``a``; ``also`` is tested last.
 
     Both sides share the bins' partitioning. A pair that shares several bins is reported only
     in the bin that holds the corner of its intersection, so no ``distinct`` is needed.
@@ -99,7 +102,7 @@ def overlapping_pairs(binned: DataFrame, bin_size: int = BIN_SIZE) -> DataFrame:
         & (F.col("a.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("a.y2"))
         & (F.col("a.bin_x") == corner_x) & (F.col("a.bin_y") == corner_y)
     )
-    return a.join(b, condition)
+    return a.join(b, condition if also is None else condition & also)
 
 
 def is_duplicate(spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU) -> Column:
@@ -113,13 +116,39 @@ def prepared(detections: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_pairs(detections: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU) -> DataFrame:
-    """``(map_name, keeper, duplicate, overlap)`` for all pairs the duplicate rule names."""
-    pairs = overlapping_pairs(in_bins(prepared(detections))).filter(is_duplicate(spatial, same_text))
-    return pairs.select(
-        F.col("a.map_name").alias("map_name"), F.col("a.det_id").alias("keeper"), F.col("b.det_id").alias("duplicate"),
-        F.round(iou(), 6).alias("overlap"),
+def better_neighbours(detections: DataFrame) -> DataFrame:
+    """``(map_name, det_id)`` of boxes that meet a box of higher priority.
+
+    A semi-join: it reports a box at its first neighbour. Boxes that do not meet are few in a
+    bin, as they must lie side by side, so a crowded bin yields a neighbour quickly.
+    """
+    binned = in_bins(prepared(detections))
+    a, b = binned.alias("a"), binned.alias("b")
+    condition = (
+        (F.col("a.map_name") == F.col("b.map_name")) & (F.col("a.bin_x") == F.col("b.bin_x")) & (F.col("a.bin_y") == F.col("b.bin_y"))
+        & (F.col("a.priority") < F.col("b.priority"))
+        & (F.col("a.x1") < F.col("b.x2")) & (F.col("b.x1") < F.col("a.x2"))
+        & (F.col("a.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("a.y2"))
+    )
+    return b.join(a, condition, "left_semi").select("map_name", "det_id").distinct()
+
+
+def duplicate_pairs(detections: DataFrame, kept: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU) -> DataFrame:
+    """``(map_name, keeper, duplicate, overlap)``: each dropped box with the best box that drops it.
+
+    Only kept boxes are matched with dropped ones. Kept boxes overlap little, so a bin has few
+    of them, and a large group of copies costs one comparison per copy and keeper.
+    """
+    binned = cut_lineage(in_bins(prepared(detections)))
+    keepers = binned.join(kept, ["map_name", "det_id"], "left_semi").alias("a")
+    dropped = binned.join(kept, ["map_name", "det_id"], "left_anti").alias("b")
+    condition = (
+        (F.col("a.map_name") == F.col("b.map_name")) & (F.col("a.bin_x") == F.col("b.bin_x")) & (F.col("a.bin_y") == F.col("b.bin_y"))
+        & (F.col("a.priority") < F.col("b.priority")) & is_duplicate(spatial, same_text)
     )
+    best = F.min(F.struct(F.col("a.priority").alias("p"), F.col("a.det_id").alias("k"), F.round(iou(), 6).alias("o"))).alias("best")
+    found = keepers.join(dropped, condition).groupBy(F.col("b.map_name").alias("map_name"), F.col("b.det_id").alias("duplicate")).agg(best)
+    return found.select("map_name", F.col("best.k").alias("keeper"), "duplicate", F.col("best.o").alias("overlap"))
 
 
 def _without_copies(boxes: DataFrame) -> DataFrame:
@@ -140,7 +169,7 @@ def _without_copies(boxes: DataFrame) -> DataFrame:
 
 
 def _edges(binned: DataFrame, spatial: float, same_text: float, bin_size: int) -> DataFrame:
-    pairs = overlapping_pairs(binned, bin_size).filter(is_duplicate(spatial, same_text))
+    pairs = overlapping_pairs(binned, bin_size, is_duplicate(spatial, same_text))
     return pairs.select(
         F.col("a.map_name").alias("map_name"), F.col("a.det_id").alias("hi"), F.col("b.det_id").alias("lo"),
         F.col("a.complete").alias("hi_complete"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetlore.session import small_side
+
 # Zones, limits and defaults of the grid rules.
 MARGIN = 0.15
 TALLEST_LABEL = 0.04
@@ -31,34 +33,37 @@ def centre(low: str, high: str) -> Column:
 def repaired_label(text: Column) -> Column:
     """Label with confused characters put right, in capitals."""
     trimmed = F.trim(text)
-    repairs = F.create_map(*[F.lit(x) for pair in LABEL_REPAIRS.items() for x in pair])
-    return F.upper(F.coalesce(F.try_element_at(repairs, trimmed), trimmed))
+    repaired = F.upper(trimmed)
+    for wrong, right in LABEL_REPAIRS.items():
+        repaired = F.when(trimmed == wrong, right).otherwise(repaired)
+    return repaired
 
 
 def margin_labels(detections: DataFrame, maps: DataFrame) -> DataFrame:
-    """Candidate labels ``(map_name, axis, label, ord, pos, margin_pos, half)`` in the margins.
+    """Candidate labels ``(map_name, axis, label, ord, pos, margin_pos, extent)`` in the margins.
 
     Letters at the top or bottom mark columns and digits at the left or right mark rows.
-    ``maps`` gives width and height; an absent ``red_share`` lets a label pass.
+    ``maps`` gives width and height; an absent ``red_share`` lets a label pass. Longer texts
+    are dropped before the join, and each derived column is computed once, in its own step.
     """
-    sized = detections.join(maps.select("map_name", "width", "height"), "map_name")
-    label = repaired_label(F.col("text"))
-    cx, cy = centre("x1", "x2"), centre("y1", "y2")
+    short = detections.filter(F.length(F.trim("text")) <= 2)
+    sized = short.join(maps.select("map_name", "width", "height"), "map_name").withColumns(
+        {"label": repaired_label(F.col("text")), "cx": centre("x1", "x2"), "cy": centre("y1", "y2")}
+    )
     red = F.coalesce(F.col("red_share") >= SMALLEST_RED_SHARE, F.lit(True)) if "red_share" in detections.columns else F.lit(True)
     fits = (F.abs(F.col("y2") - F.col("y1")) <= F.col("height") * TALLEST_LABEL) & red
-    at_ends = (cy < F.col("height") * MARGIN) | (cy > F.col("height") - F.col("height") * MARGIN)
-    at_sides = (cx < F.col("width") * MARGIN) | (cx > F.col("width") - F.col("width") * MARGIN)
-    axis = F.when(label.rlike("^[A-Z]$") & at_ends, "col").when(label.rlike("^[0-9]{1,2}$") & at_sides, "row")
-    return (
-        sized.filter(fits)
-        .select(
-            "map_name", axis.alias("axis"), label.alias("label"),
-            F.when(axis == "col", cx).otherwise(cy).alias("pos"),
-            F.when(axis == "col", cy).otherwise(cx).alias("margin_pos"),
-            F.when(axis == "col", F.col("height")).otherwise(F.col("width")).alias("extent"),
-        )
-        .filter(F.col("axis").isNotNull())
-        .withColumn("ord", F.when(F.col("axis") == "col", F.ascii("label") - 64).otherwise(F.expr("try_cast(label AS INT)")))
+    at_ends = (F.col("cy") < F.col("height") * MARGIN) | (F.col("cy") > F.col("height") - F.col("height") * MARGIN)
+    at_sides = (F.col("cx") < F.col("width") * MARGIN) | (F.col("cx") > F.col("width") - F.col("width") * MARGIN)
+    marked = sized.filter(fits).withColumn(
+        "axis", F.when(at_ends & F.col("label").rlike("^[A-Z]$"), "col").when(at_sides & F.col("label").rlike("^[0-9]{1,2}$"), "row")
+    )
+    is_col = F.col("axis") == "col"
+    return marked.filter(F.col("axis").isNotNull()).select(
+        "map_name", "axis", "label",
+        F.when(is_col, F.col("cx")).otherwise(F.col("cy")).alias("pos"),
+        F.when(is_col, F.col("cy")).otherwise(F.col("cx")).alias("margin_pos"),
+        F.when(is_col, F.col("height")).otherwise(F.col("width")).alias("extent"),
+        F.when(is_col, F.ascii("label") - 64).otherwise(F.col("label").try_cast("int")).alias("ord"),
     )
 
 
@@ -207,7 +212,7 @@ def _lines_before(lines: Column, position: Column) -> Column:
 
 def grid_reference(df: DataFrame, grids: DataFrame) -> DataFrame:
     """Add ``grid_reference`` such as ``2B``: row number from the top, column letter from the left."""
-    joined = df.join(grids.select("map_name", "col_lines", "row_lines"), "map_name", "left")
+    joined = df.join(small_side(grids.select("map_name", "col_lines", "row_lines")), "map_name", "left")
     col_no = F.coalesce(_lines_before(F.col("col_lines"), centre("x1", "x2")), F.lit(0))
     row_no = F.coalesce(_lines_before(F.col("row_lines"), centre("y1", "y2")), F.lit(0)) + 1
     letter = F.when(col_no < 26, F.chr(col_no + 65)).otherwise(F.concat(F.lit("C"), col_no.cast("string")))
@@ -216,7 +221,7 @@ def grid_reference(df: DataFrame, grids: DataFrame) -> DataFrame:
 
 def grid_reference_row_first(df: DataFrame, grids: DataFrame) -> DataFrame:
     """Add ``grid_reference`` such as ``B-2`` (row letter, column number); no lines → quarters."""
-    joined = df.join(grids.select("map_name", "width", "height", "col_lines", "row_lines"), "map_name")
+    joined = df.join(small_side(grids.select("map_name", "width", "height", "col_lines", "row_lines")), "map_name")
     cx, cy = centre("x1", "x2"), centre("y1", "y2")
 
     def index(lines: str, position: Column, extent: str) -> Column:

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 def number_rows(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str], name: str = "row_no"
 ) -> DataFrame:
-    """Add ``name`` = 1, 2, … per ``keys``; ``bucket`` must not decrease along ``order``."""
+    """Add ``name`` = 1, 2, … per ``keys``; ``bucket`` must not decrease along ``order``.
+
+    Choose a bucket with a bounded number of values per group, such as a pixel row or a hash
+    prefix: the counts of one group are summed in one task.
+    """
     marked = df.withColumn("_bucket", bucket)
     counts = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +40,7 @@ def hash_order(key: Column, seed: str) -> Column:
 
 
 def number_by_hash(df: DataFrame, key: str, seed: str, name: str = "row_no") -> DataFrame:
-    """Number all rows in pseudo-random order; 4096 buckets share the work."""
+    """Number all rows in pseudo-random order; 65,536 buckets share the work."""
     hashed = df.withColumn("_hash", hash_order(F.col(key), seed))
-    numbered = number_rows(hashed, [], F.substring("_hash", 1, 3), ["_hash", key], name)
+    numbered = number_rows(hashed, [], F.substring("_hash", 1, 4), ["_hash", key], name)
     return numbered.drop("_hash")

@@ -23,7 +23,6 @@ _MODULES = (
 
 
 def load_all() -> None:
-    from importlib.util import find_spec
+    """Import every module of queries, which registers them."""
     for module in _MODULES:
-        if find_spec(f"sheetlore.plans.{module}"):
-            import_module(f"sheetlore.plans.{module}")
+        import_module(f"sheetlore.plans.{module}")

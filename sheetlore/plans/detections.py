@@ -107,22 +107,27 @@ _ROUNDS = _PAIRS + "".join(
 """
 
 
+@query("jon09_better_neighbours", _PAIRS + "SELECT DISTINCT map_name, lo AS det_id FROM lapped", ("detections",))
+def _(t):
+    return op.better_neighbours(t.detections)
+
+
 @query(
-    "jon09_overlapping_boxes",
-    _PAIRS + "SELECT map_name, hi, lo FROM lapped",
+    "det06_overlap_ratio",
+    """, p AS (SELECT map_name, det_id, x1, y1, x2, y2, x1 + det_id % 61 AS u1, y1 + det_id % 13 AS v1, x2 + det_id % 61 AS u2, y2 + det_id % 7 AS v2 FROM detections),
+      s AS (SELECT *, CAST(greatest(least(x2, u2) - greatest(x1, u1), 0) * greatest(least(y2, v2) - greatest(y1, v1), 0) AS DOUBLE) AS shared,
+        CAST((x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) AS DOUBLE) AS both_areas FROM p)
+      SELECT map_name, det_id, CASE WHEN shared = 0 THEN 0.0::DOUBLE ELSE round(shared / (both_areas - shared), 6) END AS iou FROM s""",
     ("detections",),
 )
 def _(t):
-    pairs = op.overlapping_pairs(op.in_bins(op.prepared(t.detections)))
-    return pairs.select(F.col("a.map_name").alias("map_name"), F.col("a.det_id").alias("hi"), F.col("b.det_id").alias("lo"))
+    def shifted(by):
+        return [(F.col(c) + F.col("det_id") % m).alias(c) for c, m in by.items()]
 
-
-@query("det06_overlap_ratio", _PAIRS + "SELECT map_name, hi, lo, round(iou, 6) AS iou FROM lapped", ("detections",))
-def _(t):
-    pairs = op.overlapping_pairs(op.in_bins(op.prepared(t.detections)))
-    return pairs.select(
-        F.col("a.map_name").alias("map_name"), F.col("a.det_id").alias("hi"), F.col("b.det_id").alias("lo"), F.round(op.iou(), 6).alias("iou")
+    boxes = t.detections.select(
+        "map_name", "det_id", F.struct("x1", "y1", "x2", "y2").alias("a"), F.struct(*shifted({"x1": 61, "y1": 13, "x2": 61, "y2": 7})).alias("b")
     )
+    return boxes.select("map_name", "det_id", F.round(op.iou("a.", "b."), 6).alias("iou"))
 
 
 @query(
@@ -136,11 +141,14 @@ def _(t):
 
 @query(
     "det08_duplicate_pairs",
-    _PAIRS + "SELECT map_name, hi AS keeper, lo AS duplicate, round(iou, 6) AS overlap FROM lapped WHERE iou > 0.4 OR (iou > 0.2 AND same)",
+    _ROUNDS + """SELECT map_name, hi AS keeper, lo AS duplicate, overlap FROM (SELECT l.map_name, l.hi, l.lo, round(l.iou, 6) AS overlap,
+        row_number() OVER (PARTITION BY l.map_name, l.lo ORDER BY d.pri) AS rn FROM lapped l JOIN d ON d.map_name = l.map_name AND d.det_id = l.hi
+        WHERE (l.iou > 0.4 OR (l.iou > 0.2 AND l.same)) AND (l.map_name, l.hi) NOT IN (SELECT (map_name, lo) FROM gone)
+          AND (l.map_name, l.lo) IN (SELECT (map_name, lo) FROM gone)) WHERE rn = 1""",
     ("detections",),
 )
 def _(t):
-    return op.duplicate_pairs(t.detections)
+    return op.duplicate_pairs(t.detections, op.kept_boxes(t.detections))
 
 
 @query(

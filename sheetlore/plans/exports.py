@@ -46,9 +46,9 @@ def _(t):
 
 @query(
     "snk03_nested_records",
-    """, n AS (SELECT *, row_number() OVER (PARTITION BY map_name, feature_type ORDER BY feature_name, id) AS rn FROM features WHERE feature_type <> 'noise')
-       SELECT map_name, feature_type, (rn - 1) // 50 AS part, CAST(to_json(list(struct_pack("name" := feature_name, original_text := original_text,
-         grid := grid_reference, confidence := confidence) ORDER BY rn)) AS VARCHAR) AS features FROM n GROUP BY 1, 2, 3""",
+    """, n AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY map_name, feature_type) / 50) AS BIGINT) AS parts FROM features WHERE feature_type <> 'noise')
+       SELECT map_name, feature_type, id % parts AS part, CAST(to_json(list(struct_pack("name" := feature_name, original_text := original_text,
+         grid := grid_reference, confidence := confidence) ORDER BY feature_name, id)) AS VARCHAR) AS features FROM n GROUP BY 1, 2, 3""",
     ("features",),
 )
 def _(t):

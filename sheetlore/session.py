@@ -20,6 +20,7 @@ def build_session(app_name: str = "sheetlore", master: str | None = None, **conf
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     builder = SparkSession.builder.appName(app_name)
@@ -55,10 +56,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; for a bare scan, the size of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame, least_bytes: int = 4 * 1024 * 1024) -> DataFrame:
+    """Redistribute a scan that yields fewer tasks than there are cores.
+
+    A table that fills at least one split per core is returned as it is, and so is one that
+    is too small to be worth a shuffle. Filters and column selection still reach the scan.
+    """
+    spark = df.sparkSession
+    size, cores = estimated_bytes(df), spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df.repartition(cores) if least_bytes <= size < split * cores else df
+
+
 def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast when the optimizer's size estimate is under the limit.
 
     Beyond it the frame is returned unmarked and Spark picks a shuffle join.
     """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(estimate.toString()) <= limit_bytes else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
+
+
+def small_side(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """``df`` evaluated once and, when it has few rows, marked for broadcast.
+
+    For join sides that are derived by aggregation, whose size the optimizer cannot know in
+    advance: a table of one row per map may be tiny or huge. The count stops at the limit.
+    """
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.limit(most_rows + 1).count() <= most_rows else written

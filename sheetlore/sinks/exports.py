@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sheetlore.functions.names import split_map_name
 from sheetlore.operators.filters import confidence_colour, not_noise, search_text
-from sheetlore.operators.numbering import number_rows
+from sheetlore.session import small_side
 
 FEATURE_COLUMNS = {
     "id": "bigint", "map_name": "string", "feature_name": "string", "original_text": "string",
@@ -67,23 +67,23 @@ def write_flat_csv(df: DataFrame, path: str) -> None:
 
 
 def nested_records(df: DataFrame, records_per_list: int = 5000) -> DataFrame:
-    """``(map_name, feature_type, part, features)`` with lists of bounded length.
+    """``(map_name, feature_type, part, features)`` with about ``records_per_list`` entries each.
 
-    A map's object is the union of its parts. Lists are cut by position, so no map or type,
-    however large, is gathered into one row.
+    A map's object is the union of its parts. The number of parts follows from the count of a
+    map's type and entries are dealt out by id, so no map or type, however large, is gathered
+    into one row. Entries of a part are sorted by name.
     """
+    keys = ["map_name", "feature_type"]
     entries = not_noise(df).select(
-        "id", "map_name", "feature_name",
-        F.coalesce(F.nullif("feature_type", F.lit("")), F.lit("unknown")).alias("feature_type"),
+        "id", "map_name", F.coalesce(F.nullif("feature_type", F.lit("")), F.lit("unknown")).alias("feature_type"),
         F.struct(
             F.col("feature_name").alias("name"), "original_text", F.col("grid_reference").alias("grid"), "confidence"
         ).alias("entry"),
     )
-    bucket = F.struct("feature_name", F.shiftright("id", 52))
-    numbered = number_rows(entries, ["map_name", "feature_type"], bucket, ["feature_name", "id"])
-    part = F.floor((F.col("row_no") - 1) / records_per_list)
-    lists = numbered.groupBy("map_name", "feature_type", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "entry"))).alias("items")
+    parts = entries.groupBy(*keys).agg(F.ceil(F.count("*") / records_per_list).alias("parts"))
+    dealt = entries.join(small_side(parts), keys).withColumn("part", F.pmod("id", "parts"))
+    lists = dealt.groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("entry.name").alias("name"), "id", "entry"))).alias("items")
     )
     return lists.select("map_name", "feature_type", "part", F.col("items.entry").alias("features"))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheetlore.session import spread
+
 IMAGE_WIDTH = 5000
 IMAGE_HEIGHT = 7000
 
@@ -312,7 +314,7 @@ class Tables:
         self.folder = folder
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in MAPPED:
