@@ -62,7 +62,7 @@ RULE_CONFIDENCE = {
 
 
 def _any_word(words: tuple[str, ...]) -> str:
-    return rf"\b(?:{'|'.join(words)})\b"
+    return rf"(?U)\b(?:{'|'.join(words)})\b"
 
 
 def classify(df: DataFrame, column: str = "text") -> DataFrame:

@@ -81,9 +81,26 @@ def in_bins(boxes: DataFrame, bin_size: int = BIN_SIZE) -> DataFrame:
     return wide.select("*", F.explode(span("y1", "y2")).alias("bin_y"))
 
 
-def _priority() -> Column:
-    """Sort key of the greedy order: confidence first, then reading order."""
-    return F.struct((-F.col("confidence")).alias("c"), F.col("y1").alias("y"), F.col("x1").alias("x"), F.col("det_id").alias("d"))
+def _outranks() -> Column:
+    """Greedy order of ``a`` before ``b``: confidence first, then reading order."""
+    earlier = (F.col("a.y1") < F.col("b.y1")) | (
+        (F.col("a.y1") == F.col("b.y1"))
+        & ((F.col("a.x1") < F.col("b.x1")) | ((F.col("a.x1") == F.col("b.x1")) & (F.col("a.det_id") < F.col("b.det_id"))))
+    )
+    return (F.col("a.confidence") > F.col("b.confidence")) | ((F.col("a.confidence") == F.col("b.confidence")) & earlier)
+
+
+def _same_bin() -> Column:
+    return (
+        (F.col("a.map_name") == F.col("b.map_name")) & (F.col("a.bin_x") == F.col("b.bin_x")) & (F.col("a.bin_y") == F.col("b.bin_y"))
+    )
+
+
+def _meet() -> Column:
+    return (
+        (F.col("a.x1") < F.col("b.x2")) & (F.col("b.x1") < F.col("a.x2"))
+        & (F.col("a.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("a.y2"))
+    )
 
 
 def overlapping_pairs(binned: DataFrame, bin_size: int = BIN_SIZE, also: Column | None = None) -> DataFrame:
@@ -92,17 +109,10 @@ def overlapping_pairs(binned: DataFrame, bin_size: int = BIN_SIZE, also: Column
     Both sides share the bins' partitioning. A pair that shares several bins is reported only
     in the bin that holds the corner of its intersection, so no ``distinct`` is needed.
     """
-    a, b = binned.alias("a"), binned.alias("b")
     corner_x = F.floor(F.greatest("a.x1", "b.x1") / bin_size)
     corner_y = F.floor(F.greatest("a.y1", "b.y1") / bin_size)
-    condition = (
-        (F.col("a.map_name") == F.col("b.map_name")) & (F.col("a.bin_x") == F.col("b.bin_x")) & (F.col("a.bin_y") == F.col("b.bin_y"))
-        & (F.col("a.priority") < F.col("b.priority"))
-        & (F.col("a.x1") < F.col("b.x2")) & (F.col("b.x1") < F.col("a.x2"))
-        & (F.col("a.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("a.y2"))
-        & (F.col("a.bin_x") == corner_x) & (F.col("a.bin_y") == corner_y)
-    )
-    return a.join(b, condition if also is None else condition & also)
+    condition = _same_bin() & _meet() & _outranks() & (F.col("a.bin_x") == corner_x) & (F.col("a.bin_y") == corner_y)
+    return binned.alias("a").join(binned.alias("b"), condition if also is None else condition & also)
 
 
 def is_duplicate(spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU) -> Column:
@@ -112,7 +122,8 @@ def is_duplicate(spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU)
 
 def prepared(detections: DataFrame) -> DataFrame:
     return detections.select(
-        "map_name", "det_id", "confidence", "x1", "y1", "x2", "y2", text_key(F.col("text")).alias("text_key"), _priority().alias("priority")
+        "map_name", "det_id", F.coalesce("confidence", F.lit(-1.0)).alias("confidence"), "x1", "y1", "x2", "y2",
+        text_key(F.col("text")).alias("text_key"),
     )
 
 
@@ -123,32 +134,26 @@ def better_neighbours(detections: DataFrame) -> DataFrame:
     bin, as they must lie side by side, so a crowded bin yields a neighbour quickly.
     """
     binned = in_bins(prepared(detections))
-    a, b = binned.alias("a"), binned.alias("b")
-    condition = (
-        (F.col("a.map_name") == F.col("b.map_name")) & (F.col("a.bin_x") == F.col("b.bin_x")) & (F.col("a.bin_y") == F.col("b.bin_y"))
-        & (F.col("a.priority") < F.col("b.priority"))
-        & (F.col("a.x1") < F.col("b.x2")) & (F.col("b.x1") < F.col("a.x2"))
-        & (F.col("a.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("a.y2"))
-    )
-    return b.join(a, condition, "left_semi").select("map_name", "det_id").distinct()
+    met = binned.alias("b").join(binned.alias("a"), _same_bin() & _meet() & _outranks(), "left_semi")
+    return met.select("map_name", "det_id").distinct()
 
 
-def duplicate_pairs(detections: DataFrame, kept: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU) -> DataFrame:
+def duplicate_pairs(detections: DataFrame, dropped: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU) -> DataFrame:
     """``(map_name, keeper, duplicate, overlap)``: each dropped box with the best box that drops it.
 
     Only kept boxes are matched with dropped ones. Kept boxes overlap little, so a bin has few
     of them, and a large group of copies costs one comparison per copy and keeper.
     """
     binned = cut_lineage(in_bins(prepared(detections)))
-    keepers = binned.join(kept, ["map_name", "det_id"], "left_semi").alias("a")
-    dropped = binned.join(kept, ["map_name", "det_id"], "left_anti").alias("b")
-    condition = (
-        (F.col("a.map_name") == F.col("b.map_name")) & (F.col("a.bin_x") == F.col("b.bin_x")) & (F.col("a.bin_y") == F.col("b.bin_y"))
-        & (F.col("a.priority") < F.col("b.priority")) & is_duplicate(spatial, same_text)
+    keepers = binned.join(dropped, ["map_name", "det_id"], "left_anti").alias("a")
+    fallen = binned.join(dropped, ["map_name", "det_id"], "left_semi").alias("b")
+    found = keepers.join(fallen, _same_bin() & _meet() & _outranks() & is_duplicate(spatial, same_text))
+    best = F.min(
+        F.struct((-F.col("a.confidence")).alias("c"), F.col("a.y1"), F.col("a.x1"), F.col("a.det_id").alias("k"), F.round(iou(), 6).alias("o"))
+    ).alias("best")
+    return found.groupBy(F.col("b.map_name").alias("map_name"), F.col("b.det_id").alias("duplicate")).agg(best).select(
+        "map_name", F.col("best.k").alias("keeper"), "duplicate", F.col("best.o").alias("overlap")
     )
-    best = F.min(F.struct(F.col("a.priority").alias("p"), F.col("a.det_id").alias("k"), F.round(iou(), 6).alias("o"))).alias("best")
-    found = keepers.join(dropped, condition).groupBy(F.col("b.map_name").alias("map_name"), F.col("b.det_id").alias("duplicate")).agg(best)
-    return found.select("map_name", F.col("best.k").alias("keeper"), "duplicate", F.col("best.o").alias("overlap"))
 
 
 def _without_copies(boxes: DataFrame) -> DataFrame:
@@ -163,9 +168,7 @@ def _without_copies(boxes: DataFrame) -> DataFrame:
     best = boxes.groupBy(*keys, alone.alias("alone")).agg(
         F.min(F.struct((-F.col("confidence")).alias("c"), F.col("det_id").alias("d"))).alias("best")
     )
-    return best.select(
-        *keys, (-F.col("best.c")).alias("confidence"), F.col("best.d").alias("det_id")
-    ).withColumn("priority", _priority())
+    return best.select(*keys, (-F.col("best.c")).alias("confidence"), F.col("best.d").alias("det_id"))
 
 
 def _edges(binned: DataFrame, spatial: float, same_text: float, bin_size: int) -> DataFrame:
@@ -198,80 +201,84 @@ def _resolve(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
 
 
-def kept_boxes(
+def _leading(binned: DataFrame, crowded: int, bin_size: int) -> DataFrame:
+    """The best ``crowded`` boxes of each bin; ``complete`` if a box leads in all its bins."""
+    # row_number() <= k keeps at most k rows per bin in every map task before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(*_BIN).orderBy(F.desc("confidence"), "y1", "x1", "det_id"))
+    leading = cut_lineage(binned.withColumn("rank", rank).filter(F.col("rank") <= crowded).drop("rank"))
+    touched = (F.floor((F.col("x2") - 1) / bin_size) - F.floor(F.col("x1") / bin_size) + 1) * (
+        F.floor((F.col("y2") - 1) / bin_size) - F.floor(F.col("y1") / bin_size) + 1
+    )
+    whole = leading.groupBy("map_name", "det_id", touched.alias("touched")).agg(F.count("*").alias("seen"))
+    flags = whole.select("map_name", "det_id", (F.col("seen") == F.col("touched")).alias("complete"))
+    return cut_lineage(leading.join(flags, ["map_name", "det_id"]))
+
+
+def dropped_boxes(
     detections: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU,
     bin_size: int = BIN_SIZE, crowded: int = CROWDED,
 ) -> DataFrame:
-    """``(map_name, det_id)`` of the boxes that greedy suppression keeps.
+    """``(map_name, det_id)`` of the boxes that greedy suppression drops.
 
     Boxes are taken by falling confidence; a kept box drops its duplicates and a dropped box
-    drops nobody. Only boxes of the same search bin are compared. A bin with more than
-    ``crowded`` boxes compares its best ones first, and the boxes they keep then drop from the
-    rest of the bin without pairing that rest among itself; what remains goes round again.
+    drops nobody. Only boxes of the same search bin are compared. While some bin has more than
+    ``crowded`` boxes, copies are merged, and then such bins compare their best boxes first;
+    the boxes these keep drop from the rest of the bin without pairing that rest among itself,
+    and what remains goes round again.
     """
-    open_boxes = cut_lineage(_without_copies(prepared(detections)))
-    finished: list[DataFrame] = []
+    keys = ["map_name", "det_id"]
+    open_boxes = cut_lineage(prepared(detections))
+    parts: list[DataFrame] = []
+    merged = False
     while True:
         binned = in_bins(open_boxes, bin_size)
-        full = binned.groupBy(*_BIN).agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
-        if full.isEmpty():
-            dropped, _ = _resolve(_edges(binned.withColumn("complete", F.lit(True)), spatial, same_text, bin_size))
-            finished.append(open_boxes.select("map_name", "det_id").join(dropped, ["map_name", "det_id"], "left_anti"))
+        if binned.groupBy(*_BIN).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).isEmpty():
+            parts.append(_resolve(_edges(binned.withColumn("complete", F.lit(True)), spatial, same_text, bin_size))[0])
             break
-
-        # row_number() <= k keeps at most k rows per bin in every map task before the shuffle.
-        rank = F.row_number().over(Window.partitionBy(*_BIN).orderBy("priority"))
-        leading = cut_lineage(binned.withColumn("rank", rank).filter(F.col("rank") <= crowded).drop("rank"))
-        touched = (F.floor((F.col("x2") - 1) / bin_size) - F.floor(F.col("x1") / bin_size) + 1) * (
-            F.floor((F.col("y2") - 1) / bin_size) - F.floor(F.col("y1") / bin_size) + 1
-        )
-        whole = (
-            leading.withColumn("touched", touched).groupBy("map_name", "det_id", "touched").agg(F.count("*").alias("seen"))
-            .select("map_name", "det_id", (F.col("seen") == F.col("touched")).alias("complete"))
-        )
-        flagged = cut_lineage(leading.join(whole, ["map_name", "det_id"]))
+        if not merged:
+            unique = cut_lineage(_without_copies(open_boxes))
+            parts.append(open_boxes.select(*keys).join(unique, keys, "left_anti"))
+            open_boxes, merged = unique, True
+            continue
+        flagged = _leading(binned, crowded, bin_size)
         dropped, open_edges = _resolve(_edges(flagged, spatial, same_text, bin_size))
         waiting = open_edges.select("map_name", F.col("lo").alias("det_id"))
-        flat = open_boxes.filter((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))).select("map_name", "det_id")
         kept = cut_lineage(
-            flagged.filter("complete").select("map_name", "det_id").distinct()
-            .join(dropped, ["map_name", "det_id"], "left_anti")
-            .join(waiting, ["map_name", "det_id"], "left_anti")
-            .unionByName(flat)
+            flagged.filter("complete").select(*keys).distinct().join(dropped, keys, "left_anti").join(waiting, keys, "left_anti")
         )
-        finished.append(kept)
-        decided = kept.unionByName(dropped)
-        rest = open_boxes.join(decided, ["map_name", "det_id"], "left_anti")
-        keepers = flagged.drop("complete").join(kept, ["map_name", "det_id"], "left_semi")
-        overshadowed = overshadowed_by(in_bins(rest, bin_size), keepers, spatial, same_text)
-        open_boxes = cut_lineage(rest.join(overshadowed, ["map_name", "det_id"], "left_anti"))
-    kept_all = finished[0]
-    for part in finished[1:]:
-        kept_all = kept_all.unionByName(part)
-    return kept_all
+        rest = open_boxes.join(kept.unionByName(dropped), keys, "left_anti")
+        keepers = flagged.drop("complete").join(kept, keys, "left_semi")
+        shadowed = cut_lineage(overshadowed_by(in_bins(rest, bin_size), keepers, spatial, same_text))
+        parts += [dropped, shadowed]
+        open_boxes = cut_lineage(rest.join(shadowed, keys, "left_anti"))
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.unionByName(part)
+    return everything
 
 
 def overshadowed_by(binned: DataFrame, keepers: DataFrame, spatial: float, same_text: float) -> DataFrame:
     """Boxes that some keeper of the same bin duplicates; a bin has few keepers, many boxes."""
-    a, b = keepers.alias("a"), binned.alias("b")
-    condition = (
-        (F.col("a.map_name") == F.col("b.map_name")) & (F.col("a.bin_x") == F.col("b.bin_x")) & (F.col("a.bin_y") == F.col("b.bin_y"))
-        & (F.col("a.priority") < F.col("b.priority")) & is_duplicate(spatial, same_text)
-    )
-    return b.join(a, condition, "left_semi").select("map_name", "det_id").distinct()
+    condition = _same_bin() & _meet() & _outranks() & is_duplicate(spatial, same_text)
+    return binned.alias("b").join(keepers.alias("a"), condition, "left_semi").select("map_name", "det_id").distinct()
+
+
+def kept_boxes(detections: DataFrame, **limits) -> DataFrame:
+    """``(map_name, det_id)`` of the boxes that greedy suppression keeps."""
+    return detections.select("map_name", "det_id").join(dropped_boxes(detections, **limits), ["map_name", "det_id"], "left_anti")
 
 
 def deduplicate(detections: DataFrame, **limits) -> DataFrame:
-    """Detections that survive greedy duplicate suppression (see ``kept_boxes``)."""
-    return detections.join(kept_boxes(detections, **limits), ["map_name", "det_id"], "left_semi")
+    """Detections that survive greedy duplicate suppression (see ``dropped_boxes``)."""
+    return detections.join(dropped_boxes(detections, **limits), ["map_name", "det_id"], "left_anti")
 
 
-def dedupe_report(detections: DataFrame, kept: DataFrame) -> DataFrame:
+def dedupe_report(detections: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Raw, kept and removed counts per map."""
     raw = detections.groupBy("map_name").agg(F.count("*").alias("raw"))
-    left = kept.groupBy("map_name").agg(F.count("*").alias("kept"))
-    return raw.join(left, "map_name", "left").select(
-        "map_name", "raw", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("raw") - F.coalesce("kept", F.lit(0))).alias("removed")
-    )
+    gone = dropped.groupBy("map_name").agg(F.count("*").alias("removed"))
+    removed = F.coalesce("removed", F.lit(0))
+    return raw.join(gone, "map_name", "left").select("map_name", "raw", (F.col("raw") - removed).alias("kept"), removed.alias("removed"))
 
 
 # ---- legend ------------------------------------------------------------------------------

@@ -139,7 +139,7 @@ def with_year_score(candidates: DataFrame, height: Column) -> DataFrame:
     edge = (F.col("cy") <= height * EDGE) | (F.col("cy") >= height * (1 - EDGE))
     score = F.lit(0)
     for pattern, points in CONTEXT_POINTS:
-        score = score + F.when(context.rlike(pattern), points).otherwise(0)
+        score = score + F.when(context.rlike("(?U)" + pattern), points).otherwise(0)
     score = score + F.when(F.col("year").contains("-"), RANGE_POINTS).otherwise(0)
     score = score + F.when(edge, EDGE_POINTS).otherwise(0)
     return candidates.withColumns({"score": score, "edge": edge})

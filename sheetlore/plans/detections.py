@@ -148,7 +148,7 @@ def _(t):
     ("detections",),
 )
 def _(t):
-    return op.duplicate_pairs(t.detections, op.kept_boxes(t.detections))
+    return op.duplicate_pairs(t.detections, op.dropped_boxes(t.detections))
 
 
 @query(
@@ -168,7 +168,7 @@ def _(t):
     ("detections",),
 )
 def _(t):
-    return op.dedupe_report(t.detections, op.kept_boxes(t.detections))
+    return op.dedupe_report(t.detections, op.dropped_boxes(t.detections))
 
 
 _LEGEND = """, lines AS (SELECT s.map_name, min(y1) AS line_y FROM segments s WHERE degrees(atan2(abs(y2 - y1), abs(x2 - x1))) < 5 AND y1 >= 4900 GROUP BY 1),

@@ -75,9 +75,9 @@ def test_flat_boxes_stay(spark):
 def test_result_is_stable_and_free_of_duplicates(spark):
     rows = boxes(400, 2, 400, 300, 11)
     frame = spark.createDataFrame(rows, SCHEMA)
-    kept = op.kept_boxes(frame)
+    dropped = op.dropped_boxes(frame)
     once = cut_lineage(op.deduplicate(frame))
-    pairs = op.duplicate_pairs(frame, kept).collect()
+    pairs = op.duplicate_pairs(frame, dropped).collect()
     assert len({p.duplicate for p in pairs}) == len(pairs) == len(rows) - once.count()
     assert {p.keeper for p in pairs} <= {r.det_id for r in once.collect()}
     assert op.deduplicate(once).count() == once.count()
