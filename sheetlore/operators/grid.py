@@ -31,12 +31,10 @@ def centre(low: str, high: str) -> Column:
 
 
 def repaired_label(text: Column) -> Column:
-    """Label with confused characters put right, in capitals."""
+    """Label with confused characters put right, in capitals; only lone characters are repaired."""
     trimmed = F.trim(text)
-    repaired = F.upper(trimmed)
-    for wrong, right in LABEL_REPAIRS.items():
-        repaired = F.when(trimmed == wrong, right).otherwise(repaired)
-    return repaired
+    repaired = F.translate(trimmed, "".join(LABEL_REPAIRS), "".join(LABEL_REPAIRS.values()))
+    return F.upper(F.when(F.length(trimmed) == 1, repaired).otherwise(trimmed))
 
 
 def margin_labels(detections: DataFrame, maps: DataFrame) -> DataFrame:
@@ -54,17 +52,21 @@ def margin_labels(detections: DataFrame, maps: DataFrame) -> DataFrame:
     fits = (F.abs(F.col("y2") - F.col("y1")) <= F.col("height") * TALLEST_LABEL) & red
     at_ends = (F.col("cy") < F.col("height") * MARGIN) | (F.col("cy") > F.col("height") - F.col("height") * MARGIN)
     at_sides = (F.col("cx") < F.col("width") * MARGIN) | (F.col("cx") > F.col("width") - F.col("width") * MARGIN)
-    marked = sized.filter(fits).withColumn(
-        "axis", F.when(at_ends & F.col("label").rlike("^[A-Z]$"), "col").when(at_sides & F.col("label").rlike("^[0-9]{1,2}$"), "row")
-    )
-    is_col = F.col("axis") == "col"
-    return marked.filter(F.col("axis").isNotNull()).select(
-        "map_name", "axis", "label",
-        F.when(is_col, F.col("cx")).otherwise(F.col("cy")).alias("pos"),
-        F.when(is_col, F.col("cy")).otherwise(F.col("cx")).alias("margin_pos"),
-        F.when(is_col, F.col("height")).otherwise(F.col("width")).alias("extent"),
-        F.when(is_col, F.ascii("label") - 64).otherwise(F.col("label").try_cast("int")).alias("ord"),
+
+    def candidate(axis: str, pos: str, margin_pos: str, extent: str, ord_no: Column) -> Column:
+        return F.struct(
+            F.lit(axis).alias("axis"), F.col(pos).alias("pos"), F.col(margin_pos).alias("margin_pos"), F.col(extent).alias("extent"),
+            ord_no.alias("ord"),
+        )
+
+    # A generator, unlike a filter on the finished axis, is not copied down to the scan.
+    found = F.array_compact(
+        F.array(
+            F.when(at_ends & F.col("label").rlike("^[A-Z]$"), candidate("col", "cx", "cy", "height", F.ascii("label") - 64)),
+            F.when(at_sides & F.col("label").rlike("^[0-9]{1,2}$"), candidate("row", "cy", "cx", "width", F.col("label").try_cast("int"))),
+        )
     )
+    return sized.filter(fits).select("map_name", "label", F.inline(found))
 
 
 def label_positions(labels: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def spread(df: DataFrame, least_bytes: int = 4 * 1024 * 1024) -> DataFrame:
     """
     spark = df.sparkSession
     size, cores = estimated_bytes(df), spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(cores) if least_bytes <= size < split * cores else df
 
 
