@@ -153,8 +153,3 @@ COUNTRY_RULES: tuple[tuple[str, str, int, bool], ...] = (
 
 # Fixed value: sheet numbers such as "72 C/01", "45D/7" or "NI-44-6" in the original case.
 SHEET_NUMBER = r"\b(?:\d{1,3}\s*[A-Z](?:/\d{1,2})?|[A-Z]{1,2}-\d{2}-\d{1,2})\b"
-
-# What the maps of each country are called in a request.
-COUNTRY_INTRODUCTIONS = {
-    "india": "Survey of India topographical maps",
-}

@@ -99,12 +99,11 @@ def type_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("feature_type").agg(F.count("*").alias("n"))
 
 
-def pass_through(texts: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+def pass_through(texts: DataFrame, results: DataFrame, key: str, text: str = "original") -> DataFrame:
     """Results per text; a text without one keeps its wording, unclassified at 0.5."""
-    joined = texts.join(results, keys, "left")
-    return joined.withColumns(
+    return texts.join(results, key, "left").withColumns(
         {
-            "cleaned": F.coalesce("cleaned", keys[-1]),
+            "cleaned": F.coalesce("cleaned", text),
             "feature_type": F.coalesce("feature_type", F.lit("unknown")),
             "confidence": F.coalesce("confidence", F.lit(0.5)),
         }
@@ -189,12 +188,12 @@ def lookup(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     return keyed.join(dictionary.withColumnRenamed("variant", "_key"), "_key", "left").drop("_key")
 
 
-def _like_initial(text: Column, replacement: Column) -> Column:
+def like_initial(text: Column, replacement: Column) -> Column:
     raised = F.concat(F.upper(F.substring(replacement, 1, 1)), F.substr(replacement, F.lit(2)))
     return F.when(text.rlike(r"^\p{Lu}"), raised).otherwise(replacement)
 
 
-def normalise_spelling(df: DataFrame, key: str, column: str, dictionary: DataFrame) -> DataFrame:
+def normalise_spelling(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Replace historical spellings once, as a whole text or else word by word.
 
     ``column`` gets the new text and ``spelling_source`` the old one where it changed. The
@@ -203,7 +202,7 @@ def normalise_spelling(df: DataFrame, key: str, column: str, dictionary: DataFra
     """
     dictionary = small_side(dictionary)
     whole = lookup(df, column, dictionary)
-    whole = whole.withColumn("_whole", F.when(F.col("canonical").isNotNull(), _like_initial(F.col(column), F.col("canonical")))).drop("canonical")
+    whole = whole.withColumn("_whole", F.when(F.col("canonical").isNotNull(), like_initial(F.col(column), F.col("canonical")))).drop("canonical")
     runs = F.regexp_extract_all(F.col(column), F.lit(r"([A-Za-z']+|[^A-Za-z']+)"), F.lit(1))
     pieces = (
         whole.filter(F.col("_whole").isNull())
@@ -213,7 +212,7 @@ def normalise_spelling(df: DataFrame, key: str, column: str, dictionary: DataFra
     matched = pieces.join(
         dictionary.select(F.col("variant").alias("_variant"), "canonical"), F.lower("_run") == F.col("_variant"), "left"
     )
-    new_run = F.when(F.col("canonical").isNotNull(), _like_initial(F.col("_run"), F.col("canonical"))).otherwise(F.col("_run"))
+    new_run = F.when(F.col("canonical").isNotNull(), like_initial(F.col("_run"), F.col("canonical"))).otherwise(F.col("_run"))
     rebuilt = matched.groupBy("_text").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", new_run.alias("run")))), lambda r: r["run"]), "").alias("_words")
     )

@@ -208,15 +208,15 @@ def legacy_labels(detections: DataFrame, maps: DataFrame) -> DataFrame:
     )
 
 
-def _lines_before(lines: Column, position: Column) -> Column:
+def lines_before(lines: Column, position: Column) -> Column:
     return F.size(F.filter(lines, lambda p: p < position))
 
 
 def grid_reference(df: DataFrame, grids: DataFrame) -> DataFrame:
     """Add ``grid_reference`` such as ``2B``: row number from the top, column letter from the left."""
     joined = df.join(small_side(grids.select("map_name", "col_lines", "row_lines")), "map_name", "left")
-    col_no = F.coalesce(_lines_before(F.col("col_lines"), centre("x1", "x2")), F.lit(0))
-    row_no = F.coalesce(_lines_before(F.col("row_lines"), centre("y1", "y2")), F.lit(0)) + 1
+    col_no = F.coalesce(lines_before(F.col("col_lines"), centre("x1", "x2")), F.lit(0))
+    row_no = F.coalesce(lines_before(F.col("row_lines"), centre("y1", "y2")), F.lit(0)) + 1
     letter = F.when(col_no < 26, F.chr(col_no + 65)).otherwise(F.concat(F.lit("C"), col_no.cast("string")))
     return joined.withColumn("grid_reference", F.concat(row_no.cast("string"), letter)).drop("col_lines", "row_lines")
 
@@ -228,7 +228,7 @@ def grid_reference_row_first(df: DataFrame, grids: DataFrame) -> DataFrame:
 
     def index(lines: str, position: Column, extent: str) -> Column:
         quarter = F.least(F.floor(position / F.col(extent) * 4), F.lit(3)).cast("int")
-        return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, _lines_before(F.col(lines), position)).otherwise(quarter)
+        return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, lines_before(F.col(lines), position)).otherwise(quarter)
 
     col_no, row_no = index("col_lines", cx, "width"), index("row_lines", cy, "height")
     letter = F.when(row_no < 26, F.chr(row_no + 65)).otherwise(F.concat(F.lit("R"), row_no.cast("string")))

@@ -73,11 +73,7 @@ def _(t):
 def _(t):
     texts = t.part.select(F.col("p_partkey").alias("item_no"), F.col("p_name").alias("original"))
     results = t.provider_items.filter("provider = 'C'").select("item_no", "cleaned", "feature_type", "confidence")
-    joined = texts.join(results, "item_no", "left")
-    return joined.select(
-        "item_no", "original", F.coalesce("cleaned", "original").alias("cleaned"),
-        F.coalesce("feature_type", F.lit("unknown")).alias("feature_type"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
-    )
+    return op.pass_through(texts, results, "item_no")
 
 
 @query(
@@ -183,12 +179,12 @@ _SPELLED = _DICTIONARY + r""", whole AS (SELECT t.text_no, t.text, d.canonical F
 def _(t):
     dictionary = op.flatten_spelling(t.spelling_files)
     hits = op.lookup(t.spelling_texts, "text", dictionary).filter(F.col("canonical").isNotNull())
-    return hits.select("text_no", op._like_initial(F.col("text"), F.col("canonical")).alias("text"))
+    return hits.select("text_no", op.like_initial(F.col("text"), F.col("canonical")).alias("text"))
 
 
 @query("cln12_word_spelling", _SPELLED + "SELECT text_no, text FROM spelled", ("spelling_files", "spelling_texts"))
 def _(t):
-    fixed = op.normalise_spelling(t.spelling_texts, "text_no", "text", op.flatten_spelling(t.spelling_files))
+    fixed = op.normalise_spelling(t.spelling_texts, "text", op.flatten_spelling(t.spelling_files))
     return fixed.select("text_no", "text")
 
 
@@ -198,4 +194,4 @@ def _(t):
     ("spelling_files", "spelling_texts"),
 )
 def _(t):
-    return op.normalise_spelling(t.spelling_texts, "text_no", "text", op.flatten_spelling(t.spelling_files))
+    return op.normalise_spelling(t.spelling_texts, "text", op.flatten_spelling(t.spelling_files))

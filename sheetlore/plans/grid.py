@@ -280,8 +280,8 @@ def _(t):
         _line_grid(t).select("map_name", "col_lines", "row_lines"), "map_name"
     )
     return joined.select(
-        "map_name", "det_id", op._lines_before(F.col("col_lines"), op.centre("x1", "x2")).cast("bigint").alias("lines_left"),
-        op._lines_before(F.col("row_lines"), op.centre("y1", "y2")).cast("bigint").alias("lines_above"),
+        "map_name", "det_id", op.lines_before(F.col("col_lines"), op.centre("x1", "x2")).cast("bigint").alias("lines_left"),
+        op.lines_before(F.col("row_lines"), op.centre("y1", "y2")).cast("bigint").alias("lines_above"),
     )
 
 

@@ -7,10 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound for a side that an operator itself marks for broadcast.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
-
 def build_session(app_name: str = "sheetlore", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; every setting can be overridden."""
     settings = {
@@ -73,14 +69,6 @@ def spread(df: DataFrame, least_bytes: int = 4 * 1024 * 1024) -> DataFrame:
     return df.repartition(cores) if least_bytes <= size < split * cores else df
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast when the optimizer's size estimate is under the limit.
-
-    Beyond it the frame is returned unmarked and Spark picks a shuffle join.
-    """
-    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
-
-
 def small_side(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     """``df`` evaluated once and, when it has few rows, marked for broadcast.
 

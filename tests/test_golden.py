@@ -183,7 +183,7 @@ def test_spelling_is_single_pass(spark):
     )
     dictionary = cleaning.flatten_spelling(files)
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["Cawnpore", "Caluctta", "near cawnpore, Calcutta!", "dehra dun", "Patna", "a"])], "id int, text string")
-    got = {r.id: (r.text, r.spelling_source) for r in cleaning.normalise_spelling(texts, "id", "text", dictionary).collect()}
+    got = {r.id: (r.text, r.spelling_source) for r in cleaning.normalise_spelling(texts, "text", dictionary).collect()}
     assert got == {
         0: ("Kanpur", "Cawnpore"), 1: ("Calcutta", "Caluctta"), 2: ("near Kanpur, Kolkata!", "near cawnpore, Calcutta!"),
         3: ("Dehradun", "dehra dun"), 4: ("Patna", None), 5: ("a", None),
