@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def build_session(app_name: str = "sheetlore", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; every setting can be overridden."""
     settings = {
