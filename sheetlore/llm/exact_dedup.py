@@ -58,7 +58,7 @@ def _first_names(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> D
     # where their row number sends them; the first byte keeps such keys apart from blocks.
     own = F.concat(F.lit(b"\x01"), F.col("block"))
     left = occurrences.join(F.broadcast(heavy), "block", "left").withColumn(
-        "key", F.when(F.col("heavy_name").isNull(), own).otherwise(F.concat(F.lit(b"\x00"), F.col("rid").cast("binary")))
+        "key", F.when(F.col("heavy_name").isNull(), own).otherwise(F.concat(F.lit(b"\x00"), F.col("rid").cast("string").cast("binary")))
     )
     others = occurrences.filter(~is_heavy).groupBy(own.alias("key")).agg(F.count("*").alias("n_seen"))
     named = left.drop("block", "mark").join(_names(others, ["key"]).hint("merge"), "key", "left")
