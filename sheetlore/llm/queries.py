@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sheetlore.llm.bpe_automaton import encode_digests
 from sheetlore.llm.exact_dedup import exact_duplicates
+from sheetlore.llm.token_counts import context_summary, length_histogram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return context_summary(length_histogram(_table(spark, sf_dir, "documents"), vocabulary))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,9 +34,15 @@ FROM texts WINDOW g AS (PARTITION BY body)
 """
 
 
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_bpe_automaton": op3_bpe_automaton,
     }
 
 
