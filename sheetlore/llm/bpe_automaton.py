@@ -16,12 +16,10 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sheetlore.llm.common import local_text, python_ready
+from sheetlore.llm.common import local_text, map_texts, python_ready
 
 #: Fixed value: the pattern that splits a text into words before merging.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -307,17 +305,9 @@ def encode_digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
     whose size depends on the vocabulary alone, is broadcast.
     """
     shared = shared_tables(docs.sparkSession, vocabulary)
+    columns = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = worker_encoder(shared)
-        for frame in frames:
-            found = list(encoder.digests(frame["text"].tolist()))
-            out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", frame["doc_id"].array)
-            yield out
-
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInPandas(encode, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn(
-        "doc_id", F.col("doc_id").cast(kind)
-    )
+    def digests(texts: list[str]) -> list[list]:
+        return [list(x) for x in zip(*worker_encoder(shared).digests(texts), strict=True)] or [[], [], []]
+
+    return map_texts(docs, doc_id, text, columns, digests)

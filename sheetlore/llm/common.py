@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +91,50 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.add.reduceat(_BYTE[data[at]] * power, word_begin)
     hashes = mix(sums + lengths.astype(np.uint64) * _STEP)
     return hashes, np.searchsorted(starts, begins)
+
+
+def map_texts(docs: DataFrame, doc_id: str, text: str, columns: dict[str, str], score) -> DataFrame:
+    """doc_id and the columns that ``score(texts)`` gives for the whole texts of a batch (null: empty).
+
+    ``score`` returns one list or array per column, in order. The id column is passed on as it is.
+    """
+    python_ready(docs.sparkSession)
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.array(x) for x in score(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["doc_id", *names])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{k} {v}" for k, v in columns.items())]))
+
+
+def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Stretches of a batch with a bounded amount of text (a longer text stands alone)."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= chars):
+            size += len(texts[end])
+            end += 1
+        yield begin, end
+        begin = end
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of equal values in the first column of a sorted stream, each as one table."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = np.asarray(table.column(0))
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield table.slice(begin, end - begin)
+        rest = table.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest

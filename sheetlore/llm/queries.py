@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheetlore.llm.bpe_automaton import encode_digests
 from sheetlore.llm.exact_dedup import exact_duplicates
+from sheetlore.llm.near_dedup import near_duplicates
 from sheetlore.llm.token_counts import context_summary, length_histogram
 
 
@@ -38,11 +39,16 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_bpe_automaton": op3_bpe_automaton,
+        "op7_near_dedup": op7_near_dedup,
     }
 
 
