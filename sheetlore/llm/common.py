@@ -51,8 +51,8 @@ def local_text(path: str) -> str:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -66,20 +66,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: list[str | None], prefixes: tuple[int, ...] = (), within: np.ndarray = ~_SPACE
+) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of all texts, and where each text's words begin (one entry more than texts).
 
-    Words are runs without U+0020 and U+0009..U+000D, after lower-casing A-Z. The texts of a
-    batch are hashed together over their UTF-8 bytes; there is no loop over words.
+    Words are runs of the bytes marked in ``within`` (by default runs without U+0020 and
+    U+0009..U+000D) after lower-casing A-Z. For each of ``prefixes`` a further array has the hash of
+    that many first bytes of a word, 0 for shorter words. The texts of a batch are hashed together
+    over their UTF-8 bytes; there is no loop over words.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = _FOLD[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
+    data = FOLDED[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    inside = ~_SPACE[data]
-    edge = np.diff(np.concatenate(([False], inside)).astype(np.int8))
+    inside = within[data]
+    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes))
     lengths = ends - starts
     at = np.flatnonzero(inside)
     word_begin = np.cumsum(lengths) - lengths
@@ -88,9 +92,21 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     far = place >= len(_POWERS)
     if far.any():  # words of more than 4096 bytes: later stretches get another weight
         power[far] = mix(place[far].astype(np.uint64))
-    sums = np.add.reduceat(_BYTE[data[at]] * power, word_begin)
-    hashes = mix(sums + lengths.astype(np.uint64) * _STEP)
-    return hashes, np.searchsorted(starts, begins)
+    weighted = _BYTE[data[at]] * power
+    hashes = mix(np.add.reduceat(weighted, word_begin) + lengths.astype(np.uint64) * _STEP)
+    more = []
+    if prefixes:
+        up_to = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weighted, dtype=np.uint64)))
+        for k in prefixes:
+            end = np.minimum(word_begin + k, len(at))
+            first = mix(up_to[end] - up_to[word_begin] + np.uint64(k * 0xC2B2AE3D27D4EB4F % 2**64))
+            more.append(np.where(lengths >= k, first, np.uint64(0)))
+    return hashes, np.searchsorted(starts, begins), *more
+
+
+#: Letters, digits and every byte of a character beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def map_texts(docs: DataFrame, doc_id: str, text: str, columns: dict[str, str], score) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheetlore.llm.bpe_automaton import encode_digests
 from sheetlore.llm.exact_dedup import exact_duplicates
+from sheetlore.llm.language_cnn import languages
 from sheetlore.llm.near_dedup import near_duplicates
+from sheetlore.llm.quality_trees import quality_scores
 from sheetlore.llm.token_counts import context_summary, length_histogram
+from sheetlore.llm.toxicity_fm import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,16 +42,31 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_bpe_automaton": op3_bpe_automaton,
+        "op5_quality_trees": op5_quality_trees,
+        "op6_language_cnn": op6_language_cnn,
         "op7_near_dedup": op7_near_dedup,
+        "op9_toxicity_fm": op9_toxicity_fm,
     }
 
 
