@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetlore.llm.bpe_automaton import encode_digests
+from sheetlore.llm.decontamination import contaminated
 from sheetlore.llm.exact_dedup import exact_duplicates
 from sheetlore.llm.language_cnn import languages
 from sheetlore.llm.near_dedup import near_duplicates
@@ -58,6 +59,10 @@ def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_cnn": op6_language_cnn,
         "op7_near_dedup": op7_near_dedup,
         "op9_toxicity_fm": op9_toxicity_fm,
+        "op10_decontamination": op10_decontamination,
     }
 
 
