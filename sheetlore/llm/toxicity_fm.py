@@ -29,7 +29,7 @@ def term_sets(texts: list[str]) -> list[np.ndarray]:
     """Distinct hashed terms of each whole text."""
     out = []
     for begin, end in slices(texts):
-        hashes, bounds, *first = word_hashes(texts[begin:end], PREFIXES, LETTERS)
+        hashes, bounds, *first = word_hashes([t.lower() for t in texts[begin:end]], PREFIXES, LETTERS)
         every = np.stack([hashes, *first]) >> np.uint64(64 - SPACE_BITS)
         out += [np.unique(every[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return out
