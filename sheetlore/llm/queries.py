@@ -11,9 +11,11 @@ from sheetlore.llm.bpe_automaton import encode_digests
 from sheetlore.llm.decontamination import contaminated
 from sheetlore.llm.exact_dedup import exact_duplicates
 from sheetlore.llm.language_cnn import languages
+from sheetlore.llm.license_scan import license_paragraphs
 from sheetlore.llm.near_dedup import near_duplicates
 from sheetlore.llm.quality_trees import quality_scores
 from sheetlore.llm.token_counts import context_summary, length_histogram
+from sheetlore.llm.token_shards import training_shards
 from sheetlore.llm.toxicity_fm import toxicity_scores
 
 
@@ -43,6 +45,10 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,6 +61,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -68,9 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_bpe_automaton": op3_bpe_automaton,
+        "op4_license_scan": op4_license_scan,
         "op5_quality_trees": op5_quality_trees,
         "op6_language_cnn": op6_language_cnn,
         "op7_near_dedup": op7_near_dedup,
+        "op8_token_shards": op8_token_shards,
         "op9_toxicity_fm": op9_toxicity_fm,
         "op10_decontamination": op10_decontamination,
     }
