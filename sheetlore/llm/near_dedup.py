@@ -250,7 +250,7 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFr
     return stored(same.groupBy("cid").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """Every row with its group of near-duplicates.
 
     Returns doc_id, n_shingles, component_id, kept. Two documents are linked when their sets of
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 2) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
     kept = near_duplicates(docs, doc_id, text, words).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]), "left_semi")

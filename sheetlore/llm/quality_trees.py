@@ -7,7 +7,10 @@ documents walks all trees together with numpy indexing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,3 +150,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns, unmoved."""
+    python_ready(docs.sparkSession)
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t or "") for t in batch.column(place).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(scores(shared.value, x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

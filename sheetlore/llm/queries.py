@@ -58,7 +58,7 @@ def op6_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2)
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
         "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
@@ -85,8 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_toxicity_fm": op9_toxicity_fm,
         "op10_decontamination": op10_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    import corpus_pipeline
+
+    return {"op2_exact_dedup": OP2_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

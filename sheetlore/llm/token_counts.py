@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlore.llm.bpe_automaton import shared_tables, worker_encoder
+from sheetlore.llm.common import stored
 
 #: Lengths summed together before the sums over all lengths.
 STRETCH = 1024
@@ -43,7 +44,7 @@ def context_summary(histogram: DataFrame) -> DataFrame:
     rest, quantile the share of documents within. The sums run inside stretches of lengths and
     over the stretches' totals, so no task holds the whole histogram.
     """
-    own = histogram.select(
+    own = stored(histogram, "length-histogram").select(
         "n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / STRETCH).alias("stretch")
     )
     totals = own.groupBy("stretch").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("tokens"))
