@@ -28,9 +28,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fold(doc_id: str | Column, of: int) -> Column:
+def fold(doc_id: str, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % of
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of
 
 
 def ascii_lower(text: Column) -> Column:
@@ -38,6 +38,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def python_ready(spark: SparkSession) -> None:
     """Make this package importable in Python workers on every executor."""
     ship_package(spark)

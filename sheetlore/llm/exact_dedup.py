@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlore.llm.common import ascii_lower, stored
+from sheetlore.llm.common import ascii_lower, stored, unused
 
 BLOCK_BYTES = 4096
 #: Blocks named apart from the others: so every other block has at most 1/257 of all occurrences.
@@ -122,7 +122,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def without_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; repeated rows leave one."""
-    own = "_text_sha256"
+    own = unused(docs, "_text_sha256")
     kept = exact_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     marked = docs.withColumn(own, F.sha2(ascii_lower(F.col(text)).cast("binary"), 256))
     same = (marked[own] == kept["_kept_sha"]) & marked[doc_id].eqNullSafe(kept["_kept_id"])
