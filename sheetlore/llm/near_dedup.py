@@ -133,62 +133,67 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket's block: pairs across components that may be linked, as lists of partners.
+    """Per bucket's block: the classes of pairs across components that may be linked.
 
-    A pair is listed only by the first band in which it agrees. Rows are (unit, cid, partners):
-    the classes that a later task needs together.
+    Rows are (unit, band, cid, asks): what a later task needs together, a class once per unit; those
+    that ask are outside the largest component and at most CHUNK a unit.
     """
     for group in sorted_groups(batches):
-        ids, sizes, sketches = np.asarray(group.column("cid")), np.asarray(group.column("n")), _matrix(group.column("sketch"))
-        component, minor = np.asarray(group.column("component")), np.asarray(group.column("minor"))
-        home, band = np.asarray(group.column("home")), int(group.column("band")[0].as_py())
-        block = int(group.column("block")[0].as_py())
-        bands = sketches.reshape(len(ids), BANDS, ROWS)
-        units: list[tuple[str, int, list[int] | None]] = []
-        everyone = np.arange(len(ids))
-        for number, one in enumerate(np.flatnonzero(minor).tolist()):
-            other = (component != component[one]) & ((~minor) | (ids > ids[one]))
-            other &= (home == block) | (home[one] == block)  # of two visitors their own blocks take care
-            found, estimate = admitted(one, everyone[other], sketches, sizes)
-            if len(found):
-                agree = (bands[found] == bands[one]).all(axis=2)
-                mine = agree.argmax(axis=1) == band
-                found = found[mine][np.argsort(-estimate[mine], kind="stable")]
-            if len(found):
-                unit = f"{group.column('unit')[0].as_py()}/{number // CHUNK}"
-                units.append((unit, int(ids[one]), ids[found].tolist()))
-                units += [(unit, int(ids[k]), None) for k in found.tolist()]
-        if units:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([u[0] for u in units]), pa.array([u[1] for u in units], pa.int64()), pa.array([u[2] for u in units], pa.list_(pa.int64()))],
-                ["unit", "cid", "partners"],
-            )
+        bucket = _Bucket(group)
+        for number, some in enumerate(np.array_split(bucket.asking, max(1, -(-len(bucket.asking) // CHUNK)))):
+            wanted: set[int] = set()
+            asks = []
+            for one in some.tolist():
+                found = bucket.partners(one, bucket.component)
+                if len(found):
+                    asks.append(one)
+                    wanted.update(found.tolist())
+            rest = sorted(wanted.difference(asks))
+            if asks:
+                n = len(asks) + len(rest)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{bucket.unit}/{number}"] * n), pa.array([bucket.band] * n, pa.int32()), pa.array(bucket.ids[asks + rest]),
+                     pa.array([True] * len(asks) + [False] * len(rest))],
+                    ["unit", "band", "cid", "asks"],
+                )
+
+
+class _Bucket:
+    """Classes of a bucket's block, or of a unit of it, with what decides which pairs to compare."""
+
+    def __init__(self, group: pa.Table):
+        self.ids, self.sizes, self.sketches = np.asarray(group.column("cid")), np.asarray(group.column("n")), _matrix(group.column("sketch"))
+        self.component, self.minor = np.asarray(group.column("component")), np.asarray(group.column("minor"))
+        self.home, self.block = np.asarray(group.column("home")), int(group.column("block")[0].as_py())
+        self.band, self.unit = int(group.column("band")[0].as_py()), group.column("unit")[0].as_py()
+        self.asking = np.flatnonzero(self.minor)
+        self.bands = self.sketches.reshape(len(self.ids), BANDS, ROWS)
+
+    def partners(self, one: int, component: np.ndarray) -> np.ndarray:
+        """Classes of other components that may be linked to ``one``, likeliest first.
+
+        A pair is taken up where it agrees first among the bands, once within a bucket; of two
+        visitors to a block, their own blocks take care.
+        """
+        other = (component != component[one]) & ((~self.minor) | (self.ids > self.ids[one]))
+        other &= (self.home == self.block) | (self.home[one] == self.block)
+        found, estimate = admitted(one, np.flatnonzero(other), self.sketches, self.sizes)
+        first = (self.bands[found] == self.bands[one]).all(axis=2).argmax(axis=1) == self.band
+        return found[first][np.argsort(-estimate[first], kind="stable")]
 
 
 def _verify_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links across components, confirmed on full sets; pairs already connected are passed over."""
+    """Links across components, confirmed on full sets; what is connected by then is not compared."""
     for group in sorted_groups(batches):
-        sets, component, asked = {}, {}, {}
-        for row in group.to_pylist():
-            sets[row["cid"]] = np.frombuffer(row["shingles"], np.uint64)
-            component[row["cid"]] = row["component"]
-            if row["partners"]:
-                asked[row["cid"]] = row["partners"]
-        root: dict[int, int] = {}
-
-        def find(x: int, root: dict[int, int] = root) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        left, right = [], []
-        for one, partners in asked.items():
-            for other in partners:
-                a, b = find(component[one]), find(component[other])
-                if a != b and linked(sets[one], sets[other]):
-                    root[max(a, b)] = min(a, b)
-                    left.append(one)
-                    right.append(other)
+        bucket = _Bucket(group)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+        component, left, right = bucket.component.copy(), [], []
+        for one in np.flatnonzero(np.asarray(group.column("asks"))).tolist():
+            for other in bucket.partners(one, component).tolist():
+                if component[one] != component[other] and linked(sets[one], sets[other]):
+                    component[component == component[other]] = component[one]
+                    left.append(int(bucket.ids[one]))
+                    right.append(int(bucket.ids[other]))
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -305,14 +310,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = several.withColumn("block", F.explode(F.when(F.col("minor"), everywhere).otherwise(F.array("home"))))
     second = dealt.join(traits, "cid").select(unit.alias("unit"), "cid", "n", "sketch", "component", "minor", "home", "band", "block")
     units = stored(
-        second.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(_across, "unit string, cid long, partners array<long>"), "units"
+        second.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(_across, "unit string, band int, cid long, asks boolean"), "units"
     )
     more = units.select("cid").distinct().join(sets, "cid", "left_anti")
     every_set = sets.unionByName(_sets_of(docs, doc_id, text, words, named.join(more, "cid")))
-    listed = units.groupBy("unit", "cid").agg(F.max("partners").alias("partners"))
-    labels = reached.select("cid", "component")
-    full = listed.join(every_set, "cid").join(labels, "cid", "left").select(
-        "unit", "cid", F.coalesce("component", "cid").alias("component"), "partners", "shingles"
+    places = several.select("band", "bucket", "cid", "component", "minor", "home")
+    own_block = F.split("unit", "/")
+    full = (
+        units.withColumn("bucket", own_block[1].cast("long")).withColumn("block", own_block[2].cast("int"))
+        .join(places, ["band", "bucket", "cid"]).join(traits, "cid").join(every_set, "cid")
+        .select("unit", "cid", "n", "sketch", "component", "minor", "home", "band", "block", "asks", "shingles")
     )
     crossing = full.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(_verify_units, "a long, b long")
     all_links = stored(links.unionByName(crossing), "all-links")
