@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
 from sheetlore.operators.detections import batches
 from sheetlore.session import small_side
 
@@ -25,9 +26,9 @@ def request_batches(detections: DataFrame, size: int = 40) -> DataFrame:
 
 def response_items(responses: DataFrame, payload: str = "payload") -> DataFrame:
     """Items of a JSON list, with or without a code fence; any other payload has no items."""
-    text = F.trim(F.regexp_replace(F.col(payload), r"^\s+|\s+$", ""))
+    text = stripped(F.regexp_replace(F.col(payload), r"^\s+|\s+$", ""))
     unfenced = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n", ""), r"\s*```\s*$", "")
-    body = F.trim(F.when(text.startswith("```"), unfenced).otherwise(text))
+    body = stripped(F.when(text.startswith("```"), unfenced).otherwise(text))
     items = F.when(body.startswith("["), F.from_json(body, ITEM_SCHEMA))
     keep = [c for c in responses.columns if c != payload]
     return responses.select(*keep, F.inline(items))
@@ -66,14 +67,16 @@ def _any_word(words: tuple[str, ...]) -> str:
 
 
 def classify(df: DataFrame, column: str = "text") -> DataFrame:
-    """Add ``cleaned``, ``feature_type`` and ``confidence`` by the first rule that fits."""
-    cleaned = F.trim(F.col(column))
-    low = F.lower(cleaned)
+    """Add ``cleaned``, ``feature_type`` and ``confidence`` by the first rule that fits.
+
+    Wording and verdict come out of generators: a later filter on them is then not copied into
+    the plan below, where it would run all rules once more.
+    """
+    wording = F.struct(stripped(F.col(column)).alias("_cleaned"), F.lower(stripped(F.col(column))).alias("_low"))
+    worded = df.select("*", F.inline(F.array(wording)))
+    cleaned, low = F.col("_cleaned"), F.col("_low")
     # The ending must follow at least two characters of the word, leading punctuation aside.
-    letters = F.length(F.regexp_replace(low, r"^[^\p{L}\p{N}_]+", ""))
-    ending = F.lit(False)
-    for end in SETTLEMENT_ENDINGS:
-        ending = ending | (low.endswith(end) & (letters > len(end) + 1))
+    ending = low.rlike(rf"(?s)^[^\p{{L}}\p{{N}}_]*+.{{2,}}(?:{'|'.join(SETTLEMENT_ENDINGS)})\z")
     capital = cleaned.rlike(r"^\p{Lu}") & (F.length(cleaned) >= 4) & F.replace(cleaned, F.lit(" "), F.lit("")).rlike(r"^\p{L}+$")
     rules = [
         (low.rlike("|".join(NOISE_PATTERNS)), "noise", "noise"),
@@ -91,8 +94,8 @@ def classify(df: DataFrame, column: str = "text") -> DataFrame:
     for test, kind, level in rules:
         value = F.struct(F.lit(kind).alias("feature_type"), F.lit(RULE_CONFIDENCE[level]).alias("confidence"))
         choice = F.when(test, value) if choice is None else choice.when(test, value)
-    chosen = df.withColumns({"cleaned": cleaned, "_rule": choice.otherwise(verdict)})
-    return chosen.withColumns({"feature_type": F.col("_rule.feature_type"), "confidence": F.col("_rule.confidence")}).drop("_rule")
+    kept = [c for c in df.columns if c not in ("cleaned", "feature_type", "confidence")]
+    return worded.select(*kept, cleaned.alias("cleaned"), F.inline(F.array(choice.otherwise(verdict))))
 
 
 def type_histogram(df: DataFrame) -> DataFrame:
@@ -127,7 +130,7 @@ def vote(items: DataFrame) -> DataFrame:
     Ties go to the value named first (by provider, then item). All counting is by partial
     aggregation, so an original that many rows share costs one row per task.
     """
-    original = F.trim("original")
+    original = stripped("original")
     votes = (
         items.withColumns({"original": original, "units": F.round(F.coalesce("confidence", F.lit(0.5)) * 10000).cast("bigint")})
         .filter(F.col("original") != "")
@@ -184,7 +187,7 @@ def flatten_spelling(files: DataFrame, payload: str = "payload", order: str = "f
 
 def lookup(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Add ``canonical`` for the trimmed, lower-cased text, NULL where the dictionary has none."""
-    keyed = df.withColumn("_key", F.lower(F.trim(column)))
+    keyed = df.withColumn("_key", F.lower(stripped(column)))
     return keyed.join(dictionary.withColumnRenamed("variant", "_key"), "_key", "left").drop("_key")
 
 

@@ -41,13 +41,9 @@ def comparison_summary(names: DataFrame, n_maps: int) -> DataFrame:
 
 
 def common_table(names: DataFrame, n_maps: int) -> DataFrame:
-    """Common names with the list of maps; a list holds one entry per chosen map."""
-    return (
-        names.groupBy("name")
-        .agg(F.array_join(F.array_sort(F.collect_set("map_name")), ", ").alias("in_maps"), F.count("*").alias("on_maps"))
-        .filter(F.col("on_maps") == n_maps)
-        .select("name", "in_maps")
-    )
+    """Common names with the list of maps, which is that of all chosen maps for each of them."""
+    chosen = names.select("map_name").distinct().agg(F.array_join(F.array_sort(F.collect_list("map_name")), ", ").alias("in_maps"))
+    return common_names(names, n_maps).select("name").withColumn("in_maps", chosen.scalar())
 
 
 def unique_rows(df: DataFrame, names: DataFrame, n_maps: int) -> DataFrame:

@@ -17,16 +17,35 @@ from sheetlore.functions.country_rules import COUNTRY_RULES, SHEET_NUMBER
 SHEET_BONUS, SHEET_COUNTRY = 10, "india"
 LEAST_SCORE = 3
 IMAGE_TRUST, IMAGE_DOUBT = 0.7, 0.4
-STRETCH, OVERLAP = 32, 5
+STRETCH = 32
 
 
-def stretches(texts: DataFrame, size: int = STRETCH, overlap: int = OVERLAP) -> DataFrame:
-    """``(map_name, stretch, document)`` of ``size`` texts plus the first ``overlap`` of the next.
+def words_spanned(rules=COUNTRY_RULES) -> int:
+    """Most texts that a match of one of the rules can touch: the words of the longest pattern.
 
-    ``seq`` numbers the texts of a map without gaps. No rule spans more than ``overlap`` + 1
-    texts, so every match lies within one stretch, and no group holds more than
-    ``size + overlap`` texts.
+    A pattern that can match text of any length has no such bound and is refused.
     """
+    patterns = [pattern for pattern, *_ in rules]
+    for pattern in patterns:
+        if re.search(r"(?<!\\)[*+]|\{\d+,\}", pattern):
+            raise ValueError(f"the rule {pattern!r} may match texts of any length")
+    return max([len(re.split(r"\\s|\s", pattern)) for pattern in [*patterns, SHEET_NUMBER]])
+
+
+def map_documents(texts: DataFrame) -> DataFrame:
+    """``(map_name, document)``: all texts of a map in order; for a sheet's texts, which one row can hold."""
+    words = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return texts.groupBy("map_name").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("document"))
+
+
+def stretches(texts: DataFrame, rules=COUNTRY_RULES, size: int = STRETCH) -> DataFrame:
+    """``(map_name, stretch, document)`` of ``size`` texts plus the first few of the next.
+
+    ``seq`` numbers the texts of a map without gaps. The overlap is taken from the longest rule,
+    so every match lies within one stretch, and no group holds more than ``size + overlap`` texts.
+    """
+    overlap = words_spanned(rules) - 1
+    size = max(size, overlap)
     own = F.floor(F.col("seq") / size)
     also = F.when((F.col("seq") % size < overlap) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     placed = texts.select("map_name", "seq", "text", F.explode(also).alias("stretch"))
@@ -74,7 +93,7 @@ def winners(scores: DataFrame, maps: DataFrame, fallback: str = SHEET_COUNTRY) -
 
 def detect_countries(texts: DataFrame, rules=COUNTRY_RULES, fallback: str = SHEET_COUNTRY, with_map_name: bool = True) -> DataFrame:
     """Country of every map from its texts and its name."""
-    documents = stretches(texts)
+    documents = stretches(texts, rules)
     if with_map_name:
         named = F.concat("map_name", F.lit(" "), "document")
         documents = documents.withColumn("document", F.when(F.col("stretch") == 0, named).otherwise(F.col("document")))

@@ -22,6 +22,8 @@ TILES_PER_REQUEST = 16
 # Side of a search bin in pixels, and the most boxes of one bin compared pair by pair.
 BIN_SIZE = 128
 CROWDED = 200
+#: Pixels a side; beyond them a coordinate is taken to be corrupt when bins are assigned.
+LARGEST_PICTURE = 32_768
 
 _BIN = ["map_name", "bin_x", "bin_y"]
 
@@ -71,10 +73,19 @@ def batches(df: DataFrame, size: int, order: Sequence[str] = ("y1", "x1", "det_i
 # ---- duplicates --------------------------------------------------------------------------
 
 
+def _bin(position: Column, bin_size: int) -> Column:
+    """Bin of a coordinate; whatever lies outside the largest picture belongs to the border bins."""
+    return F.least(F.greatest(F.floor(position / bin_size), F.lit(0)), F.lit(LARGEST_PICTURE // bin_size))
+
+
 def in_bins(boxes: DataFrame, bin_size: int = BIN_SIZE) -> DataFrame:
-    """One row per box and search bin it touches; boxes without area touch none."""
+    """One row per box and search bin it touches; boxes without area touch none.
+
+    A corrupt box that reaches far beyond any picture touches the bins of the picture only. Boxes
+    that meet still share a bin, because the bins on either side of a border keep their order.
+    """
     def span(low: str, high: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / bin_size), F.floor((F.col(high) - 1) / bin_size))
+        return F.sequence(_bin(F.col(low), bin_size), _bin(F.col(high) - 1, bin_size))
 
     solid = boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
     wide = solid.select("*", F.explode(span("x1", "x2")).alias("bin_x"))
@@ -109,8 +120,8 @@ def overlapping_pairs(binned: DataFrame, bin_size: int = BIN_SIZE, also: Column
     Both sides share the bins' partitioning. A pair that shares several bins is reported only
     in the bin that holds the corner of its intersection, so no ``distinct`` is needed.
     """
-    corner_x = F.floor(F.greatest("a.x1", "b.x1") / bin_size)
-    corner_y = F.floor(F.greatest("a.y1", "b.y1") / bin_size)
+    corner_x = _bin(F.greatest("a.x1", "b.x1"), bin_size)
+    corner_y = _bin(F.greatest("a.y1", "b.y1"), bin_size)
     condition = _same_bin() & _meet() & _outranks() & (F.col("a.bin_x") == corner_x) & (F.col("a.bin_y") == corner_y)
     return binned.alias("a").join(binned.alias("b"), condition if also is None else condition & also)
 
@@ -206,9 +217,10 @@ def _leading(binned: DataFrame, crowded: int, bin_size: int) -> DataFrame:
     # row_number() <= k keeps at most k rows per bin in every map task before the shuffle.
     rank = F.row_number().over(Window.partitionBy(*_BIN).orderBy(F.desc("confidence"), "y1", "x1", "det_id"))
     leading = cut_lineage(binned.withColumn("rank", rank).filter(F.col("rank") <= crowded).drop("rank"))
-    touched = (F.floor((F.col("x2") - 1) / bin_size) - F.floor(F.col("x1") / bin_size) + 1) * (
-        F.floor((F.col("y2") - 1) / bin_size) - F.floor(F.col("y1") / bin_size) + 1
-    )
+    def wide(low: str, high: str) -> Column:
+        return _bin(F.col(high) - 1, bin_size) - _bin(F.col(low), bin_size) + 1
+
+    touched = wide("x1", "x2") * wide("y1", "y2")
     whole = leading.groupBy("map_name", "det_id", touched.alias("touched")).agg(F.count("*").alias("seen"))
     flags = whole.select("map_name", "det_id", (F.col("seen") == F.col("touched")).alias("complete"))
     return cut_lineage(leading.join(flags, ["map_name", "det_id"]))

@@ -122,11 +122,14 @@ def confidence_colour() -> Column:
 
 
 def low_confidence(df: DataFrame, corrected: DataFrame | None = None, threshold: float = 0.70) -> DataFrame:
-    """Rows a reviewer should look at, without those already corrected."""
-    flagged = not_noise(df).filter(F.col("confidence") < threshold)
+    """Rows a reviewer should look at, least confident first, without those already corrected.
+
+    Noise and untyped rows are among them, so a label misjudged as noise reaches a reviewer.
+    """
+    flagged = df.filter(F.col("confidence") < threshold)
     if corrected is not None:
         flagged = flagged.join(corrected.select("id"), "id", "left_anti")
-    return flagged
+    return flagged.orderBy("confidence", "id")
 
 
 def covers_box(lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
+
 # Fixed value: degrees with optional minutes, seconds and hemisphere.
 DEGREES = r"""(?i)(\d{1,3})\s*[°o]\s*(?:(\d{1,2})\s*['’′`]\s*(?:(\d{1,2}(?:\.\d+)?)\s*["”″]\s*)?)?([NSEW])?"""
 HEMISPHERE = r"(?i)^[NSEW]$"
@@ -12,7 +14,7 @@ HEMISPHERE = r"(?i)^[NSEW]$"
 
 def degree_parts(text: Column) -> dict[str, Column]:
     """Parts of the first degree notation in a text; missing parts are NULL."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
 
     def part(group: int) -> Column:
         return F.nullif(F.regexp_extract(trimmed, DEGREES, group), F.lit(""))
@@ -36,8 +38,8 @@ def with_hemisphere(tokens: DataFrame) -> DataFrame:
     degrees = tokens.select("map_name", "seq", *[c.alias(n) for n, c in degree_parts(F.col("text")).items()]).filter(
         F.col("deg").isNotNull()
     )
-    lone = tokens.filter(F.trim("text").rlike(HEMISPHERE)).select(
-        "map_name", (F.col("seq") - 1).alias("seq"), F.upper(F.trim("text")).alias("next_hemi")
+    lone = tokens.filter(stripped("text").rlike(HEMISPHERE)).select(
+        "map_name", (F.col("seq") - 1).alias("seq"), F.upper(stripped("text")).alias("next_hemi")
     )
     joined = degrees.join(lone, ["map_name", "seq"], "left")
     return joined.withColumn("hemi", F.coalesce("hemi", "next_hemi")).drop("next_hemi").filter(F.col("hemi").isNotNull())

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
 from sheetlore.session import small_side
 
 # Zones, limits and defaults of the grid rules.
@@ -22,51 +23,54 @@ DEFAULT_ROWS = 4
 LOW_CONFIDENCE = 0.4
 OLD_MARGIN = 80
 
-# Characters that recognition confuses in margin labels.
-LABEL_REPAIRS = {"0": "O", "l": "1", "I": "1", "S": "5", "G": "6"}
+# Characters that recognition confuses in margin labels, by what the label should be.
+LETTER_REPAIRS = {"0": "O"}
+DIGIT_REPAIRS = {"l": "1", "I": "1", "S": "5", "G": "6"}
 
 
 def centre(low: str, high: str) -> Column:
     return (F.col(low) + F.col(high)) / 2
 
 
-def repaired_label(text: Column) -> Column:
+def repaired_label(text: Column, repairs: dict[str, str]) -> Column:
     """Label with confused characters put right, in capitals; only lone characters are repaired."""
-    trimmed = F.trim(text)
-    repaired = F.translate(trimmed, "".join(LABEL_REPAIRS), "".join(LABEL_REPAIRS.values()))
+    trimmed = stripped(text)
+    repaired = F.translate(trimmed, "".join(repairs), "".join(repairs.values()))
     return F.upper(F.when(F.length(trimmed) == 1, repaired).otherwise(trimmed))
 
 
 def margin_labels(detections: DataFrame, maps: DataFrame) -> DataFrame:
     """Candidate labels ``(map_name, axis, label, ord, pos, margin_pos, extent)`` in the margins.
 
-    Letters at the top or bottom mark columns and digits at the left or right mark rows.
+    Letters at the top or bottom mark columns and digits at the left or right mark rows; a confused
+    character is read as a letter for the one and as a digit for the other.
     ``maps`` gives width and height; an absent ``red_share`` lets a label pass. Longer texts
     are dropped before the join, and each derived column is computed once, in its own step.
     """
-    short = detections.filter(F.length(F.trim("text")) <= 2)
+    short = detections.filter(F.length(stripped("text")) <= 2)
     sized = short.join(maps.select("map_name", "width", "height"), "map_name").withColumns(
-        {"label": repaired_label(F.col("text")), "cx": centre("x1", "x2"), "cy": centre("y1", "y2")}
+        {"letter": repaired_label(F.col("text"), LETTER_REPAIRS), "digits": repaired_label(F.col("text"), DIGIT_REPAIRS),
+         "cx": centre("x1", "x2"), "cy": centre("y1", "y2")}
     )
     red = F.coalesce(F.col("red_share") >= SMALLEST_RED_SHARE, F.lit(True)) if "red_share" in detections.columns else F.lit(True)
     fits = (F.abs(F.col("y2") - F.col("y1")) <= F.col("height") * TALLEST_LABEL) & red
     at_ends = (F.col("cy") < F.col("height") * MARGIN) | (F.col("cy") > F.col("height") - F.col("height") * MARGIN)
     at_sides = (F.col("cx") < F.col("width") * MARGIN) | (F.col("cx") > F.col("width") - F.col("width") * MARGIN)
 
-    def candidate(axis: str, pos: str, margin_pos: str, extent: str, ord_no: Column) -> Column:
+    def candidate(axis: str, label: str, pos: str, margin_pos: str, extent: str, ord_no: Column) -> Column:
         return F.struct(
-            F.lit(axis).alias("axis"), F.col(pos).alias("pos"), F.col(margin_pos).alias("margin_pos"), F.col(extent).alias("extent"),
+            F.lit(axis).alias("axis"), F.col(label).alias("label"), F.col(pos).alias("pos"), F.col(margin_pos).alias("margin_pos"), F.col(extent).alias("extent"),
             ord_no.alias("ord"),
         )
 
     # A generator, unlike a filter on the finished axis, is not copied down to the scan.
     found = F.array_compact(
         F.array(
-            F.when(at_ends & F.col("label").rlike("^[A-Z]$"), candidate("col", "cx", "cy", "height", F.ascii("label") - 64)),
-            F.when(at_sides & F.col("label").rlike("^[0-9]{1,2}$"), candidate("row", "cy", "cx", "width", F.col("label").try_cast("int"))),
+            F.when(at_ends & F.col("letter").rlike("^[A-Z]$"), candidate("col", "letter", "cx", "cy", "height", F.ascii("letter") - 64)),
+            F.when(at_sides & F.col("digits").rlike("^[0-9]{1,2}$"), candidate("row", "digits", "cy", "cx", "width", F.col("digits").try_cast("int"))),
         )
     )
-    return sized.filter(fits).select("map_name", "label", F.inline(found))
+    return sized.filter(fits).select("map_name", F.inline(found))
 
 
 def label_positions(labels: DataFrame) -> DataFrame:
@@ -77,9 +81,16 @@ def label_positions(labels: DataFrame) -> DataFrame:
     )
 
 
+def one_label_per_number(positions: DataFrame) -> DataFrame:
+    """Of labels such as ``1`` and ``01``, the first with its own position."""
+    return positions.groupBy("map_name", "axis", "ord").agg(F.min(F.struct("label", "pos")).alias("best")).select(
+        "map_name", "axis", "ord", "best.*"
+    )
+
+
 def first_run(positions: DataFrame) -> DataFrame:
     """Labels of the first consecutive run (A, B, C … or 1, 2, 3 …) of each axis."""
-    distinct = positions.groupBy("map_name", "axis", "ord").agg(F.min("label").alias("label"), F.min("pos").alias("pos"))
+    distinct = one_label_per_number(positions)
     along = Window.partitionBy("map_name", "axis").orderBy("ord")
     island = F.col("ord") - F.row_number().over(along)
     first = F.first("island").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -199,7 +210,7 @@ def final_grid(chosen: DataFrame, columns: int = DEFAULT_COLUMNS, rows: int = DE
 def legacy_labels(detections: DataFrame, maps: DataFrame) -> DataFrame:
     """Older rule: letters at the sides mark rows, digits at the ends mark columns, 80 px margins."""
     sized = detections.join(maps.select("map_name", "width", "height"), "map_name")
-    text = F.upper(F.trim("text"))
+    text = F.upper(stripped("text"))
     cx, cy = centre("x1", "x2"), centre("y1", "y2")
     rows = F.when(text.rlike("^[A-Z]$") & ((cx < OLD_MARGIN) | (cx > F.col("width") - OLD_MARGIN)), cy)
     cols = F.when(text.rlike("^[0-9]{1,2}$") & ((cy < OLD_MARGIN) | (cy > F.col("height") - OLD_MARGIN)), cx)
@@ -258,21 +269,28 @@ def cells_of_maps(maps: DataFrame) -> DataFrame:
 
 
 def cell_key(row_no: Column, col_no: Column) -> Column:
-    """Key of a cell in the coordinate table, such as ``B-2``: column letter, row number."""
-    return F.concat(F.chr(col_no + 64), F.lit("-"), row_no.cast("string"))
+    """Key of a cell in the coordinate table, such as ``B-2``: column letter, row number.
+
+    Columns after the 26th are written as in grid references, ``C26`` for the 27th.
+    """
+    letter = F.when(col_no <= 26, F.chr(col_no + 64)).otherwise(F.concat(F.lit("C"), (col_no - 1).cast("string")))
+    return F.concat(letter, F.lit("-"), row_no.cast("string"))
+
+
+def _counted(name: Column) -> Column:
+    """Number of a row or column from its letter, or from ``C26`` or ``R26``, which count from 0."""
+    return F.when(F.length(name) == 1, F.ascii(name) - 64).when(F.length(name) > 1, F.substr(name, F.lit(2)).try_cast("int") + 1)
 
 
 def parse_cell_key(key: Column, style: str) -> list[Column]:
-    """``row_no`` and ``col_no`` of a key written as ``2B``, ``row-col`` (B-2) or ``col-row`` (B-2)."""
-    upper = F.upper(F.trim(key))
-    if style == "2B":
-        letter, number = F.regexp_extract(upper, r"^([0-9]+)([A-Z])$", 2), F.regexp_extract(upper, r"^([0-9]+)([A-Z])$", 1)
-    elif style in ("row-col", "col-row"):
-        letter, number = F.regexp_extract(upper, r"^([A-Z])-([0-9]+)$", 1), F.regexp_extract(upper, r"^([A-Z])-([0-9]+)$", 2)
-    else:
+    """``row_no`` and ``col_no`` of a key written as ``2B`` (or ``2C26``), ``row-col`` (B-2, R26-2) or ``col-row`` (B-2, C26-2)."""
+    upper = F.upper(stripped(key))
+    patterns = {"2B": r"^([0-9]+)([A-Z]|C[0-9]+)$", "row-col": r"^([A-Z]|R[0-9]+)-([0-9]+)$", "col-row": r"^([A-Z]|C[0-9]+)-([0-9]+)$"}
+    if style not in patterns:
         raise ValueError(f"unknown cell key style {style}")
-    by_letter = F.when(letter != "", F.ascii(letter) - 64)
-    by_number = number.try_cast("int")
+    first, second = F.regexp_extract(upper, patterns[style], 1), F.regexp_extract(upper, patterns[style], 2)
+    letter, number = (second, first) if style == "2B" else (first, second)
+    by_letter, by_number = _counted(letter), number.try_cast("int")
     row, col = (by_letter, by_number) if style == "row-col" else (by_number, by_letter)
     return [row.alias("row_no"), col.alias("col_no")]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
+
 DETECTION_ORDER = ("y1", "x1", "det_id")
 
 
@@ -45,25 +47,26 @@ def merge_sessions(global_rows: DataFrame, session_rows: DataFrame) -> DataFrame
     return global_rows.unionByName(without_keys(session_rows, global_rows.select("map_name").distinct()))
 
 
-def apply_verdicts(features: DataFrame, review: DataFrame, mark_verified: bool = False) -> DataFrame:
+def apply_verdicts(features: DataFrame, review: DataFrame, mark_verified: bool = False, order: str = "row_no") -> DataFrame:
     """Write reviewers' verdicts into the table.
 
     ``N`` sets name and type and a confidence of 1; ``Y`` raises the confidence by 0.15 up to 1.
+    Of several ``N`` for one id the last row of the review counts, by its column ``order``.
     """
-    verdict = F.upper(F.trim("verified_correct"))
+    verdict = F.upper(stripped("verified_correct"))
 
     def filled(new: str, old: str) -> Column:
-        return F.coalesce(F.nullif(F.trim(new), F.lit("")), F.trim(old))
+        return F.coalesce(F.nullif(stripped(new), F.lit("")), stripped(old))
 
     decisions = (
         review.select(
-            "id", verdict.alias("verdict"),
+            "id", order, verdict.alias("verdict"),
             F.struct(filled("verified_name", "feature_name").alias("name"), filled("verified_type", "feature_type").alias("type")).alias("fix"),
         )
         .filter(F.col("verdict").isin("Y", "N") & F.col("id").isNotNull())
         .groupBy("id")
         .agg(
-            F.max(F.when(F.col("verdict") == "N", F.col("fix"))).alias("fix"),
+            F.max_by("fix", F.when(F.col("verdict") == "N", F.col(order))).alias("fix"),
             F.count_if(F.col("verdict") == "Y").alias("confirmed"),
         )
     )

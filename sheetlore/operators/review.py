@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
+
 
 def verdict() -> Column:
-    return F.upper(F.trim("verified_correct"))
+    return F.upper(stripped("verified_correct"))
 
 
 def _filled(new: str, old: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(new), F.lit("")), old)
+    return F.coalesce(F.nullif(stripped(new), F.lit("")), old)
 
 
 def accuracy_report(review: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def errors_by_type(review: DataFrame) -> DataFrame:
 
 def error_sample(review: DataFrame, k: int = 10) -> DataFrame:
     same = F.lit("(same)")
-    wrong = review.filter(verdict() == "N").orderBy("id").limit(k)
+    wrong = review.filter(verdict() == "N").orderBy("id", "row_no").limit(k)
     return wrong.select(
         "id", F.col("feature_name").alias("old_name"), F.coalesce(F.nullif("verified_name", F.lit("")), same).alias("new_name"),
         F.col("feature_type").alias("old_type"), F.coalesce(F.nullif("verified_type", F.lit("")), same).alias("new_type"),
@@ -40,11 +42,11 @@ def error_sample(review: DataFrame, k: int = 10) -> DataFrame:
 
 
 def training_rows_from_review(review: DataFrame) -> DataFrame:
-    wrong = review.filter((verdict() == "N") & (F.trim("original_text") != ""))
+    wrong = review.filter((verdict() == "N") & (stripped("original_text") != ""))
     rows = wrong.select(
         "id", "original_text",
-        _filled("verified_name", F.trim("feature_name")).alias("new_name"),
-        _filled("verified_type", F.trim("feature_type")).alias("new_type"),
+        _filled("verified_name", stripped("feature_name")).alias("new_name"),
+        _filled("verified_type", stripped("feature_type")).alias("new_type"),
     )
     return rows.filter(F.col("new_name") != "")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlore.functions.names import file_stem
+from sheetlore.functions.texts import stripped
 
 # The catalogue's file name form and the south-west corner of known blocks.
 SHEET_FILE = r"(?i)^(\d{1,3})\s+([A-HJ-P])\](\d{1,2})\s+([^(]+?)\s*\((\d{4})\)(.*)"
@@ -31,8 +32,8 @@ NOTES = (
 
 def clean_district(raw: Column) -> Column:
     """District name without the word for it and without a dangling ``&`` or comma."""
-    named = F.trim(F.regexp_replace(F.trim(raw), DISTRICT_WORDS, ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(named, "&+$", ""), ",+$", ""))
+    named = stripped(F.regexp_replace(stripped(raw), DISTRICT_WORDS, ""))
+    return stripped(F.regexp_replace(F.regexp_replace(named, "&+$", ""), ",+$", ""))
 
 
 def quality_notes(suffix: Column) -> Column:
@@ -68,7 +69,7 @@ def file_facts(files: DataFrame, path: str = "path") -> DataFrame:
             "district": F.when(F.col("matches"), clean_district(part(4))).otherwise(""),
             "year": known(year),
             "scale_guess": F.when(F.col("matches") & (year < FIRST_METRIC_YEAR), ONE_INCH_SCALE).otherwise(METRIC_SCALE),
-            "notes": F.when(F.col("matches"), quality_notes(F.trim(part(6)))).otherwise(""),
+            "notes": F.when(F.col("matches"), quality_notes(stripped(part(6)))).otherwise(""),
             "approx_lat": known(_corner(part(1), 0)),
             "approx_lon": known(_corner(part(1), 1)),
         }

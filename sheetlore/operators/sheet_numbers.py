@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
 from sheetlore.operators.numbering import number_rows
 from sheetlore.session import cut_lineage
 
@@ -28,7 +29,7 @@ def corner_tokens(tokens: DataFrame, maps: DataFrame) -> DataFrame:
     sized = tokens.join(maps.select("map_name", "width", "height"), "map_name")
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     return sized.filter((cx >= F.col("width") * ZONE_LEFT) & (cy <= F.col("height") * ZONE_BOTTOM)).select(
-        "map_name", "seq", F.trim("text").alias("text"), "x1", "y1", "x2", "y2", cx.alias("cx"), cy.alias("cy"),
+        "map_name", "seq", stripped("text").alias("text"), "x1", "y1", "x2", "y2", cx.alias("cx"), cy.alias("cy"),
         F.greatest(F.col("y2") - F.col("y1"), F.lit(1)).alias("h"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
+
 # Symbol classes and crop sizes.
 SYMBOL_CLASSES = ("settlement", "landmark", "road", "river", "forest", "mountain")
 PADDING = 32
@@ -21,7 +23,7 @@ def candidates(df: DataFrame, minimum: float = 0.7) -> DataFrame:
 
 def safe_file_name(name: Column) -> Column:
     cleaned = F.regexp_replace(name, r"[^\p{L}\p{N} _-]", "_")
-    return F.substring(F.trim(cleaned), 1, 50)
+    return F.substring(stripped(cleaned), 1, 50)
 
 
 def crop_plan(df: DataFrame, width: int | Column, height: int | Column) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
+
 # Year notation, context words and their points.
 CONTEXT = 30
 YEAR = r"(?<![0-9])([0-9]{4}(?:[-–][0-9]{2,4})?)(?![0-9])"
@@ -69,7 +71,7 @@ def group_lines(tokens: DataFrame, order: str = "token_no") -> DataFrame:
     and the pieces are folded independently, each as a sorted stream of rows.
     """
     items = (
-        tokens.withColumn("text", F.trim("text")).filter(F.col("text") != "")
+        tokens.withColumn("text", stripped("text")).filter(F.col("text") != "")
         .select(
             "map_name", "text", "x1", ((F.col("y1") + F.col("y2")) / 2).alias("cy"),
             F.greatest(F.col("y2") - F.col("y1"), F.lit(1)).cast("double").alias("h"), F.col(order).alias("_order"),
@@ -113,7 +115,7 @@ def _year_of(text: Column) -> Column:
 
 def normalised_year(raw: Column) -> Column:
     """``yyyy`` or ``yyyy-yy``; '' for years out of range or spans of more than 20 years."""
-    text = F.regexp_replace(F.regexp_replace(F.trim(raw), "[.,;:]+$", ""), "–", "-")
+    text = F.regexp_replace(F.regexp_replace(stripped(raw), "[.,;:]+$", ""), "–", "-")
     year = F.regexp_extract(text, r"^([0-9]{4}(?:-[0-9]{2,4})?)$", 1)
     return F.coalesce(F.when(year != "", _year_of(year)), F.lit(""))
 

@@ -167,11 +167,11 @@ def _(t):
 
 @query(
     "smp01_random_sample",
-    """SELECT id, map_name, feature_name FROM features WHERE feature_type <> 'noise' ORDER BY md5('sample#' || id), id LIMIT 500""",
+    """SELECT id, map_name, feature_name FROM features ORDER BY md5('sample#' || id), id LIMIT 500""",
     ("features",),
 )
 def _(t):
-    return sampling.random_sample(not_noise(t.features).select("id", "map_name", "feature_name"))
+    return sampling.random_sample(t.features.select("id", "map_name", "feature_name"))
 
 
 @query(

@@ -56,7 +56,7 @@ def _(t):
     ("country_texts",),
 )
 def _(t):
-    return op.stretches(t.country_texts).select("map_name", F.length("document").cast("bigint").alias("n_chars"), F.md5(F.lower("document")).alias("digest"))
+    return op.map_documents(t.country_texts).select("map_name", F.length("document").cast("bigint").alias("n_chars"), F.md5(F.lower("document")).alias("digest"))
 
 
 @query("jon07_rule_matches", _HITS + "SELECT map_name, CAST(rule_no AS INT) AS rule_no FROM hits WHERE rule_no >= 0", ("country_texts",))
@@ -99,12 +99,12 @@ _INSTRUCTIONS = {"india": "Maps of India.", "uk": "Maps of Britain.", "usa": "Ma
     """, b AS (SELECT map_name, (rn - 1) // 40 AS batch, string_agg(((rn - 1) % 40 + 1) || '. ' || text, chr(10) ORDER BY rn) AS labels FROM (
          SELECT map_name, text, row_number() OVER (PARTITION BY map_name ORDER BY y1, x1, det_id) AS rn FROM detections) GROUP BY 1, 2)
        SELECT b.map_name, b.batch, CASE floor(m.s_acctbal)::BIGINT % 4 WHEN 0 THEN 'Maps of India.' WHEN 1 THEN 'Maps of Britain.' WHEN 2 THEN 'Maps of the USA.' ELSE 'Maps.' END
-         || chr(10) || chr(10) || labels AS request FROM b JOIN map_info m ON m.map_name = b.map_name AND m.s_acctbal > 0""",
+         || chr(10) || chr(10) || labels AS request FROM b JOIN map_info m ON m.map_name = b.map_name""",
     ("detections", "map_info"),
 )
 def _(t):
     kind = F.floor("s_acctbal") % 4
-    chosen = t.map_info.filter("s_acctbal > 0").select(
+    chosen = t.map_info.select(
         "map_name", F.when(kind == 0, "india").when(kind == 1, "uk").when(kind == 2, "usa").otherwise("other").alias("country")
     )
     requests = cleaning.request_batches(t.detections, 40).join(chosen.select("map_name"), "map_name", "left_semi")

@@ -50,14 +50,15 @@ def _(t):
 
 @query(
     "det04_sheet_coordinates",
-    """SELECT map_name, det_id, x1, y1, x2, y2 FROM detections""",
+    """SELECT map_name, det_id, x1 % 974 + det_id % 5 * 974 AS x1, y1 % 974 + det_id % 7 * 974 AS y1,
+         x1 % 974 + x2 - x1 + det_id % 5 * 974 AS x2, y1 % 974 + y2 - y1 + det_id % 7 * 974 AS y2 FROM detections""",
     ("detections",),
 )
 def _(t):
-    step = op.TILE_SIZE - op.TILE_OVERLAP
-    local = t.detections.withColumns({"tile_x": F.expr(f"CAST(x1 div {step} * {step} AS INT)"), "tile_y": F.expr(f"CAST(y1 div {step} * {step} AS INT)")})
-    local = local.withColumns(
-        {c: F.col(c) - F.col("tile_x" if c[0] == "x" else "tile_y") for c in ("x1", "y1", "x2", "y2")}
+    # Boxes as a recogniser returns them, measured from the corner of the tile that was looked at.
+    local = t.detections.selectExpr(
+        "map_name", "det_id", "x1 % 974 AS x1", "y1 % 974 AS y1", "x1 % 974 + x2 - x1 AS x2", "y1 % 974 + y2 - y1 AS y2",
+        "CAST(det_id % 5 * 974 AS INT) AS tile_x", "CAST(det_id % 7 * 974 AS INT) AS tile_y",
     )
     return op.to_sheet_coordinates(local).select("map_name", "det_id", "x1", "y1", "x2", "y2")
 
@@ -96,14 +97,18 @@ _PAIRS = r""", d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY map_
   e0 AS MATERIALIZED (SELECT map_name, hi, lo FROM lapped WHERE iou > 0.4 OR (iou > 0.2 AND same))
 """
 
+#: Longest chain of boxes that drop and free one another; the last round checks that none is left.
+_MOST_ROUNDS = 10
+
 _ROUNDS = _PAIRS + "".join(
-    f""", d{i} AS MATERIALIZED (SELECT DISTINCT map_name, lo FROM e{i - 1} WHERE (map_name, hi) NOT IN (SELECT (map_name, lo) FROM e{i - 1})),
-  e{i} AS MATERIALIZED (SELECT * FROM e{i - 1} WHERE (map_name, lo) NOT IN (SELECT (map_name, lo) FROM d{i})
-         AND (map_name, hi) NOT IN (SELECT (map_name, lo) FROM d{i}))
+    f""", r{i} AS MATERIALIZED (SELECT DISTINCT map_name, lo AS hi FROM e{i - 1}),
+  d{i} AS MATERIALIZED (SELECT DISTINCT e.map_name, e.lo FROM e{i - 1} e ANTI JOIN r{i} r ON r.map_name = e.map_name AND r.hi = e.hi),
+  e{i} AS MATERIALIZED (SELECT e.* FROM e{i - 1} e ANTI JOIN d{i} d ON d.map_name = e.map_name AND d.lo = e.lo
+         ANTI JOIN d{i} g ON g.map_name = e.map_name AND g.lo = e.hi)
 """
-    for i in range(1, 7)
-) + """, gone AS MATERIALIZED (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4
-    UNION ALL SELECT * FROM d5 UNION ALL SELECT * FROM d6)
+    for i in range(1, _MOST_ROUNDS + 1)
+) + ", gone AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT map_name, lo FROM d{i}" for i in range(1, _MOST_ROUNDS + 1)) + """),
+  unsettled AS MATERIALIZED (SELECT CASE WHEN count(*) > 0 THEN error('more rounds are needed') END AS none FROM e""" + str(_MOST_ROUNDS) + """)
 """
 
 
@@ -153,8 +158,8 @@ def _(t):
 
 @query(
     "det09_deduplicate",
-    _ROUNDS + """SELECT map_name, det_id, text, confidence, x1, y1, x2, y2 FROM detections
-      WHERE (map_name, det_id) NOT IN (SELECT (map_name, lo) FROM gone)""",
+    _ROUNDS + """SELECT d.map_name, det_id, text, confidence, x1, y1, x2, y2 FROM detections d CROSS JOIN unsettled
+      ANTI JOIN gone g ON g.map_name = d.map_name AND g.lo = d.det_id WHERE unsettled.none IS NULL""",
     ("detections",),
 )
 def _(t):

@@ -84,7 +84,7 @@ def _(t):
 @query(
     "snk06_review_sheet",
     """SELECT id, map_name, original_text, feature_name, feature_type, grid_reference, confidence, '' AS verified_correct, '' AS verified_name,
-         '' AS verified_type, '' AS notes FROM features WHERE feature_type <> 'noise' AND confidence < 0.7""",
+         '' AS verified_type, '' AS notes FROM features WHERE confidence < 0.7""",
     ("features",),
 )
 def _(t):
@@ -99,7 +99,7 @@ def _(t):
          || ',"feature_type":' || to_json(new_type) || ',"confidence":1.0}]') || '}]}' AS value
        FROM (SELECT original_text, coalesce(nullif(trim(verified_name), ''), trim(feature_name)) AS new_name,
                coalesce(nullif(trim(verified_type), ''), trim(feature_type)) AS new_type
-             FROM review WHERE upper(trim(verified_correct)) = 'N' AND trim(original_text) <> '') WHERE new_name <> ''""",
+             FROM review WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N' AND trim(original_text) <> '') WHERE new_name <> ''""",
     ("review",),
 )
 def _(t):
@@ -120,9 +120,9 @@ def _(t):
     "snk09_correction_lines",
     """SELECT id, map_name, original_text, feature_name AS old_name, coalesce(nullif(trim(verified_name), ''), feature_name) AS new_name,
          feature_type AS old_type, coalesce(nullif(trim(verified_type), ''), feature_type) AS new_type, '2024-05-01 12:00:00' AS logged_at,
-         NULL::BOOLEAN AS verified_correct FROM review WHERE upper(trim(verified_correct)) = 'N'
+         NULL::BOOLEAN AS verified_correct FROM review WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N'
        UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, NULL, '2024-05-01 12:00:00', true FROM review
-       WHERE upper(trim(verified_correct)) = 'Y'""",
+       WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'Y'""",
     ("review",),
 )
 def _(t):

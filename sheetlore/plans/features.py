@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetlore.functions.names import split_map_name
+from sheetlore.functions.texts import stripped
 from sheetlore.operators import filters as op
 from sheetlore.plans.registry import query
 
@@ -157,12 +158,12 @@ def _(t):
 
 @query(
     "flt16_low_confidence",
-    """SELECT id, map_name, feature_name, confidence FROM features f WHERE feature_type <> 'noise' AND confidence < 0.7
-       AND NOT EXISTS (SELECT 1 FROM review r WHERE r.id = f.id AND upper(trim(verified_correct)) = 'N')""",
+    """SELECT id, map_name, feature_name, confidence FROM features f WHERE confidence < 0.7
+       AND NOT EXISTS (SELECT 1 FROM review r WHERE r.id = f.id AND upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N')""",
     ("features", "review"),
 )
 def _(t):
-    corrected = t.review.filter(F.upper(F.trim("verified_correct")) == "N")
+    corrected = t.review.filter(F.upper(stripped("verified_correct")) == "N")
     return op.low_confidence(t.features, corrected).select("id", "map_name", "feature_name", "confidence")
 
 

@@ -16,17 +16,21 @@ def _(t):
 
 
 _LABELS = f""", l0 AS (SELECT l.*, {_CENTRE}, m.width, m.height,
-    upper(CASE trim(text) WHEN '0' THEN 'O' WHEN 'l' THEN '1' WHEN 'I' THEN '1' WHEN 'S' THEN '5' WHEN 'G' THEN '6' ELSE trim(text) END) AS label
+    upper(CASE trim(text) WHEN '0' THEN 'O' ELSE trim(text) END) AS letter,
+    upper(CASE trim(text) WHEN 'l' THEN '1' WHEN 'I' THEN '1' WHEN 'S' THEN '5' WHEN 'G' THEN '6' ELSE trim(text) END) AS digits
     FROM margin_labels l JOIN map_info m ON m.map_name = l.map_name),
-  l1 AS (SELECT *, CASE WHEN regexp_full_match(label, '[A-Z]') AND (cy < height * 0.15::DOUBLE OR cy > height - height * 0.15::DOUBLE) THEN 'col'
-      WHEN regexp_full_match(label, '[0-9]{{1,2}}') AND (cx < width * 0.15::DOUBLE OR cx > width - width * 0.15::DOUBLE) THEN 'row' END AS axis
-    FROM l0 WHERE abs(y2 - y1) <= height * 0.04::DOUBLE AND coalesce(red_share >= 0.04, true)),
+  fitting AS (SELECT * FROM l0 WHERE abs(y2 - y1) <= height * 0.04::DOUBLE AND coalesce(red_share >= 0.04, true)),
+  l1 AS (SELECT *, 'col' AS axis, letter AS label FROM fitting
+      WHERE regexp_full_match(letter, '[A-Z]') AND (cy < height * 0.15::DOUBLE OR cy > height - height * 0.15::DOUBLE)
+    UNION ALL SELECT *, 'row', digits FROM fitting
+      WHERE regexp_full_match(digits, '[0-9]{{1,2}}') AND (cx < width * 0.15::DOUBLE OR cx > width - width * 0.15::DOUBLE)),
   candidates AS (SELECT map_name, axis, label, CASE axis WHEN 'col' THEN ascii(label) - 64 ELSE CAST(label AS INT) END AS ord,
       CASE axis WHEN 'col' THEN cx ELSE cy END AS pos, CASE axis WHEN 'col' THEN abs(cy - height / 2.0::DOUBLE) ELSE abs(cx - width / 2.0::DOUBLE) END AS away
-    FROM l1 WHERE axis IS NOT NULL),
+    FROM l1),
   positions AS (SELECT map_name, axis, label, ord, pos FROM (SELECT *, row_number() OVER (PARTITION BY map_name, axis, label ORDER BY away, pos) AS rn
     FROM candidates) WHERE rn = 1),
-  islands AS (SELECT *, ord - row_number() OVER (PARTITION BY map_name, axis ORDER BY ord) AS island FROM positions),
+  islands AS (SELECT *, ord - row_number() OVER (PARTITION BY map_name, axis ORDER BY ord) AS island FROM (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY map_name, axis, ord ORDER BY label, pos) AS nth FROM positions) WHERE nth = 1)),
   run AS (SELECT map_name, axis, ord, label, pos FROM (SELECT *, first_value(island) OVER (PARTITION BY map_name, axis ORDER BY ord) AS fi FROM islands)
     WHERE island = fi)
 """
@@ -42,10 +46,11 @@ def _clusters(source: str, gap: str, name: str = "clustered") -> str:
 """
 
 
-@query("grd02_label_repair", _LABELS + "SELECT text, label, count(*) AS n FROM l0 GROUP BY 1, 2", ("margin_labels", "map_info"))
+@query("grd02_label_repair", _LABELS + "SELECT text, letter, digits, count(*) AS n FROM l0 GROUP BY 1, 2, 3", ("margin_labels", "map_info"))
 def _(t):
     rows = t.margin_labels.groupBy("text").agg(F.count("*").alias("n"))
-    return rows.select("text", op.repaired_label(F.col("text")).alias("label"), "n")
+    letter, digits = (op.repaired_label(F.col("text"), r) for r in (op.LETTER_REPAIRS, op.DIGIT_REPAIRS))
+    return rows.select("text", letter.alias("letter"), digits.alias("digits"), "n")
 
 
 @query("grd03_margin_labels", _LABELS + "SELECT map_name, axis, label, CAST(ord AS INT) AS ord, pos FROM candidates", ("margin_labels", "map_info"))
@@ -72,7 +77,7 @@ def _(t):
 def _(t):
     from pyspark.sql import Window
 
-    positions = op.label_positions(op.margin_labels(t.margin_labels, t.map_info))
+    positions = op.one_label_per_number(op.label_positions(op.margin_labels(t.margin_labels, t.map_info)))
     along = Window.partitionBy("map_name", "axis").orderBy("ord")
     islands = positions.withColumn("island", (F.col("ord") - F.row_number().over(along)).cast("bigint"))
     return islands.groupBy("map_name", "axis", "island").agg(F.count("*").alias("labels"), F.min("ord").alias("first_ord"))
@@ -347,16 +352,20 @@ def _(t):
 
 @query(
     "grd17_cell_keys",
-    """SELECT id, CAST(substr(grid_reference, 1, 1) AS INT) AS a_row, ascii(substr(grid_reference, 2, 1)) - 64 AS a_col,
-         ascii(substr(grid_reference, 2, 1)) - 64 AS b_row, CAST(substr(grid_reference, 1, 1) AS INT) AS b_col,
-         CAST(substr(grid_reference, 1, 1) AS INT) AS c_row, ascii(substr(grid_reference, 2, 1)) - 64 AS c_col FROM features""",
+    """, k AS (SELECT id, CAST(id % 40 + 1 AS INT) AS col_no, CAST(id // 64 % 35 + 1 AS INT) AS row_no FROM features)
+       SELECT id, CAST(substr(grid_reference, 1, 1) AS INT) AS a_row, ascii(substr(grid_reference, 2, 1)) - 64 AS a_col,
+         row_no AS b_row, col_no AS b_col, row_no AS c_row, col_no AS c_col, row_no AS d_row, col_no AS d_col
+       FROM features JOIN k USING (id)""",
     ("features",),
 )
 def _(t):
-    dashed = F.concat(F.lower(F.substring("grid_reference", 2, 1)), F.lit("-"), F.substring("grid_reference", 1, 1))
-    plain = op.parse_cell_key(F.col("grid_reference"), "2B")
-    row_col, col_row = op.parse_cell_key(dashed, "row-col"), op.parse_cell_key(dashed, "col-row")
-    return t.features.select(
-        "id", plain[0].alias("a_row"), plain[1].alias("a_col"), row_col[0].alias("b_row"), row_col[1].alias("b_col"),
-        col_row[0].alias("c_row"), col_row[1].alias("c_col"),
-    )
+    col_no, row_no = (F.col("id") % 40 + 1).cast("int"), (F.shiftright("id", 6) % 35 + 1).cast("int")
+    wide = F.when(col_no <= 26, F.chr(col_no + 64)).otherwise(F.concat(F.lit("C"), (col_no - 1).cast("string")))
+    tall = F.when(row_no <= 26, F.chr(row_no + 64)).otherwise(F.concat(F.lit("R"), (row_no - 1).cast("string")))
+    keys = {
+        "a": op.parse_cell_key(F.col("grid_reference"), "2B"),
+        "b": op.parse_cell_key(F.concat(row_no.cast("string"), wide), "2B"),
+        "c": op.parse_cell_key(F.concat(F.lower(tall), F.lit("-"), col_no.cast("string"), F.lit("\t")), "row-col"),
+        "d": op.parse_cell_key(op.cell_key(row_no, col_no), "col-row"),
+    }
+    return t.features.select("id", *[c.alias(f"{k}_{n}") for k, pair in keys.items() for c, n in zip(pair, ("row", "col"), strict=True)])

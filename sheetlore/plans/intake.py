@@ -13,13 +13,6 @@ from sheetlore.sources import catalogue, payloads
 from sheetlore.streaming import ingest
 
 
-@query("src01_catalogue_scan")
-def _(t):
-    # The data folder itself is the catalogue: its files are the given tables.
-    files = catalogue.scan_pictures(t.spark, t.folder, suffixes=("parquet",))
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
-
-
 @query(
     "src03_artifact_rows",
     "SELECT map_name, text, confidence, x1, y1, x2, y2 FROM boxes",
@@ -98,8 +91,8 @@ def _(t):
 
 @query(
     "src10_corrections_log",
-    """SELECT id, map_name, feature_name AS old_name, NULL::BOOLEAN AS verified_correct FROM review WHERE upper(trim(verified_correct)) = 'N'
-       UNION ALL SELECT id, NULL, NULL, true FROM review WHERE upper(trim(verified_correct)) = 'Y'""",
+    """SELECT id, map_name, feature_name AS old_name, NULL::BOOLEAN AS verified_correct FROM review WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N'
+       UNION ALL SELECT id, NULL, NULL, true FROM review WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'Y'""",
     ("review",),
 )
 def _(t):

@@ -101,10 +101,11 @@ def _(t):
 
 @query(
     "jon14_apply_verdicts",
-    """, d AS (SELECT id, max(upper(trim(verified_correct)) = 'N') AS fixed, max(upper(trim(verified_correct)) = 'Y') AS ok,
-           max(coalesce(nullif(trim(verified_name), ''), trim(feature_name))) AS new_name,
-           max(coalesce(nullif(trim(verified_type), ''), trim(feature_type))) AS new_type
-         FROM review WHERE upper(trim(verified_correct)) IN ('Y', 'N') GROUP BY 1)
+    """, d AS (SELECT id, max(upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N') AS fixed, max(upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'Y') AS ok,
+           arg_max(coalesce(nullif(trim(verified_name), ''), trim(feature_name)), row_no) FILTER (wrong) AS new_name,
+           arg_max(coalesce(nullif(trim(verified_type), ''), trim(feature_type)), row_no) FILTER (wrong) AS new_type
+         FROM (SELECT *, upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N' AS wrong FROM review)
+         WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) IN ('Y', 'N') GROUP BY 1)
        SELECT f.id, CASE WHEN d.fixed THEN d.new_name ELSE f.feature_name END AS feature_name,
          CASE WHEN d.fixed THEN d.new_type ELSE f.feature_type END AS feature_type,
          CASE WHEN d.fixed THEN 1.0 WHEN d.ok THEN CASE WHEN confidence + 0.15::DOUBLE > 1.0 THEN 1.0 ELSE confidence + 0.15::DOUBLE END ELSE confidence END AS confidence

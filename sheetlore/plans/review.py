@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
 from sheetlore.operators import merging
 from sheetlore.operators import review as op
 from sheetlore.plans.registry import query
 
-_N = "upper(trim(verified_correct)) = 'N'"
+_N = "upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N'"
 _LOG = f""", log AS (SELECT id, original_text, feature_name AS old_name, coalesce(nullif(trim(verified_name), ''), feature_name) AS new_name,
     coalesce(nullif(trim(verified_type), ''), feature_type) AS new_type, NULL::BOOLEAN AS ok FROM review WHERE {_N}
-  UNION ALL SELECT id, NULL, NULL, NULL, NULL, true FROM review WHERE upper(trim(verified_correct)) = 'Y')"""
+  UNION ALL SELECT id, NULL, NULL, NULL, NULL, true FROM review WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'Y')"""
 _STAMP = "2024-05-01 12:00:00"
 
 
 @query(
     "src07_review_verdicts",
-    "SELECT id, upper(trim(verified_correct)) AS verdict FROM review WHERE upper(trim(verified_correct)) IN ('Y', 'N', 'SKIP')",
+    "SELECT id, upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) AS verdict FROM review WHERE upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) IN ('Y', 'N', 'SKIP')",
     ("review",),
 )
 def _(t):
@@ -27,7 +28,7 @@ def _(t):
 @query(
     "rev01_accuracy",
     f"""SELECT y + n AS reviewed, y AS correct, n AS incorrect, round(CAST(y AS DOUBLE) / (y + n) * 100, 1) AS accuracy
-        FROM (SELECT count(*) FILTER (upper(trim(verified_correct)) = 'Y') AS y, count(*) FILTER ({_N}) AS n FROM review)""",
+        FROM (SELECT count(*) FILTER (upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'Y') AS y, count(*) FILTER ({_N}) AS n FROM review)""",
     ("review",),
 )
 def _(t):
@@ -46,7 +47,7 @@ def _(t):
 @query(
     "rev03_error_sample",
     f"""SELECT id, feature_name AS old_name, coalesce(nullif(verified_name, ''), '(same)') AS new_name, feature_type AS old_type,
-          coalesce(nullif(verified_type, ''), '(same)') AS new_type FROM review WHERE {_N} ORDER BY id LIMIT 10""",
+          coalesce(nullif(verified_type, ''), '(same)') AS new_type FROM review WHERE {_N} ORDER BY id, row_no LIMIT 10""",
     ("review",),
 )
 def _(t):
@@ -68,8 +69,9 @@ def _(t):
     "rev05_apply_review_verified",
     f"""SELECT f.id, f.map_name, CASE WHEN r.id IS NULL THEN f.verified ELSE 1 END AS verified,
           CASE WHEN r.v = 'N' THEN r.new_name ELSE f.feature_name END AS feature_name
-        FROM features f LEFT JOIN (SELECT id, upper(trim(verified_correct)) AS v, coalesce(nullif(trim(verified_name), ''), trim(feature_name)) AS new_name
-          FROM review WHERE upper(trim(verified_correct)) IN ('Y', 'N')) r ON r.id = f.id""",
+        FROM features f LEFT JOIN (SELECT id, min(v) AS v, arg_max(new_name, row_no) FILTER (v = 'N') AS new_name FROM (
+            SELECT id, row_no, upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) AS v, coalesce(nullif(trim(verified_name), ''), trim(feature_name)) AS new_name
+            FROM review) WHERE v IN ('Y', 'N') GROUP BY 1) r ON r.id = f.id""",
     ("features", "review"),
 )
 def _(t):
@@ -92,7 +94,7 @@ def _(t):
     ("review",),
 )
 def _(t):
-    exported = t.review.filter(F.trim("verified_type") == "landmark")
+    exported = t.review.filter(stripped("verified_type") == "landmark")
     return op.training_rows_from_log(op.log_entries(t.review, _STAMP), exported)
 
 

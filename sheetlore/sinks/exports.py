@@ -42,12 +42,17 @@ def feature_rows(df: DataFrame) -> DataFrame:
 
 
 def write_feature_table(df: DataFrame, path: str) -> None:
-    """Rebuild the feature table, one folder per session, clustered by map inside each file."""
+    """Rebuild the feature table, one folder per session, files sorted by map.
+
+    Rows are dealt out by ranges of session and map, so a session has few files and each holds
+    maps that follow one another.
+    """
     rows = feature_rows(df)
-    writer = rows.sortWithinPartitions("map_name").write.mode("overwrite")
     if "session_id" in rows.columns:
-        writer = writer.partitionBy("session_id")
-    writer.parquet(path)
+        ranged = rows.repartitionByRange("session_id", "map_name", "id").sortWithinPartitions("session_id", "map_name", "id")
+        ranged.write.mode("overwrite").partitionBy("session_id").parquet(path)
+    else:
+        rows.repartitionByRange("map_name", "id").sortWithinPartitions("map_name", "id").write.mode("overwrite").parquet(path)
 
 
 def flat_rows(df: DataFrame) -> DataFrame:
@@ -66,10 +71,10 @@ def write_flat_csv(df: DataFrame, path: str) -> None:
     flat_rows(ordered).write.mode("overwrite").option("header", True).csv(path)
 
 
-def nested_records(df: DataFrame, records_per_list: int = 5000) -> DataFrame:
+def nested_records(df: DataFrame, records_per_list: int) -> DataFrame:
     """``(map_name, feature_type, part, features)`` with about ``records_per_list`` entries each.
 
-    A map's object is the union of its parts. The number of parts follows from the count of a
+    The caller chooses how long a list may get; a map with more entries of a type has several. A map's object is the union of its parts. The number of parts follows from the count of a
     map's type and entries are dealt out by id, so no map or type, however large, is gathered
     into one row. Entries of a part are sorted by name.
     """
@@ -88,8 +93,12 @@ def nested_records(df: DataFrame, records_per_list: int = 5000) -> DataFrame:
     return lists.select("map_name", "feature_type", "part", F.col("items.entry").alias("features"))
 
 
-def write_nested_json(df: DataFrame, path: str) -> None:
-    nested_records(df).write.mode("overwrite").partitionBy("map_name").option("ignoreNullFields", False).json(path)
+def write_nested_json(df: DataFrame, path: str, records_per_list: int) -> None:
+    """One folder per map; ranges of maps keep the number of folders that a task writes small."""
+    lists = nested_records(df, records_per_list).repartitionByRange("map_name", "feature_type", "part")
+    lists.sortWithinPartitions("map_name", "feature_type", "part").write.mode("overwrite").partitionBy("map_name").option(
+        "ignoreNullFields", False
+    ).json(path)
 
 
 def _with_name_parts(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlore.functions.names import file_stem
+from sheetlore.functions.texts import stripped
 
 # Picture suffixes of the full run, and those the incremental run adds.
 PICTURE_SUFFIXES = ("jpg", "jpeg", "png")
@@ -73,7 +74,9 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
     """Review sheet; ids become numbers and rows without a number keep NULL."""
     rows = spark.read.schema(REVIEW_SCHEMA).option("header", True).csv(path)
     blank = {c: F.coalesce(c, F.lit("")) for c in rows.columns if c != "id"}
-    return rows.withColumns(blank).withColumn("id", F.trim("id").try_cast("bigint"))
+    return rows.withColumns(blank).withColumns(
+        {"id": stripped("id").try_cast("bigint"), "row_no": F.monotonically_increasing_id()}
+    )
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:

@@ -84,17 +84,20 @@ FROM (
   FROM {boxes}) q""",
     "review": """
 SELECT {hash60} AS id, map_name, original_text, feature_name, feature_type, grid_reference, confidence,
-  verified_correct, verified_name, verified_type, notes
+  CASE WHEN again = 1 THEN 'N' ELSE verified_correct END AS verified_correct,
+  CASE WHEN again = 1 THEN ' Again ' || feature_name ELSE verified_name END AS verified_name,
+  CASE WHEN again = 1 THEN 'area' ELSE verified_type END AS verified_type, notes, {hash60} * 2 + again AS row_no
 FROM (
   SELECT row_key AS key, map_name,
     CASE WHEN l_linenumber % 2 = 0 THEN upper(text) WHEN l_linenumber = 5 THEN '' ELSE text END AS original_text,
     text AS feature_name, coalesce(feature_type, '') AS feature_type, '1A' AS grid_reference,
     CAST(confidence AS STRING) AS confidence,
-    CASE WHEN l_returnflag = 'N' THEN 'N' WHEN l_returnflag = 'R' THEN ' y ' WHEN p_size % 2 = 0 THEN 'SKIP' ELSE '' END
+    CASE WHEN l_returnflag = 'N' AND l_linenumber = 2 THEN 'N' || chr(13) WHEN l_returnflag = 'N' THEN 'N'
+      WHEN l_returnflag = 'R' AND l_linenumber = 3 THEN chr(9) || 'y' || chr(160) WHEN l_returnflag = 'R' THEN ' y ' WHEN p_size % 2 = 0 THEN 'SKIP' ELSE '' END
       AS verified_correct,
     CASE WHEN l_linenumber % 2 = 1 THEN ' ' || reverse(text) ELSE '' END AS verified_name,
-    CASE WHEN p_size % 2 = 0 THEN 'landmark' ELSE '' END AS verified_type, '' AS notes
-  FROM {boxes} WHERE p_size % 5 > 0) q""",
+    CASE WHEN p_size % 2 = 0 THEN 'landmark' ELSE '' END AS verified_type, '' AS notes, again
+  FROM {boxes} {again}) q""",
     "map_info": """
 SELECT 'MAP_' || CAST(s_suppkey AS STRING) AS map_name, CAST(5000 AS INT) AS width, CAST(7000 AS INT) AS height,
   CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE CAST(45 + s_suppkey % 45 AS STRING) || ' '
@@ -161,6 +164,7 @@ FROM (
          ELSE CASE WHEN l_linenumber = 1 AND l_partkey % 7 = 0 THEN 'l' WHEN l_linenumber = 1 AND l_partkey % 7 = 1 THEN 'I'
                 WHEN l_linenumber = 5 AND l_partkey % 7 = 2 THEN 'S' WHEN l_linenumber = 4 AND l_suppkey % 4 = 1 THEN 'x4'
                 WHEN l_partkey % 11 = 3 THEN ' ' || CAST(l_linenumber AS STRING)
+                WHEN l_partkey % 11 = 4 THEN '0' || CAST(l_linenumber AS STRING)
                 ELSE CAST(l_linenumber AS STRING) END END AS text,
     CAST(CASE l_orderkey % 4 WHEN 2 THEN l_orderkey % 700 WHEN 3 THEN 4950 - l_orderkey % 700
          ELSE l_linenumber * 600 + l_partkey % 9 END AS INT) AS x1,
@@ -257,8 +261,8 @@ WHERE CASE form WHEN 0 THEN kind IN ('word', 'full') WHEN 1 THEN kind IN ('bare'
   ELSE kind IN ('stray', 'word', 'letter') END
   AND (seq < 11 OR form = 6)""",
     "country_texts": """
-SELECT 'SHEET_' || CAST(CAST(floor(doc_id / 8) AS BIGINT) AS STRING) AS map_name, doc_id % 8 AS seq,
-  CASE CAST(floor(doc_id / 8) AS BIGINT) % 11 * 10 + doc_id % 8
+SELECT 'SHEET_' || CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) AS map_name, doc_id % 40 AS seq,
+  CASE CAST(floor(doc_id / 40) AS BIGINT) % 11 * 10 + CASE doc_id % 40 WHEN 31 THEN 0 WHEN 32 THEN 1 ELSE doc_id % 8 END
     WHEN 0 THEN text || ' Survey' WHEN 1 THEN 'of India ' || text
     WHEN 12 THEN text || ' Ordnance Survey, Scotland' WHEN 23 THEN 'USGS quadrangle ' || text
     WHEN 34 THEN text || ' Topographische Karte' WHEN 45 THEN 'Institut Géographique ' || text
@@ -266,17 +270,17 @@ SELECT 'SHEET_' || CAST(CAST(floor(doc_id / 8) AS BIGINT) AS STRING) AS map_name
     WHEN 72 THEN text || ' 72 C/01' WHEN 83 THEN text || ' near the district of Kerala' ELSE text END AS text
 FROM {documents}""",
     "image_verdicts": """
-SELECT 'SHEET_' || CAST(CAST(floor(doc_id / 8) AS BIGINT) AS STRING) AS map_name,
-  CASE CAST(floor(doc_id / 8) AS BIGINT) % 5 WHEN 0 THEN 'uk' WHEN 1 THEN 'india' WHEN 2 THEN 'france' ELSE 'usa' END AS image_country,
-  CAST(CASE CAST(floor(doc_id / 8) AS BIGINT) % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 WHEN 2 THEN 0.1 ELSE 0.7 END AS DOUBLE)
+SELECT 'SHEET_' || CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) AS map_name,
+  CASE CAST(floor(doc_id / 40) AS BIGINT) % 5 WHEN 0 THEN 'uk' WHEN 1 THEN 'india' WHEN 2 THEN 'france' ELSE 'usa' END AS image_country,
+  CAST(CASE CAST(floor(doc_id / 40) AS BIGINT) % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 WHEN 2 THEN 0.1 ELSE 0.7 END AS DOUBLE)
     AS image_confidence
-FROM {documents} WHERE doc_id % 8 = 0 AND doc_id % 24 <> 16""",
+FROM {documents} WHERE doc_id % 40 = 0 AND doc_id % 120 <> 80""",
     "spelling_files": """
 SELECT p_partkey AS file_no,
   '{{"meta": {{"version": "' || p_brand || '"}}, "' || p_brand || '": {{"' || replace(p_name, 'i', 'y') || '": "' || p_name
   || ' ' || CAST(p_size AS STRING) || '"}}, "words": {{"' || CASE WHEN p_size % 2 = 0 THEN 'Anvyl' ELSE 'ryng' END || '": "'
   || CASE WHEN p_size % 2 = 0 THEN 'anvil' ELSE 'Ring' END || '"}}}}' AS payload
-FROM {part} WHERE p_size % 4 = 0""",
+FROM {part}""",
     "spelling_texts": """
 SELECT p_partkey AS text_no,
   CASE p_partkey % 5 WHEN 0 THEN replace(p_name, 'i', 'y') WHEN 1 THEN upper(substr(p_name, 1, 1)) || replace(substr(p_name, 2), 'i', 'y')
@@ -292,12 +296,14 @@ _SPARK_FRAGMENTS = {
     "hash60": "CAST(conv(substr(md5(key), 1, 15), 16, 10) AS BIGINT)",
     "providers": "LATERAL VIEW explode(array(1, 2, 3)) v AS provider_no",
     "slots": "LATERAL VIEW explode(sequence(1, 12)) s AS seq",
+    "again": "LATERAL VIEW explode(CASE WHEN p_size % 6 = 1 THEN array(0, 1) ELSE array(0) END) a AS again",
     "seam": "LATERAL VIEW explode(CASE WHEN l_linenumber = 1 THEN array(0, 1) ELSE array(0) END) s AS copy",
 }
 _REFERENCE_FRAGMENTS = {
     "hash60": "CAST('0x' || substr(md5(key), 1, 15) AS BIGINT)",
     "providers": ", unnest([1, 2, 3]) AS v(provider_no)",
     "slots": ", unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]) AS s(seq)",
+    "again": ", unnest(CASE WHEN p_size % 6 = 1 THEN [0, 1] ELSE [0] END) AS a(again)",
     "seam": ", unnest(CASE WHEN l_linenumber = 1 THEN [0, 1] ELSE [0] END) AS s(copy)",
 }
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlore.functions.texts import stripped
+
 # Lowest accepted confidence, and the one assumed where an engine gives none.
 MIN_CONFIDENCE = 0.3
 ASSUMED_CONFIDENCE = 0.85
@@ -34,7 +36,7 @@ def from_annotations(df: DataFrame, payload: str = "payload", minimum: float = M
     words = blocks.select(*keep, F.inline("paragraphs")).select(*keep, F.inline("words"))
     known = F.filter(F.transform("symbols", lambda s: s["confidence"]), lambda c: c > 0)
     confidence = F.when(F.size(known) > 0, _mean(known)).otherwise(F.lit(ASSUMED_CONFIDENCE))
-    text = F.trim(F.array_join(F.transform("symbols", lambda s: s["text"]), ""))
+    text = stripped(F.array_join(F.transform("symbols", lambda s: s["text"]), ""))
     vertices = F.col("bounding_box.vertices")
     rows = words.select(
         *keep, text.alias("text"), confidence.alias("raw"), *[c.alias(n) for n, c in _bounds(vertices).items()], F.size(vertices).alias("n")
@@ -48,9 +50,9 @@ def from_polygons(df: DataFrame, minimum: float = MIN_CONFIDENCE) -> DataFrame:
     """Rows with ``points`` (array of ``[x, y]`` arrays), ``text`` and ``confidence``."""
     keep = [c for c in df.columns if c not in ("points", "text", "confidence")]
     xs, ys = F.transform("points", lambda p: F.get(p, F.lit(0))), F.transform("points", lambda p: F.get(p, F.lit(1)))
-    rows = df.filter((F.col("confidence") >= minimum) & (F.trim("text") != ""))
+    rows = df.filter((F.col("confidence") >= minimum) & (stripped("text") != ""))
     return rows.select(
-        *keep, F.trim("text").alias("text"), F.round("confidence", 4).alias("confidence"),
+        *keep, stripped("text").alias("text"), F.round("confidence", 4).alias("confidence"),
         F.array_min(xs).cast("int").alias("x1"), F.array_min(ys).cast("int").alias("y1"),
         F.array_max(xs).cast("int").alias("x2"), F.array_max(ys).cast("int").alias("y2"),
     )
@@ -62,7 +64,7 @@ def from_columns(df: DataFrame, minimum: float = MIN_CONFIDENCE) -> DataFrame:
     keep = [c for c in df.columns if c not in arrays]
     rows = df.select(*keep, F.inline(F.arrays_zip(*arrays)))
     score = F.col("conf") / 100.0
-    return rows.filter((F.trim("text") != "") & (F.col("conf") != -1) & (score >= minimum)).select(
-        *keep, F.trim("text").alias("text"), F.round(score, 4).alias("confidence"), F.col("left").alias("x1"), F.col("top").alias("y1"),
+    return rows.filter((stripped("text") != "") & (F.col("conf") != -1) & (score >= minimum)).select(
+        *keep, stripped("text").alias("text"), F.round(score, 4).alias("confidence"), F.col("left").alias("x1"), F.col("top").alias("y1"),
         (F.col("left") + F.col("width")).alias("x2"), (F.col("top") + F.col("height")).alias("y2"),
     )
