@@ -2,17 +2,25 @@
 
 A corpus is any frame with ``id`` and ``text``; feature rows become one through
 ``feature_corpus``. Postings carry the length of their document, so ranking needs the
-postings of the query words only and no join with the documents.
+postings of the query words only and no join with the documents. A stored index keeps postings in
+folders by word hash, sorted by word, with the number of documents and words beside them; a query
+reads the folders of its words and never the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 HITS = 50
+#: Stands between the columns of a row in its text; no phrase reaches across it.
+COLUMN_END = "\x1f"
+#: Postings that one folder of a stored index is meant to hold.
+POSTINGS_PER_BUCKET = 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -29,7 +37,7 @@ def query_words(text: str) -> list[str]:
 def feature_corpus(features: DataFrame) -> DataFrame:
     """Indexed columns of non-noise features as one text."""
     return features.filter(F.col("feature_type") != "noise").select(
-        "id", F.concat_ws("\n", "feature_name", "original_text", "map_name").alias("text")
+        "id", F.concat_ws(COLUMN_END, "feature_name", "original_text", "map_name").alias("text")
     )
 
 
@@ -44,12 +52,64 @@ def postings(corpus: DataFrame) -> DataFrame:
     return exploded.groupBy("term", "id", "n_words").agg(F.count("*").alias("tf")).select("term", "id", "tf", "n_words")
 
 
-def write_index(corpus: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store postings in folders by term hash, sorted by term, so that a query reads few files."""
-    rows = postings(corpus).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term", "id").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(path)
+def write_index(corpus: DataFrame, path: str, per_bucket: int = POSTINGS_PER_BUCKET) -> None:
+    """Store postings in folders by word hash, sorted by word, and the facts ranking needs.
+
+    The number of folders follows from the number of postings. Files are ranges of word and
+    document, so a word that is everywhere is spread over several of them.
+    """
+    spark, rows = corpus.sparkSession, postings(corpus)
+    rows.write.mode("overwrite").parquet(f"{path}/unsorted")
+    rows = spark.read.parquet(f"{path}/unsorted")
+    buckets = max(1, -(-rows.count() // per_bucket))
+    bucketed = rows.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+    bucketed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy(
+        "bucket"
+    ).parquet(f"{path}/postings")
+    corpus_facts(corpus).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/facts")
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/unsorted")
+
+
+def index_facts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/facts")
+
+
+def indexed_postings(spark: SparkSession, path: str, terms: list[str], prefix: bool = False) -> DataFrame:
+    """Postings of the query words from a stored index; only the folders of the words are read.
+
+    Words that begin with a prefix are in all folders; there the sorted files are pruned.
+    """
+    rows = spark.read.parquet(f"{path}/postings")
+    if prefix:
+        test = F.lit(False)
+        for t in terms:
+            test = test | F.col("term").startswith(t)
+        return rows.filter(test).drop("bucket")
+    buckets = index_facts(spark, path).first()["buckets"]
+    wanted = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
+    return rows.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms)).drop("bucket")
+
+
+def search_index(spark: SparkSession, path: str, text: str, limit: int = HITS) -> DataFrame:
+    """Ranked search over a stored index; equal to ``search`` over the corpus. The text must hold a word."""
+    terms = query_words(text)
+    return rank(indexed_postings(spark, path, terms), index_facts(spark, path), len(terms), limit)
+
+
+def match_prefix_index(spark: SparkSession, path: str, prefixes: list[str]) -> DataFrame:
+    """Documents in which every prefix starts some word, from a stored index."""
+    low = [p.lower() for p in prefixes]
+    hits = indexed_postings(spark, path, low, prefix=True)
+    started = F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(k)) for k, p in enumerate(low)]))
+    found = hits.select("id", F.explode(started).alias("slot")).groupBy("id").agg(F.count_distinct("slot").alias("n"))
+    return found.filter(F.col("n") == len(low)).select("id")
+
+
+def match_phrase_index(corpus: DataFrame, path: str, phrase: str) -> DataFrame:
+    """Documents with the phrase: the index finds those with all its words, only they are read on."""
+    terms = query_words(phrase)
+    candidates = match_all(indexed_postings(corpus.sparkSession, path, terms), len(terms))
+    return match_phrase(corpus.join(candidates, "id", "left_semi"), phrase)
 
 
 def replace_in_index(index: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
@@ -83,10 +143,13 @@ def match_prefix(corpus: DataFrame, prefixes: list[str]) -> DataFrame:
 
 
 def match_phrase(corpus: DataFrame, phrase: str) -> DataFrame:
-    """Documents that hold the words of the phrase next to each other, in order."""
-    terms = query_words_in_order(phrase)
-    joined = F.concat(F.lit(" "), F.array_join(words_of(F.col("text")), " "), F.lit(" "))
-    return corpus.filter(joined.contains(" " + " ".join(terms) + " ")).select("id")
+    """Documents that hold the words of the phrase next to each other, in order, within one column."""
+    sought = " " + " ".join(query_words_in_order(phrase)) + " "
+
+    def holds(column: Column) -> Column:
+        return F.concat(F.lit(" "), F.array_join(words_of(column), " "), F.lit(" ")).contains(sought)
+
+    return corpus.filter(F.exists(F.split("text", COLUMN_END), holds)).select("id")
 
 
 def query_words_in_order(text: str) -> list[str]:
@@ -136,8 +199,34 @@ def rank(hits: DataFrame, facts: DataFrame, n_terms: int, limit: int = HITS) ->
 
 
 def search(corpus: DataFrame, text: str, limit: int = HITS) -> DataFrame:
-    """Ranked search; a query without any word falls back to substring search."""
-    terms = query_words(text)
-    if not terms:
+    """Search by words, ``prefix*`` and ``"a phrase"``, best first.
+
+    Plain words are ranked over the corpus. With prefixes or phrases the documents that fulfil all
+    parts are returned in order of id. A text without a word falls back to substring search.
+    """
+    import regex
+
+    phrases = [p for p in regex.findall(r'"([^"]*)"', text) if query_words(p)]
+    rest = regex.sub(r'"[^"]*"', " ", text)
+    prefixes = [w.lower() for w in regex.findall(rf"({WORD})\*", rest)]
+    terms = query_words(regex.sub(rf"{WORD}\*", " ", rest))
+    if not (phrases or prefixes or terms):
         return match_substring(corpus, text).withColumn("score", F.lit(0.0)).orderBy("id").limit(limit)
-    return rank(query_postings(corpus, terms), corpus_facts(corpus), len(terms), limit)
+    if terms and not (phrases or prefixes):
+        return rank(query_postings(corpus, terms), corpus_facts(corpus), len(terms), limit)
+    found = corpus
+    for phrase in phrases:
+        found = found.join(match_phrase(corpus, phrase), "id", "left_semi")
+    if prefixes:
+        found = found.join(match_prefix(corpus, prefixes), "id", "left_semi")
+    if terms:
+        found = found.join(match_all(query_postings(corpus, terms), len(terms)), "id", "left_semi")
+    return found.select("id", F.lit(0.0).alias("score")).orderBy("id").limit(limit)
+
+
+def search_features_text(features: DataFrame, text: str, limit: int = HITS) -> DataFrame:
+    """Feature rows for a search text; what cannot be read as one is looked for inside feature names."""
+    if text.count('"') % 2 or not query_words(text):
+        named = features.filter(F.lower("feature_name").contains(text.lower()) & (F.col("feature_type") != "noise"))
+        return named.withColumn("score", F.lit(0.0)).orderBy("map_name", "feature_type", "feature_name", "id").limit(limit)
+    return features.join(F.broadcast(search(feature_corpus(features), text, limit)), "id")  # at most ``limit`` rows

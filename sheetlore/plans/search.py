@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheetlore.operators import search as op
 from sheetlore.plans.registry import query
+from sheetlore.session import ensure_checkpoint_dir
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _CORPUS = f"docs AS (SELECT doc_id AS id, text, {_WORDS} AS words FROM documents)"
@@ -17,6 +20,19 @@ def _documents(t):
     return t.documents.select(F.col("doc_id").alias("id"), "text")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _index(t, kind: str) -> str:
+    """Folder of the stored index over documents or features, written once per application and data folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder, kind)
+    if key not in _STORED:
+        path = f"{ensure_checkpoint_dir(t.spark)}/index-{kind}-{uuid.uuid4().hex}"
+        op.write_index(_documents(t) if kind == "documents" else op.feature_corpus(t.features), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 @query(
     "fts01_postings",
     f"WITH {_CORPUS} SELECT w AS term, id, n_words, count(*) AS tf FROM (SELECT id, CAST(len(words) AS INT) AS n_words, unnest(words) AS w FROM docs) GROUP BY ALL",
@@ -41,7 +57,7 @@ def _(t):
 
 @query("fts02_match_all", f"WITH {_CORPUS} SELECT id FROM docs WHERE list_contains(words, 'this') AND list_contains(words, 'from')")
 def _(t):
-    return op.match_all(op.query_postings(_documents(t), ["this", "from"]), 2)
+    return op.match_all(op.indexed_postings(t.spark, _index(t, "documents"), ["this", "from"]), 2)
 
 
 @query(
@@ -49,12 +65,33 @@ def _(t):
     f"WITH {_CORPUS} SELECT id FROM docs WHERE len(list_filter(words, lambda w: starts_with(w, 'thor'))) > 0 AND len(list_filter(words, lambda w: starts_with(w, 'erin'))) > 0",
 )
 def _(t):
-    return op.match_prefix(_documents(t), ["Thor", "erin"])
+    return op.match_prefix_index(t.spark, _index(t, "documents"), ["Thor", "erin"])
 
 
 @query("fts03_phrase", f"WITH {_CORPUS} SELECT id FROM docs WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' the of ')")
 def _(t):
-    return op.match_phrase(_documents(t), "The of")
+    return op.match_phrase_index(_documents(t), _index(t, "documents"), "The of")
+
+
+_NEXT_TO = r"contains(' ' || array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), ' ') || ' ', ' red anvil ')"
+
+
+@query(
+    "fts03_phrase_features",
+    "SELECT id FROM features WHERE feature_type <> 'noise' AND (" + " OR ".join(_NEXT_TO.format(c) for c in ("feature_name", "coalesce(original_text, '')", "map_name")) + ")",
+    ("features",),
+)
+def _(t):
+    return op.match_phrase_index(op.feature_corpus(t.features), _index(t, "features"), "Red anvil")
+
+
+@query(
+    "fts03_mixed_query",
+    f"WITH {_CORPUS} SELECT id, 0.0::DOUBLE AS score FROM docs WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' the of ')"
+    " AND len(list_filter(words, lambda w: starts_with(w, 'thor'))) > 0 AND list_contains(words, 'that') ORDER BY id LIMIT 50",
+)
+def _(t):
+    return op.search(_documents(t), '"The of" thor* that')
 
 
 def _bm25(terms: tuple[str, ...], limit: int = 50) -> str:
@@ -70,21 +107,31 @@ def _bm25(terms: tuple[str, ...], limit: int = 50) -> str:
 
 @query("fts04_bm25_documents", f"WITH {_CORPUS}" + _bm25(("with", "that")))
 def _(t):
-    return op.search(_documents(t), "with, THAT")
+    return op.search_index(t.spark, _index(t, "documents"), "with, THAT")
 
 
 @query("fts04_bm25_features", _FEATURES + _bm25(("anvil", "lake")), ("features",))
 def _(t):
-    return op.search(op.feature_corpus(t.features), "Anvil lake")
+    return op.search_index(t.spark, _index(t, "features"), "Anvil lake")
 
 
 @query("jon13_ranked_features", _FEATURES + ", best AS (" + _bm25(("rod",)).lstrip(", ").replace("q AS", "WITH q AS", 1) + """)
   SELECT b.id, b.score, f.feature_name, f.map_name FROM best b JOIN features f ON f.id = b.id""", ("features",))
 def _(t):
-    best = op.search(op.feature_corpus(t.features), "rod")
+    best = op.search_index(t.spark, _index(t, "features"), "rod")
     return t.features.select("id", "feature_name", "map_name").join(F.broadcast(best), "id").select("id", "score", "feature_name", "map_name")
 
 
+@query(
+    "fts05_name_fallback",
+    """SELECT id, 0.0::DOUBLE AS score FROM features WHERE feature_type <> 'noise' AND contains(lower(feature_name), ', (')
+       ORDER BY map_name, feature_type, feature_name, id LIMIT 50""",
+    ("features",),
+)
+def _(t):
+    return op.search_features_text(t.features, ", (").select("id", "score")
+
+
 @query("fts05_substring_fallback", "SELECT doc_id AS id, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), '%%%') ORDER BY doc_id LIMIT 50")
 def _(t):
     return op.search(_documents(t), "%%%")

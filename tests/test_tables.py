@@ -129,12 +129,20 @@ def test_numbering_is_row_number(spark):
 
 
 def test_index_files(spark, tables, tmp_path):
-    corpus = tables.documents.select(F.col("doc_id").alias("id"), "text")
-    search.write_index(corpus, str(tmp_path / "index"), buckets=8)
-    stored = spark.read.parquet(str(tmp_path / "index"))
-    hits = stored.filter(F.col("term").isin("the", "of"))
-    live = search.query_postings(corpus, ["the", "of"])
-    assert search.rank(hits, search.corpus_facts(corpus), 2).collect() == search.rank(live, search.corpus_facts(corpus), 2).collect()
+    corpus, path = tables.documents.select(F.col("doc_id").alias("id"), "text"), str(tmp_path / "index")
+    search.write_index(corpus, path, per_bucket=5_000)
+    hits = search.indexed_postings(spark, path, ["the", "of"])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert search.search_index(spark, path, "the of").collect() == search.search(corpus, "the of").collect()
+    assert sorted(search.match_prefix_index(spark, path, ["th", "an"]).collect()) == sorted(search.match_prefix(corpus, ["th", "an"]).collect())
+
+
+def test_phrase_stays_in_its_column(spark):
+    rows = spark.createDataFrame([(1, "Koel", "Nadi X", "M"), (2, "Koel Nadi", "", "M")], "id int, feature_name string, original_text string, map_name string")
+    corpus = search.feature_corpus(rows.withColumn("feature_type", F.lit("river")))
+    assert [r.id for r in search.search(corpus, '"koel nadi"').collect()] == [2]
+    assert sorted(r.id for r in search.search(corpus, "koe* nadi").collect()) == [1, 2]
 
 
 def test_registry_is_complete():
