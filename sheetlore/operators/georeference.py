@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlore.functions.texts import stripped
+from sheetlore.operators.numbering import number_rows
 
 # Fixed value: degrees with optional minutes, seconds and hemisphere.
 DEGREES = r"""(?i)(\d{1,3})\s*[°o]\s*(?:(\d{1,2})\s*['’′`]\s*(?:(\d{1,2}(?:\.\d+)?)\s*["”″]\s*)?)?([NSEW])?"""
@@ -29,20 +30,26 @@ def decimal_degrees(deg: Column, minutes: Column, seconds: Column, hemi: Column)
     return F.round(F.when(hemi.isin("S", "W"), -value).otherwise(value), 6)
 
 
+def in_token_order(tokens: DataFrame) -> DataFrame:
+    """``row_no`` counts the tokens of a map by ``seq``, which may have gaps."""
+    return number_rows(tokens, ["map_name"], F.floor(F.col("seq") / 256), ["seq"])
+
+
 def with_hemisphere(tokens: DataFrame) -> DataFrame:
     """Degree tokens with their hemisphere, taken from the next token where theirs is missing.
 
-    ``seq`` numbers the tokens of a map without gaps, so the next token is found by an
-    equi-join on ``(map_name, seq)`` with the few tokens that are a lone N, S, E or W.
+    Tokens are counted first, so the next one is found by an equi-join with the few tokens that
+    are a lone N, S, E or W, whatever tokens were left out before.
     """
-    degrees = tokens.select("map_name", "seq", *[c.alias(n) for n, c in degree_parts(F.col("text")).items()]).filter(
+    numbered = in_token_order(tokens.select("map_name", "seq", "text"))
+    degrees = numbered.select("map_name", "seq", "row_no", *[c.alias(n) for n, c in degree_parts(F.col("text")).items()]).filter(
         F.col("deg").isNotNull()
     )
-    lone = tokens.filter(stripped("text").rlike(HEMISPHERE)).select(
-        "map_name", (F.col("seq") - 1).alias("seq"), F.upper(stripped("text")).alias("next_hemi")
+    lone = numbered.filter(stripped("text").rlike(HEMISPHERE)).select(
+        "map_name", (F.col("row_no") - 1).alias("row_no"), F.upper(stripped("text")).alias("next_hemi")
     )
-    joined = degrees.join(lone, ["map_name", "seq"], "left")
-    return joined.withColumn("hemi", F.coalesce("hemi", "next_hemi")).drop("next_hemi").filter(F.col("hemi").isNotNull())
+    joined = degrees.join(lone, ["map_name", "row_no"], "left")
+    return joined.withColumn("hemi", F.coalesce("hemi", "next_hemi")).drop("next_hemi", "row_no").filter(F.col("hemi").isNotNull())
 
 
 def coordinate_bounds(tokens: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlore.functions.texts import stripped
-from sheetlore.operators.numbering import number_rows
 from sheetlore.session import cut_lineage
 
 # Corner zone, patterns and distances.
@@ -150,9 +149,7 @@ def zone_listing(corner: DataFrame) -> DataFrame:
     return corner.select("map_name", "seq", "text", "cx", "cy").orderBy("map_name", "cx", "seq")
 
 
-def zone_lines(corner: DataFrame, words_per_line: int = 200) -> DataFrame:
-    """Zone tokens joined from left to right, ``words_per_line`` at most in one row."""
-    numbered = number_rows(corner, ["map_name"], F.floor(F.col("cx") / 8), ["cx", "seq"])
-    part = F.floor((F.col("row_no") - 1) / words_per_line)
-    words = F.array_sort(F.collect_list(F.struct("row_no", "text")))
-    return numbered.groupBy("map_name", part.alias("part")).agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("line"))
+def zone_lines(corner: DataFrame) -> DataFrame:
+    """Zone tokens of a map joined from left to right; a corner of a sheet holds few tokens."""
+    words = F.array_sort(F.collect_list(F.struct("cx", "seq", "text")))
+    return corner.groupBy("map_name").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("line"))

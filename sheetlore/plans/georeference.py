@@ -44,8 +44,9 @@ def _(t):
     ("coord_tokens",),
 )
 def _(t):
-    following = t.coord_tokens.select("map_name", (F.col("seq") - 1).alias("seq"), F.col("text").alias("next_text"))
-    return t.coord_tokens.join(following, ["map_name", "seq"], "left")
+    numbered = geo.in_token_order(t.coord_tokens)
+    following = numbered.select("map_name", (F.col("row_no") - 1).alias("row_no"), F.col("text").alias("next_text"))
+    return numbered.join(following, ["map_name", "row_no"], "left").drop("row_no")
 
 
 _BOUNDS = _PARTS + """, b AS (SELECT map_name, count(*) FILTER (hemi IN ('N', 'S')) >= 2 AND count(*) FILTER (hemi IN ('E', 'W')) >= 2 AS found,
@@ -265,12 +266,11 @@ def _(t):
 
 @query(
     "num06_zone_lines",
-    _ZONE + """SELECT map_name, (rn - 1) // 3 AS part, string_agg(text, ' ' ORDER BY rn) AS line FROM (SELECT map_name, text,
-      row_number() OVER (PARTITION BY map_name ORDER BY cx, seq) AS rn FROM zone) GROUP BY 1, 2""",
+    _ZONE + "SELECT map_name, string_agg(text, ' ' ORDER BY cx, seq) AS line FROM zone GROUP BY 1",
     ("sheet_tokens",),
 )
 def _(t):
-    return num.zone_lines(_corner(t), words_per_line=3)
+    return num.zone_lines(_corner(t))
 
 
 @query("num06_zone_listing", _ZONE + "SELECT map_name, seq, text, cx, cy FROM zone ORDER BY map_name, cx, seq", ("sheet_tokens",))

@@ -47,13 +47,14 @@ def _(t):
     "jon03_attach_map_facts",
     """SELECT f.id, f.map_name, coalesce(m.ocr_map_number, '') AS sheet_ref, coalesce(m.ocr_survey_year, '') AS survey_year,
          coalesce(m.district, '') AS district, m.map_scale FROM features f
-       LEFT JOIN (SELECT * FROM map_info WHERE s_acctbal > 0) m ON m.map_name = f.map_name""",
+       LEFT JOIN map_info m ON m.map_name = f.map_name""",
     ("features", "map_info"),
 )
 def _(t):
-    return op.attach_map_facts(t.features.select("id", "map_name"), t.map_info.filter("s_acctbal > 0"))
+    return op.attach_map_facts(t.features.select("id", "map_name"), t.map_info)
 
 
+# In this query and in jon05, jon15, jon16 one side is cut so that some keys have no partner: that is their subject.
 @query(
     "jon04_new_maps",
     """SELECT DISTINCT map_name FROM detections WHERE map_name NOT IN (SELECT map_name FROM map_info WHERE s_acctbal > 2000)""",

@@ -172,7 +172,7 @@ FROM (
          ELSE l_linenumber * 900 + l_partkey % 9 END AS INT) AS y1
   FROM {lineitem}) q""",
     "coord_tokens": """
-SELECT 'MAP_' || CAST(CAST(floor(event_id / 40) AS BIGINT) AS STRING) AS map_name, event_id % 40 AS seq,
+SELECT 'MAP_' || CAST(CAST(floor(event_id / 40) AS BIGINT) AS STRING) AS map_name, event_id % 40 * 2 AS seq,
   CASE WHEN CAST(floor(event_id / 40) AS BIGINT) % 6 = 0 AND event_id % 40 > 4 AND event_id % 8 IN (2, 3) THEN 'ridge'
     ELSE CASE event_id % 8
       WHEN 0 THEN CAST(70 + user_id % 20 AS STRING) || '°' || CAST(user_id % 60 AS STRING) || chr(39) || 'E'
@@ -288,7 +288,7 @@ SELECT p_partkey AS text_no,
 FROM {part}""",
     "split_rows": """
 SELECT {hash60} AS id, label, '/crops/' || label || '/' || key || '.jpg' AS path FROM (
-  SELECT row_key AS key, feature_type AS label FROM {boxes} WHERE feature_type IN ('river', 'lake', 'road')) q""",
+  SELECT row_key AS key, coalesce(feature_type, 'unknown') AS label FROM {boxes}) q""",
 }
 
 # Spark and the reference database differ only in these fragments.
