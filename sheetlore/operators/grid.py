@@ -207,6 +207,14 @@ def final_grid(chosen: DataFrame, columns: int = DEFAULT_COLUMNS, rows: int = DE
     )
 
 
+def cell_counts(grids: DataFrame, columns: int = DEFAULT_COLUMNS, rows: int = DEFAULT_ROWS) -> DataFrame:
+    """``(map_name, n_rows, n_cols)`` of the cells that a map's lines part, at least the default grid's."""
+    def count(lines: str, least: int) -> Column:
+        return F.greatest(F.coalesce(F.size(lines), F.lit(0)) + 1, F.lit(least)).cast("int")
+
+    return grids.select("map_name", count("row_lines", rows).alias("n_rows"), count("col_lines", columns).alias("n_cols"))
+
+
 def legacy_labels(detections: DataFrame, maps: DataFrame) -> DataFrame:
     """Older rule: letters at the sides mark rows, digits at the ends mark columns, 80 px margins."""
     sized = detections.join(maps.select("map_name", "width", "height"), "map_name")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlore.functions.texts import stripped
+from sheetlore.session import ship_package
 
 # Year notation, context words and their points.
 CONTEXT = 30
@@ -86,6 +87,7 @@ def group_lines(tokens: DataFrame, order: str = "token_no") -> DataFrame:
         heights.withColumn("tallest", tallest).withColumn("cut", cut)
         .select("map_name", "cy", F.sum("cut").over(along).alias("segment"))
     )
+    ship_package(tokens.sparkSession)
     placed = items.join(segments, ["map_name", "cy"])
     ordered = placed.repartition("map_name", "segment").sortWithinPartitions("map_name", "segment", "cy", "x1", "_order")
     return ordered.select("map_name", "segment", "text", "x1", "cy", "h").mapInPandas(_fold_lines, _LINE_SCHEMA)

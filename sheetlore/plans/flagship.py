@@ -18,7 +18,8 @@ _SQL = (
     + grid_sql._clusters("line_positions", "50")
     + grid_sql._FINAL_PIVOT
     + grid_sql._REFERENCE
-    + """, cells AS (SELECT map_name, r AS row_no, k AS col_no FROM map_info, unnest(range(1, n_rows + 1)) AS a(r), unnest(range(1, n_cols + 1)) AS b(k)
+    + grid_sql._LINE_CELLS
+    + """, cells AS (SELECT map_name, r AS row_no, k AS col_no FROM sized, unnest(range(1, n_rows + 1)) AS a(r), unnest(range(1, n_cols + 1)) AS b(k)
         WHERE lat_min IS NOT NULL)
    SELECT f.feature_type, p.grid_reference, count(*) AS n, count(cells.map_name) AS located,
      coalesce(round(CAST(sum(CAST(round(f.confidence * 10000) AS BIGINT)) AS BIGINT) / count(f.confidence) / 10000, 3), 0.0) AS mean_confidence
@@ -38,9 +39,11 @@ def located_features(boxes, line_positions, maps):
     chosen = maps.select("map_name", "width", "height").join(lines, "map_name", "left").withColumns(
         {"col_lines": F.coalesce("col_lines", empty), "row_lines": F.coalesce("row_lines", empty), "method": F.lit("margin-labels")}
     )
-    placed = grid.grid_reference(features, grid.final_grid(chosen))
+    final = grid.final_grid(chosen)
+    placed = grid.grid_reference(features, final)
     keyed = placed.select("*", *grid.parse_cell_key(F.col("grid_reference"), "2B"))
-    return merging.attach_cells(keyed, grid.cells_of_maps(maps))
+    bounds = maps.select("map_name", "lat_min", "lat_max", "lon_min", "lon_max")
+    return merging.attach_cells(keyed, grid.cells_of_maps(bounds.join(grid.cell_counts(final), "map_name")))
 
 
 @query("flagship_located_features", _SQL, ("detections", "line_positions", "map_info"))

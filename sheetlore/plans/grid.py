@@ -341,6 +341,21 @@ def _(t):
     return op.cells_of_maps(t.map_info)
 
 
+_LINE_CELLS = """, sized AS (SELECT m.map_name, m.lat_min, m.lat_max, m.lon_min, m.lon_max, greatest(len(row_lines) + 1, 4) AS n_rows,
+    greatest(len(col_lines) + 1, 4) AS n_cols FROM map_info m JOIN g ON g.map_name = m.map_name)
+"""
+
+
+@query(
+    "grd16_cells_of_lines",
+    _clusters("line_positions", "50") + _FINAL_PIVOT + _LINE_CELLS + _CELLS.replace("FROM map_info", "FROM sized"),
+    ("line_positions", "map_info"),
+)
+def _(t):
+    bounds = t.map_info.select("map_name", "lat_min", "lat_max", "lon_min", "lon_max")
+    return op.cells_of_maps(bounds.join(op.cell_counts(_line_grid(t)), "map_name"))
+
+
 @query(
     "jon12_label_product",
     "SELECT map_name, chr(CAST(64 + k AS INT)) || '-' || r AS cell_key FROM map_info, unnest(range(1, n_rows + 1)) AS a(r), unnest(range(1, n_cols + 1)) AS b(k) WHERE lat_min IS NOT NULL",
