@@ -155,7 +155,7 @@ def duplicate_pairs(detections: DataFrame, dropped: DataFrame, spatial: float =
     Only kept boxes are matched with dropped ones. Kept boxes overlap little, so a bin has few
     of them, and a large group of copies costs one comparison per copy and keeper.
     """
-    binned = cut_lineage(in_bins(prepared(detections)))
+    binned = in_bins(prepared(detections))
     keepers = binned.join(dropped, ["map_name", "det_id"], "left_anti").alias("a")
     fallen = binned.join(dropped, ["map_name", "det_id"], "left_semi").alias("b")
     found = keepers.join(fallen, _same_bin() & _meet() & _outranks() & is_duplicate(spatial, same_text))
@@ -199,17 +199,21 @@ def _resolve(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     edges = cut_lineage(edges)
     dropped = edges.select("map_name", F.col("lo").alias("det_id")).limit(0)
-    while True:
+    left = edges.count()
+    while left:
         outranked = edges.select("map_name", F.col("lo").alias("hi")).distinct()
         ruling = edges.filter("hi_complete").join(outranked, ["map_name", "hi"], "left_anti")
-        falls = cut_lineage(ruling.select("map_name", F.col("lo").alias("det_id")).distinct())
-        if falls.isEmpty():
-            return dropped, edges
-        dropped = dropped.unionByName(falls)
-        edges = cut_lineage(
+        falls = ruling.select("map_name", F.col("lo").alias("det_id")).distinct()
+        rest = cut_lineage(
             edges.join(falls.withColumnRenamed("det_id", "lo"), ["map_name", "lo"], "left_anti")
             .join(falls.withColumnRenamed("det_id", "hi"), ["map_name", "hi"], "left_anti")
         )
+        now = rest.count()
+        if now == left:  # a box that falls takes at least one edge with it
+            break
+        # The falls of a round follow from its stored edges; only the edges are written.
+        dropped, edges, left = dropped.unionByName(falls), rest, now
+    return dropped, edges
 
 
 def _leading(binned: DataFrame, crowded: int, bin_size: int) -> DataFrame:
