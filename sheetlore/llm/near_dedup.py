@@ -28,8 +28,8 @@ from sheetlore.llm.common import map_texts, mix, python_ready, slices, sorted_gr
 ROWS, BANDS = 5, 32
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
-#: Least likelihood estimate of a candidate: three standard errors below the threshold of 0.8.
-ADMITTED = 0.7
+#: Least likelihood estimate of a candidate: nearly four standard errors below the threshold of 0.8.
+ADMITTED = 0.68
 #: Classes of one bucket that a task compares.
 BLOCK = 8192
 #: Classes outside the largest component that a verifying task handles.
@@ -98,7 +98,7 @@ def admitted(one: int, others: np.ndarray, sketches: np.ndarray, sizes: np.ndarr
     """Those of ``others`` whose similarity to ``one`` may reach the threshold, and the estimates."""
     near = others[(np.minimum(sizes[others], sizes[one]) * 100 >= 80 * np.maximum(sizes[others], sizes[one]))]
     equal = (sketches[near] == sketches[one]).sum(axis=1)
-    keep = equal >= 0.55 * REGISTERS
+    keep = equal >= 0.53 * REGISTERS
     near, equal = near[keep], equal[keep]
     if not len(near):
         return near, np.zeros(0)
