@@ -18,7 +18,7 @@ from sheetlore.llm.common import fold, map_texts, python_ready
 from sheetlore.llm.learning import TRAINING_ROWS, labelled_sample, sigmoid
 
 THRESHOLD = 0.3
-TREES, DEPTH, BINS, RATE, LEAST_HESSIAN, PENALTY = 120, 4, 64, 0.15, 5.0, 1.0
+TREES, DEPTH, BINS, RATE, LEAST_HESSIAN, PENALTY = 120, 4, 64, 0.15, 1.0, 1.0
 
 _PUNCTUATION = b".,;:!?-'\"()|#$%&*/<>=_@+[]{}"
 _KINDS = {
