@@ -22,6 +22,8 @@ THRESHOLD = 0.5
 TRAINING_ROWS = 12_000
 SPACE_BITS, TERMS, FACTORS = 22, 4096, 8
 PREFIXES = (4, 5, 6, 7, 8)
+#: Texts that a chosen term occurs in at least, and standard errors that its log odds lie above 0.
+LEAST_TEXTS, LEAST_Z = 4, 2.0
 EPOCHS, BATCH, STEP, DECAY = 40, 256, 0.02, 2e-3
 
 
@@ -36,7 +38,7 @@ def term_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def telling_terms(sample: DataFrame, terms: int = TERMS) -> np.ndarray:
-    """Hashed terms whose share differs most between the classes, from counts over the whole sample.
+    """Hashed terms that are commoner among toxic texts, the surest first, from counts over the whole sample.
 
     Each task counts its texts in two arrays of fixed size and passes on the terms it has met.
     """
@@ -53,12 +55,12 @@ def telling_terms(sample: DataFrame, terms: int = TERMS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], ["term", "clean", "toxic"])
 
     counted = sample.select("label", "text").mapInArrow(count, "term long, clean long, toxic long")
-    sums = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("clean + toxic >= 5")
+    sums = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
     of = sample.agg(F.sum("label").alias("toxic"), F.count("*").alias("rows")).first()
     toxic, clean = of["toxic"] or 0, of["rows"] - (of["toxic"] or 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    chosen = sums.select("term", F.abs(odds / spread).alias("z")).orderBy(F.desc("z"), "term").limit(terms)
+    chosen = sums.select("term", (odds / spread).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms)
     return np.sort(np.array([r["term"] for r in chosen.collect()], np.uint64))
 
 
