@@ -117,6 +117,13 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def map_texts(docs: DataFrame, doc_id: str, text: str, columns: dict[str, str], score) -> DataFrame:
     """doc_id and the columns that ``score(texts)`` gives for the whole texts of a batch (null: empty).
 
@@ -126,7 +133,7 @@ def map_texts(docs: DataFrame, doc_id: str, text: str, columns: dict[str, str],
     names = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [pa.array(x) for x in score(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["doc_id", *names])
 

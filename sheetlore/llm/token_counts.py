@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlore.llm.bpe_automaton import shared_tables, worker_encoder
-from sheetlore.llm.common import stored
+from sheetlore.llm.common import parts, stored
 
 #: Lengths summed together before the sums over all lengths.
 STRETCH = 1024
@@ -27,12 +27,12 @@ def length_histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
     """
     shared = shared_tables(docs.sparkSession, vocabulary)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
-        for frame in frames:
-            yield pd.DataFrame({"n_tokens": pd.Series(encoder.counts(frame["text"].tolist()), dtype="int64")})
+        for batch in parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(encoder.counts(batch.column(0).to_pylist()), pa.int64())], ["n_tokens"])
 
-    lengths = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(count, "n_tokens long")
+    lengths = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "n_tokens long")
     return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 

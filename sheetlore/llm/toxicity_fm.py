@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlore.llm.common import LETTERS, fold, map_texts, python_ready, slices, word_hashes
+from sheetlore.llm.common import LETTERS, fold, map_texts, parts, python_ready, slices, word_hashes
 from sheetlore.llm.learning import labelled_sample, sigmoid
 
 THRESHOLD = 0.5
@@ -46,7 +46,7 @@ def telling_terms(sample: DataFrame, terms: int = TERMS) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 2**SPACE_BITS), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for label, found in zip(batch.column(0).to_pylist(), term_sets(batch.column(1).to_pylist()), strict=True):
                 seen[label, found.astype(np.int64)] += 1
         met = np.flatnonzero(seen.any(axis=0))
