@@ -61,6 +61,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
+#: Bytes hashed together; a longer word is not cut.
+STRETCH_BYTES = 1 << 18
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -87,11 +89,36 @@ def word_hashes(
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = FOLDED[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    starts, found = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + len(prefixes))]
+    begin = 0
+    while begin < len(data):
+        end = _word_border(data, begin + STRETCH_BYTES, within)
+        at, *hashes = _stretch_hashes(data[begin:end], prefixes, within)
+        starts.append(at + begin)
+        for kept, new in zip(found, hashes, strict=True):
+            kept.append(new)
+        begin = end
+    joined = [np.concatenate(x) for x in found]
+    return joined[0], np.searchsorted(np.concatenate(starts), begins), *joined[1:]
+
+
+def _word_border(data: np.ndarray, at: int, within: np.ndarray) -> int:
+    """The first place from ``at`` on that no word reaches across."""
+    while at < len(data):
+        outside = np.flatnonzero(~within[data[at : at + 4096]])
+        if len(outside):
+            return at + int(outside[0])
+        at += 4096
+    return len(data)
+
+
+def _stretch_hashes(data: np.ndarray, prefixes: tuple[int, ...], within: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts of the words in some bytes, their hashes and those of their prefixes."""
     inside = within[data]
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return (np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes))
+        return (starts, *(np.zeros(0, np.uint64) for _ in range(1 + len(prefixes))))
     lengths = ends - starts
     at = np.flatnonzero(inside)
     word_begin = np.cumsum(lengths) - lengths
@@ -109,7 +136,7 @@ def word_hashes(
             end = np.minimum(word_begin + k, len(at))
             first = mix(up_to[end] - up_to[word_begin] + np.uint64(k * 0xC2B2AE3D27D4EB4F % 2**64))
             more.append(np.where(lengths >= k, first, np.uint64(0)))
-    return hashes, np.searchsorted(starts, begins), *more
+    return starts, hashes, *more
 
 
 #: Letters, digits and every byte of a character beyond ASCII.
