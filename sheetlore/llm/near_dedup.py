@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlore.llm.common import map_texts, mix, python_ready, slices, sorted_groups, stored, word_hashes
+from sheetlore.llm.common import map_texts, mix, parts, python_ready, slices, sorted_groups, stored, word_hashes
 
 ROWS, BANDS = 5, 32
 REGISTERS = ROWS * BANDS
@@ -199,7 +199,7 @@ def _verify_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, 64):  # rows hold two whole sets
         sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("set_a", "set_b")]
         right = pa.array([linked(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(right), batch.column("b").filter(right)], ["a", "b"])
