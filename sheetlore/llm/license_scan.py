@@ -1,11 +1,14 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison, in DataFrame operations.
 
-Paragraphs are lines. The features of a paragraph are its distinct word pairs and triples that occur
-in a licence template and hold a word typical of licences. A multinomial logistic regression over them
-names the family; a class of its own and a probability bound, calibrated on held-out variants of the
-templates, make the answer ``unknown``. A prediction counts as confirmed when enough of one of the
-family's templates stands in the paragraph. The regression is fitted on the templates below and their
-variants; the scan itself is built-in functions, a broadcast of the fixed vocabulary and one aggregation.
+Paragraphs are runs of lines up to a line without words; comment marks are no words and line breaks count as
+spaces, so word pairs and triples reach across them. A notice is a run of lines of a paragraph that such pairs
+or triples of a template hold together: a paragraph with several notices has a row for each. Its features are
+its distinct word pairs and triples that occur in a licence template, a declaration (``License: MIT``) or a
+sample of other prose. A multinomial logistic regression over them names the family; a class of its own and a
+probability bound, calibrated on held-out variants of the templates, make the answer ``unknown``, which every
+notice gets that speaks of a licence without matching a family. A prediction counts as confirmed when enough of
+one of the family's templates stands in the notice. The regression is fitted on the templates below and their
+variants; the scan itself is built-in functions, a broadcast of the fixed vocabulary and one window per text.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import re
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlore.llm.common import stored
@@ -31,11 +34,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -59,6 +65,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -93,7 +100,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
-#: Sentences with words of licences that grant nothing.
+#: Identifiers by which a family is declared, as in ``SPDX-License-Identifier: MIT``.
+IDENTIFIERS: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT", "Expat"),
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0", "ASL-2.0"),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPLv3", "GPL-3"),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPLv2", "GPL-2"),
+    "LGPL": ("LGPL", "LGPL-2.0", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPLv2.1", "LGPLv3"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPLv3"),
+    "BSD": ("BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"),
+    "MPL-2.0": ("MPL-2.0", "MPLv2", "MPL 2.0"),
+    "CC-BY": ("CC-BY", "CC-BY-4.0", "CC-BY-3.0", "CC BY 4.0"),
+    "CC-BY-SA": ("CC-BY-SA", "CC-BY-SA-4.0", "CC-BY-SA-3.0", "CC BY-SA 4.0"),
+    "CC-BY-NC": ("CC-BY-NC", "CC-BY-NC-4.0", "CC-BY-NC-3.0", "CC BY-NC 4.0"),
+    "CC0": ("CC0", "CC0-1.0"),
+    "ISC": ("ISC",),
+    "Unlicense": ("Unlicense",),
+    "Proprietary": ("Proprietary",),
+}
+for _family, _names in IDENTIFIERS.items():
+    TEMPLATES[_family] += tuple(form + name for name in _names for form in ("SPDX-License-Identifier: ", "License: ", "Licence: "))
+#: Sentences with words of licences that grant nothing, and other prose.
 OTHERS = (
     "The driver must show a valid licence and the permission of the owner.",
     "He asked for permission to use the room and to copy the list.",
@@ -105,12 +132,31 @@ OTHERS = (
     "The bank offered a warranty and a licence to trade.",
     "Under the terms of the treaty the public domain was sold.",
     "Commercial use of the land needs a license from the town.",
+    "The history of the town is described in the first part of the book, and the map of the river at the end of it.",
+    "It is one of the most common birds in the region and can be found in all kinds of woods or on the shore.",
+    "The above list is not complete, as is shown in the following part, and any person may add to it.",
+    "The software is used by many people in the office and is provided by the company for the purpose of planning.",
+    "You can use the program to copy files from one computer to another without a network.",
+    "The work of the author was published in the same year, and copies of the book were sold to the public.",
+    "Anyone can modify the source code of the program and publish the changes as they like.",
+    "Subject to the conditions of the contract the goods are distributed in the form of parts.",
+    "This is free of charge for any person with or without a ticket, including but not limited to children.",
+    "The law of the land is applied in writing, express or implied, unless agreed otherwise.",
 )
-#: Words of which a feature must hold at least one; as a pattern, what a paragraph must contain to have features.
+#: What speaks of a licence, whatever its family.
 CUES = (
-    r"licen[sc]|copyright|permission|permitted|redistribut|proprietary|confidential|unencumbered|commons|public domain"
-    r"|all rights|gnu|cc0|\bcc\b|rights reserved|\bisc\b|disclaimer|waived"
+    r"licen[sc]|copyright|copyleft|permission|permitted|redistribut|proprietary|confidential|unencumbered|commons|public\s+domain"
+    r"|all\s+rights|gnu|cc0|\bcc\b|rights\s+reserved|\bisc\b|disclaimer|waived|without\s+(?:any\s+)?warrant"
+)
+#: What by itself gives a notice a row; other cues only in a word pair or triple of a template.
+NAMING = r"\b(?:re|sub|un)?licen[sc]|spdx-|copyright|copyleft|all\s+rights\s+reserved|public\s+domain|\bgnu\b|without\s+(?:any\s+)?warrant"
+#: Words that say nothing of licences; a notice must have a feature beyond them.
+FREQUENT = frozenset(
+    "a above all an and any are as at be but by can do for free from has have in is it its many may must no not of on one or other part should such that the their "
+    "them they this to under was were what with within without you".split()
 )
+#: Words that mark a comment line.
+MARKS = r"(?m)^\s*@?(?:rem|dnl)\s"
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
 
@@ -119,13 +165,20 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(words: list[str]) -> set[str]:
-    grams = {" ".join(words[k : k + n]) for n in (2, 3) for k in range(len(words) - n + 1)}
-    return {g for g in grams if re.search(CUES, g)}
+    return {" ".join(words[k : k + n]) for n in (2, 3) for k in range(len(words) - n + 1)}
 
 
 @cache
 def vocabulary() -> list[str]:
-    return sorted({g for texts in TEMPLATES.values() for t in texts for g in features_of(words_of(t))})
+    return sorted({g for texts in (*TEMPLATES.values(), OTHERS) for t in texts for g in features_of(words_of(t))})
+
+
+def template_grams() -> set[str]:
+    return {g for texts in TEMPLATES.values() for t in texts for g in features_of(words_of(t))}
+
+
+def declarations() -> set[str]:
+    return {g for family, own in IDENTIFIERS.items() for t in TEMPLATES[family][-3 * len(own) :] for g in features_of(words_of(t))}
 
 
 @cache
@@ -150,25 +203,35 @@ def trained() -> tuple[list[str], np.ndarray, np.ndarray, float]:
     x, y = [], []
     for k, family in enumerate(families):
         for text in OTHERS if family == UNKNOWN else TEMPLATES[family]:
-            x += [row(words_of(text))] + [row(variant(words_of(text))) for _ in range(VARIANTS)]
-            y += [k] * (VARIANTS + 1)
-    for _ in range(VARIANTS * 20):  # one or two features torn from anywhere are no licence
+            words = words_of(text)
+            if len(words) > 4:
+                x += [row(words)] + [row(variant(words)) for _ in range(VARIANTS)]
+                y += [k] * (VARIANTS + 1)
+            else:  # a declaration has one spelling
+                x += [row(words)] * 5
+                y += [k] * 5
+    apart = declarations()
+    loose = [k for k, g in enumerate(names) if g not in apart]
+    dull = [k for k in loose if set(names[k].split()) <= FREQUENT]
+    for _ in range(VARIANTS * 20):  # a feature torn from anywhere is no licence, nor are many without a telling word
         stray = np.zeros(len(names))
-        stray[rng.integers(0, len(names), rng.integers(0, 2))] = 1
+        stray[rng.choice(loose, rng.integers(0, 2))] = 1
+        stray[rng.choice(dull, rng.integers(0, 9))] = 1
         x.append(stray)
         y.append(0)
     x_, y_ = np.array(x), np.array(y)
+    weight = np.where(x_[:, [k for k, g in enumerate(names) if g in apart]].any(axis=1), 16.0, 1.0)[:, None]
     held = np.arange(len(y_)) % 5 == 4
     weights, bias = np.zeros((len(names), len(families))), np.zeros(len(families))
     one_hot = np.eye(len(families))[y_]
     for _ in range(EPOCHS):
         p = _softmax(x_[~held] @ weights + bias)
-        error = (p - one_hot[~held]) / (~held).sum()
+        error = weight[~held] * (p - one_hot[~held]) / weight[~held].sum()
         weights -= 8.0 * (x_[~held].T @ error + 1e-5 * weights)
         bias -= 8.0 * error.sum(axis=0)
     bias[0] = max(bias[0], bias[1:].max() + 1)  # without features the answer is unknown
     p = _softmax(x_[held] @ weights + bias)
-    right = (p.argmax(axis=1) == y_[held]) & (y_[held] > 0)
+    right = (p.argmax(axis=1) == y_[held]) & (y_[held] > 0) & (weight[held, 0] == 1)
     bound = float(np.clip(np.quantile(p.max(axis=1)[right], 0.05), 0.4, 0.9))
     return families, weights, bias, bound
 
@@ -178,22 +241,57 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _grams(words):
-    """Distinct pairs and triples of an array of words."""
-    def runs(n: int):
-        count = F.size(words) - n + 1
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(words, k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def _among(grams) -> str:
+    """A list for SQL; words have none of its signs."""
+    return "(" + ", ".join(f"'{g}'" for g in sorted(grams)) + ")"
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Lines with features or a cue: rid, doc_id, line, grams, linked (some go on in the next line), named."""
+    names = vocabulary()
+    first, second = {g.split()[0] for g in names}, {g.split()[1] for g in names}
+    bare = F.regexp_replace(F.lower(F.col(text)), MARKS, " ")
+    words = F.transform(F.split(bare, "\n"), lambda line: F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), words.alias("words")).withColumn("rid", F.monotonically_increasing_id())
+    # a gram that starts in a line ends in the two lines after it, as none of a paragraph's lines lacks words
+    follow = """transform(words, (own, k) -> struct(own, CASE WHEN size(get(words, k + 1)) > 1 THEN slice(get(words, k + 1), 1, 2)
+        WHEN size(get(words, k + 1)) = 1 THEN concat(get(words, k + 1), coalesce(slice(get(words, k + 2), 1, 1), array())) ELSE array() END AS next))"""
+    # all that the filters below use is made before the rows are dealt out, so that no filter makes it again for each word
+    whole = "struct(size(x.own) AS n, concat(x.own, x.next) AS run, array_join(x.own, ' ') || '\n' || array_join(x.next, ' ') AS said)"
+    lines = texts.select("rid", "doc_id", F.posexplode(F.expr(f"transform({follow}, x -> {whole})")).alias("line", "at"))
+    lines = lines.select("rid", "doc_id", "line", "at.*").filter("n > 0")
+    starts = f"filter(sequence(0, n - 1), k -> get(run, k) IN {_among(first)} AND get(run, k + 1) IN {_among(second)})"
+    lines = lines.select("rid", "doc_id", "line", "n", "run", F.col("said").rlike(rf"^[^\n]*?(?:{NAMING})").alias("named"), F.expr(starts).alias("starts"))
+    lines = lines.filter("named OR size(starts) > 0")
+    grams = """flatten(transform(starts, k -> array(struct(get(run, k) || ' ' || get(run, k + 1) AS gram, k + 1 >= n AS over),
+        struct(get(run, k) || ' ' || get(run, k + 1) || ' ' || get(run, k + 2) AS gram, k + 2 >= n AS over))))"""
+    lines = lines.select("rid", "doc_id", "line", "named", F.expr(grams).alias("all"))
+    lines = lines.select("rid", "doc_id", "line", "named", F.expr(f"filter(all, g -> g.gram IN {_among(names)})").alias("found"))
+    linked = F.exists("found", lambda g: g["over"] & g["gram"].isNotNull())
+    return lines.filter("named OR size(found) > 0").select("rid", "doc_id", "line", "named", linked.alias("linked"), F.array_distinct("found.gram").alias("grams"))
 
-    return F.array_distinct(F.concat(runs(2), runs(3)))
+
+def _notices(lines: DataFrame) -> DataFrame:
+    """Lines joined where a feature goes on in the next: rid, doc_id, paragraph (the first line), grams, named."""
+    order = Window.partitionBy("rid").orderBy("line")
+    joined = F.lag("linked").over(order) & (F.lag("line").over(order) == F.col("line") - 1)
+    begins = lines.withColumn("begin", F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("line")))
+    runs = begins.withColumn("paragraph", F.last("begin", ignorenulls=True).over(order))
+    grams = F.array_distinct(F.flatten(F.collect_list("grams")))
+    cues = [g for g in template_grams() if re.search(CUES, g)]
+    notices = runs.groupBy("rid", "doc_id", "paragraph").agg(grams.alias("grams"), F.max("named").alias("named"))
+    notices = notices.withColumn("named", F.col("named") | F.expr(f"exists(grams, g -> g IN {_among(cues)})"))
+    telling = [g for g in template_grams() if not set(g.split()) <= FREQUENT]
+    return notices.filter(f"named OR exists(grams, g -> g IN {_among(telling)})")
 
 
 def license_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each paragraph with features of licences.
+    """One row for each notice that matches a family or speaks of a licence.
 
-    Returns doc_id, paragraph (number of the line, from 0), family (or ``unknown``), probability,
-    template (number within the family, of the one that fits best), template_share, confirmed. Every
-    line of every text is looked at; null and empty texts have none. Rows that repeat an id are taken
-    as they come; other columns are not read.
+    Returns doc_id, paragraph (number of the notice's first line, from 0), family (or ``unknown``),
+    probability, template (number within the family, of the one that fits best), template_share,
+    confirmed. Every line of every text is looked at; null and empty texts have none. Rows that repeat
+    an id are taken as they come; other columns are not read.
     """
     spark = docs.sparkSession
     families, weights, bias, bound = trained()
@@ -205,26 +303,19 @@ def license_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for family, texts in TEMPLATES.items() for number, t in enumerate(texts) for g in features_of(words_of(t))
     ]
     templates = spark.createDataFrame(parts, "gram string, family string, template int, size int")
-    cue = f"(?i){CUES}"
-    lines = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-        .filter(F.col("text").rlike(cue))
-        .select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-        .filter(F.col("line").rlike(cue))
-    )
-    words = F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0))
-    grams = lines.select("rid", "doc_id", "paragraph", words.alias("words")).select("rid", "doc_id", "paragraph", F.explode(_grams(F.col("words"))).alias("gram"))
-    hits = stored(grams.join(F.broadcast(table), "gram"), "licence-features")  # the vocabulary is fixed
+    notices = stored(_notices(_lines(docs, doc_id, text)), "licence-features")
+    key = ["rid", "doc_id", "paragraph", "named"]
+    hits = notices.select(*key, F.explode_outer("grams").alias("gram"))
 
-    key = ["rid", "doc_id", "paragraph"]
-    logits = hits.groupBy(*key).agg(*[F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(len(families))])
+    weighed = hits.join(F.broadcast(table), "gram", "left")  # the vocabulary is fixed
+    logits = weighed.groupBy(*key).agg(*[F.sum(F.coalesce(F.col("weights")[k], F.lit(0.0))).alias(f"z{k}") for k in range(len(families))])
     shifted = F.array(*[F.col(f"z{k}") + F.lit(float(b)) for k, b in enumerate(bias)])
     scored = logits.select(*key, shifted.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.col("top")))
     best = F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position("z", F.col("top")).cast("int"))
-    predicted = scored.select(*key, best.alias("named"), (1 / total).alias("probability")).withColumn(
-        "family", F.when(F.col("probability") >= bound, F.col("named")).otherwise(F.lit(UNKNOWN))
-    ).drop("named")
+    predicted = scored.select(*key, best.alias("best"), (1 / total).alias("probability")).withColumn(
+        "family", F.when(F.col("probability") >= bound, F.col("best")).otherwise(F.lit(UNKNOWN))
+    ).drop("best").filter((F.col("family") != UNKNOWN) | F.col("named"))
     shares = hits.select(*key, "gram").join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg(
         (F.count("*") / F.first("size")).alias("template_share")
     )
