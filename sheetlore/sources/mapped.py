@@ -194,7 +194,7 @@ SELECT 'MAP_' || CAST(l_suppkey AS STRING) AS map_name,
     WHEN 2 THEN (2 + l_orderkey % 2) * 900 + (l_partkey % 2) * 49
     WHEN 3 THEN 2500 + l_orderkey % 40
     ELSE (1 + l_orderkey % 6) * 700 END AS DOUBLE) + 0.5 AS pos
-FROM {lineitem} WHERE l_suppkey % 10 <> 9""",
+FROM {lineitem}""",
     "segments": """
 SELECT 'MAP_' || CAST(l_suppkey AS STRING) AS map_name, x1, y1,
   CAST(x1 + CASE l_partkey % 6 WHEN 0 THEN 1000 WHEN 1 THEN 1000 WHEN 2 THEN 1000 WHEN 3 THEN 1000 WHEN 4 THEN 35 ELSE 0 END AS INT) AS x2,

@@ -145,6 +145,10 @@ def test_phrase_stays_in_its_column(spark):
     assert sorted(r.id for r in search.search(corpus, "koe* nadi").collect()) == [1, 2]
 
 
+def test_line_positions_have_every_row(spark, tables):
+    assert tables.line_positions.count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+
+
 def test_registry_is_complete():
     queries, reference = entry_module.queries(), entry_module.oracle_sql()
     assert set(reference) <= set(queries)
