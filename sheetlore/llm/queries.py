@@ -14,6 +14,7 @@ from sheetlore.llm.decontamination import contaminated
 from sheetlore.llm.exact_dedup import exact_duplicates
 from sheetlore.llm.language_cnn import languages
 from sheetlore.llm.license_scan import license_paragraphs
+from sheetlore.llm.merkle_log import MERKLE_SQL, merkle_manifest
 from sheetlore.llm.near_dedup import near_duplicates
 from sheetlore.llm.quality_trees import quality_scores
 from sheetlore.llm.token_counts import context_summary, length_histogram
@@ -75,6 +76,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -87,9 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_toxicity_fm": op9_toxicity_fm,
         "op10_decontamination": op10_decontamination,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_exact_dedup": OP2_SQL, "op12_merkle_manifest": MERKLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
