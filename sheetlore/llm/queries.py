@@ -17,6 +17,8 @@ from sheetlore.llm.license_scan import license_paragraphs
 from sheetlore.llm.merkle_log import MERKLE_SQL, merkle_manifest
 from sheetlore.llm.near_dedup import near_duplicates
 from sheetlore.llm.quality_trees import quality_scores
+from sheetlore.llm.spelling_groups import SPELLING_SQL, spelling_variants
+from sheetlore.llm.suffix_dedup import repeated_passages
 from sheetlore.llm.token_counts import context_summary, length_histogram
 from sheetlore.llm.token_shards import training_shards
 from sheetlore.llm.toxicity_fm import toxicity_scores
@@ -76,10 +78,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -92,10 +102,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_toxicity_fm": op9_toxicity_fm,
         "op10_decontamination": op10_decontamination,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_suffix_dedup": op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op12_merkle_manifest": MERKLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_exact_dedup": OP2_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_merkle_manifest": MERKLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
