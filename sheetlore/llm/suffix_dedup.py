@@ -32,9 +32,9 @@ from sheetlore.llm.common import mix, parts, python_ready, stored
 #: Bytes of a string whose repetitions are removed.
 LENGTH = 100
 #: Bytes of an anchor; a window has LENGTH - ANCHOR + 1 places for it.
-ANCHOR = 20
+ANCHOR = 40
 #: Bytes of text that are hashed together.
-STRETCH = 1 << 19
+STRETCH = 1 << 16
 #: Pieces merged before they are sent on.
 HELD_PIECES = 400_000
 #: Anchors whose pieces are cut into single windows from the start, because they are the most frequent ones.
@@ -42,16 +42,17 @@ HOT_ANCHORS = 4096
 #: Different pieces with one anchor that meet in a collection; of a fuller anchor, windows meet by their own hashes.
 FULL = 20_000
 #: Bytes of a collection.
-COLLECTION = 2_000_000
+COLLECTION = 200_000
 
 _PLACES = LENGTH - ANCHOR + 1
-_LOW = 20
+_LOW = 18
 assert STRETCH + 2 * LENGTH < 1 << _LOW
 _RNG = np.random.default_rng(20240913)
 _SYMBOL = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SIZE = STRETCH + 2 * LENGTH + 1
 _POWER = np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SIZE, np.uint64(_BASE)))))
+_PLACE_BITS, _AT = np.uint64((1 << _LOW) - 1), np.arange(_SIZE, dtype=np.uint64)
 _INVERSE = np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SIZE, np.uint64(pow(_BASE, -1, 2**64))))))
 
 
@@ -83,23 +84,29 @@ def pieces_of(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray
 
 def _stretch_pieces(part: np.ndarray, begin: int, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     windows = len(part) - LENGTH + 1
-    place = np.arange(begin, begin + windows)
-    owner = np.searchsorted(bounds, place, "right") - 1
-    inside = place + LENGTH <= bounds[owner + 1]
+    # owner of each window, and whether it lies inside one document
+    low, high = np.searchsorted(bounds, (begin, begin + windows - 1), "right") - 1
+    owner = np.repeat(np.arange(low, high + 1), np.diff(np.clip(bounds[low : high + 2] - begin, 0, windows)))
+    inside = np.arange(begin + LENGTH, begin + LENGTH + windows) <= bounds[owner + 1]
     if not inside.any():
         return
     sums = _prefix_hashes(part)
-    at = np.arange(len(part) - ANCHOR + 1)
-    anchors = _hash(sums, at, ANCHOR)
-    least = (anchors >> np.uint64(_LOW) << np.uint64(_LOW)) | at.astype(np.uint64)  # of equal anchors the first
+    count = len(part) - ANCHOR + 1
+    anchors = sums[ANCHOR:] - sums[:-ANCHOR]
+    anchors *= _INVERSE[:count]
+    anchors ^= anchors >> np.uint64(29)
+    anchors *= np.uint64(0x94D049BB133111EB)
+    anchors ^= anchors >> np.uint64(32)
+    least = anchors & ~_PLACE_BITS
+    least |= _AT[:count]  # of equal anchors the first
     width = 1
     while width * 2 <= _PLACES:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    rest = _PLACES - width
-    if rest:
-        least = np.minimum(least[:-rest], least[rest:])
-    where = (least & np.uint64((1 << _LOW) - 1)).astype(np.int64)
+    if width < _PLACES:
+        least = np.minimum(least[: width - _PLACES], least[_PLACES - width :])
+    least &= _PLACE_BITS
+    where = least.view(np.int64)
     # An anchor's place belongs to one document only; windows across two documents belong to none.
     edge = np.flatnonzero((where[1:] != where[:-1]) | (inside[1:] != inside[:-1]) | (owner[1:] != owner[:-1])) + 1
     first = np.concatenate(([0], edge))
@@ -138,27 +145,24 @@ class Collection:
         self.start = self.ends.astype(np.int32)
         self.bwt = self._before(self.start)
         self.lcp = np.zeros(len(strings), np.uint8)
-        self.active = np.flatnonzero(self.bwt)
+        self.active = self.bwt > 0  # rows of the last column, as long as their strings go on
 
     def _before(self, start: np.ndarray) -> np.ndarray:
         # an empty suffix stands where the next string begins, so strings must not be empty
         return self.text[start - 1]
 
     def build(self) -> Collection:
-        while len(self.active):
+        while self.active.any():
             self.insert_column()
         return self
 
     def insert_column(self) -> None:
         """One more symbol of every string that has one: its suffix's row is merged in."""
-        bwt, active = self.bwt, self.active
+        bwt = self.bwt
         order = np.argsort(bwt, kind="stable")  # rows by the symbol before them: where those suffixes go
         ended = len(bwt) - int(np.count_nonzero(bwt))
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        rank = rank[active]
-        by_rank = np.argsort(rank, kind="stable")
-        rows, rank = active[by_rank], rank[by_rank]
+        rank = np.flatnonzero(self.active[order])
+        rows = order[rank]
         symbol = bwt[rows]
         empty = len(self.ends)
         target = empty + rank - ended
@@ -174,16 +178,16 @@ class Collection:
 
         start = self.start[rows] - 1
         before = np.where(self.first[start], np.uint8(0), self.text[start - 1])
-        size = len(bwt) + len(rows)
-        old = np.ones(size, bool)
-        old[target] = False
+        source = np.ones(len(bwt) + len(rows), np.int32)  # where each row of the merged table comes from
+        source[target] = 0
+        source = np.cumsum(source, dtype=np.int32) - 1
         for name, new in (("bwt", before), ("lcp", lcp), ("start", start)):
-            merged = np.empty(size, getattr(self, name).dtype)
-            merged[old] = getattr(self, name)
+            merged = getattr(self, name)[source]
             merged[target] = new
             setattr(self, name, merged)
         self.lcp[target[same_below] + 1] = follow
-        self.active = target[before > 0]
+        self.active = np.zeros(len(source), bool)
+        self.active[target] = before > 0
 
 
 class _RangeMinimum:
