@@ -52,6 +52,7 @@ _SYMBOL = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SIZE = STRETCH + 2 * LENGTH + 1
 _POWER = np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SIZE, np.uint64(_BASE)))))
+_ROW = (1 << 32) - 1
 _PLACE_BITS, _AT = np.uint64((1 << _LOW) - 1), np.arange(_SIZE, dtype=np.uint64)
 _INVERSE = np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SIZE, np.uint64(pow(_BASE, -1, 2**64))))))
 
@@ -130,9 +131,10 @@ def single_windows(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Collection:
     """Burrows-Wheeler transform, common prefixes and suffix places of some strings, grown by columns.
 
-    Symbols are bytes plus one; 0 is the end of a string. Rows are in suffix order: ``bwt`` has the
-    symbol before a suffix, ``lcp`` the symbols it shares with the row above, ``start`` where it begins
-    in the concatenated strings.
+    Symbols are bytes plus one; 0 is the end of a string. Rows are in suffix order: ``lcp`` has the symbols
+    that a suffix shares with the row above, ``start`` where it begins in the concatenated strings. The
+    transform is kept by symbols: ``keys`` are the pairs of the symbol before a suffix and its row, sorted,
+    which is the order of those longer suffixes.
     """
 
     def __init__(self, strings: list[bytes]):
@@ -143,51 +145,45 @@ class Collection:
         self.first = np.zeros(len(self.text) + 1, bool)
         self.first[self.begins] = True
         self.start = self.ends.astype(np.int32)
-        self.bwt = self._before(self.start)
         self.lcp = np.zeros(len(strings), np.uint8)
-        self.active = self.bwt > 0  # rows of the last column, as long as their strings go on
-
-    def _before(self, start: np.ndarray) -> np.ndarray:
         # an empty suffix stands where the next string begins, so strings must not be empty
-        return self.text[start - 1]
+        self.keys = np.sort(self.text[self.ends - 1].astype(np.int64) << 32 | np.arange(len(strings)))
+        self.rank = np.arange(len(strings))  # among the keys: the rows of the last column, as long as their strings go on
+
+    @property
+    def bwt(self) -> np.ndarray:
+        out = np.empty(len(self.keys), np.uint8)
+        out[self.keys & _ROW] = self.keys >> 32
+        return out
 
     def build(self) -> Collection:
-        while self.active.any():
+        while len(self.rank):
             self.insert_column()
         return self
 
     def insert_column(self) -> None:
         """One more symbol of every string that has one: its suffix's row is merged in."""
-        bwt = self.bwt
-        order = np.argsort(bwt, kind="stable")  # rows by the symbol before them: where those suffixes go
-        ended = len(bwt) - int(np.count_nonzero(bwt))
-        rank = np.flatnonzero(self.active[order])
-        rows = order[rank]
-        symbol = bwt[rows]
-        empty = len(self.ends)
-        target = empty + rank - ended
-
+        keys, rank = self.keys, self.rank
+        rows, symbol = keys[rank] & _ROW, keys[rank] >> 32
+        target = len(self.ends) + rank - np.searchsorted(keys, 1 << 32)  # empty suffixes come first; ended strings go nowhere
+        above, below = keys[np.maximum(rank - 1, 0)], keys[np.minimum(rank + 1, len(keys) - 1)]
+        same_above, same_below = (rank > 0) & (above >> 32 == symbol), (rank + 1 < len(keys)) & (below >> 32 == symbol)
         least = _RangeMinimum(self.lcp)
-        above = order[np.maximum(rank - 1, 0)]
-        same_above = (rank > ended) & (bwt[above] == symbol)
-        below = order[np.minimum(rank + 1, len(order) - 1)]
-        same_below = (rank + 1 < len(order)) & (bwt[below] == symbol)
         lcp = np.zeros(len(rows), np.uint8)
-        lcp[same_above] = np.minimum(least(above[same_above] + 1, rows[same_above]), 254) + 1
-        follow = np.minimum(least(rows[same_below] + 1, below[same_below]), 254) + 1
+        lcp[same_above] = np.minimum(least((above[same_above] & _ROW) + 1, rows[same_above]), 254) + 1
+        follow = np.minimum(least(rows[same_below] + 1, below[same_below] & _ROW), 254) + 1
 
         start = self.start[rows] - 1
         before = np.where(self.first[start], np.uint8(0), self.text[start - 1])
-        source = np.ones(len(bwt) + len(rows), np.int32)  # where each row of the merged table comes from
-        source[target] = 0
-        source = np.cumsum(source, dtype=np.int32) - 1
-        for name, new in (("bwt", before), ("lcp", lcp), ("start", start)):
-            merged = getattr(self, name)[source]
-            merged[target] = new
-            setattr(self, name, merged)
+        at = target - np.arange(len(target))  # the rows above which the new ones go
+        shift = np.cumsum(np.bincount(at, minlength=len(keys) + 1))
+        keys = keys + shift[keys & _ROW]
+        new = np.sort(before.astype(np.int64) << 32 | target)
+        place = np.searchsorted(keys, new)
+        self.keys = np.insert(keys, place, new)
+        self.rank = (place + np.arange(len(new)))[new >> 32 > 0]
+        self.lcp, self.start = np.insert(self.lcp, at, lcp), np.insert(self.start, at, start)
         self.lcp[target[same_below] + 1] = follow
-        self.active = np.zeros(len(source), bool)
-        self.active[target] = before > 0
 
 
 class _RangeMinimum:
