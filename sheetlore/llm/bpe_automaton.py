@@ -23,10 +23,10 @@ from sheetlore.llm.common import local_text, map_texts, python_ready
 
 #: Fixed value: the pattern that splits a text into words before merging.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept with their encoding in each Python worker.
-CACHED_WORDS = 400_000
+#: Bytes of words and their encodings that a task keeps.
+CACHED_BYTES = 48_000_000
 #: Characters of text handled together.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 _LONG_WORD = 64
 
 
@@ -101,11 +101,31 @@ def compile_automaton(vocabulary: str) -> dict:
     row = np.array([row_of[int(s)] if t in labels else 0 for t, s in enumerate(state)], np.int64)
     ordered = [labels.get(t, b"") for t in range(size)]
     special = [(t["content"], t["id"]) for t in added]
-    return {"labels": ordered, "number": number, "row": row, "stride": stride, "low": denied_low, "high": denied_high, "special": special}
+    tables = {"labels": ordered, "number": number, "row": row, "stride": stride, "low": denied_low, "high": denied_high, "special": special}
+    return tables | _byte_steps(ordered)
+
+
+def _byte_steps(labels: list[bytes]) -> dict[str, np.ndarray]:
+    """Steps through the tokens' bytes: a row of 256 for each node that goes on, the first row for all others."""
+    nodes: dict[bytes, int] = {b"": 0}
+    for label in labels:
+        for end in range(1, len(label) + 1):
+            nodes.setdefault(label[:end], len(nodes))
+    onward = {nodes[prefix[:-1]] for prefix in nodes if prefix}
+    step_row = np.zeros(len(nodes), np.int32)
+    step_row[sorted(onward)] = np.arange(1, len(onward) + 1)
+    step, token = np.zeros((len(onward) + 1, 256), np.int32), np.full(len(nodes), -1, np.int32)
+    for prefix, node in nodes.items():
+        if prefix:
+            step[step_row[nodes[prefix[:-1]]], prefix[-1]] = node
+    for number, label in enumerate(labels):
+        if label:
+            token[nodes[label]] = number
+    return {"step": step, "step_row": step_row, "token": token}
 
 
 class Encoder:
-    """Steps words through the automaton's tables; words seen before are remembered."""
+    """Steps words through the automaton's tables; words seen before are remembered, up to a number of bytes."""
 
     def __init__(self, tables: dict):
         self.labels, self.special = list(tables["labels"]), tables["special"]
@@ -117,19 +137,8 @@ class Encoder:
         for text, token in self.special:
             self.labels += [b""] * (token + 1 - len(self.labels))
             self.labels[token] = text.encode()
-        nodes: dict[bytes, int] = {b"": 0}
-        for label in tables["labels"]:
-            for end in range(1, len(label) + 1):
-                nodes.setdefault(label[:end], len(nodes))
-        step = np.zeros((len(nodes), 256), np.int32)
-        self.token = np.full(len(nodes), -1, np.int32)
-        for prefix, node in nodes.items():
-            if prefix:
-                step[nodes[prefix[:-1]], prefix[-1]] = node
-        for token, label in enumerate(tables["labels"]):
-            if label:
-                self.token[nodes[label]] = token
-        self.step = step
+        self.step, self.step_row, self.token = tables["step"], tables["step_row"], tables["token"]
+        self.kept_bytes = 0
         self.known: dict[str, tuple[str, bytes, int]] = {}
 
     def _has_arc(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -161,7 +170,7 @@ class Encoder:
                 break
             node, place = np.zeros(len(who), np.int32), begin
             while len(who):
-                node = self.step[node, data[who, place]]
+                node = self.step[self.step_row[node], data[who, place]]
                 place += 1
                 alive = node > 0
                 token = self.token[node]
@@ -188,7 +197,7 @@ class Encoder:
         for begin in range(len(word)):
             node, ends, tokens = 0, [], []
             for place in range(begin, len(word)):
-                node = int(self.step[node, word[place]])
+                node = int(self.step[self.step_row[node], word[place]])
                 if not node:
                     break
                 if self.token[node] >= 0:
@@ -215,14 +224,16 @@ class Encoder:
 
     def learn(self, lists: list[list[str]]) -> None:
         """Encode the words of these lists that are not yet remembered."""
-        if len(self.known) > CACHED_WORDS:
+        if self.kept_bytes > CACHED_BYTES:
             self.known.clear()
+            self.kept_bytes = 0
         if not self.known:
             self.known.update({s: (str(i), self.labels[i], 1) for s, i in self.special})
         fresh = list(set().union(*lists).difference(self.known)) if lists else []
         for path, word in zip(self.paths([w.encode("utf-8", "surrogatepass") for w in fresh]), fresh, strict=True):
             ids = path.tolist()
-            self.known[word] = (",".join(map(str, ids)), self.decode(ids), len(ids))
+            entry = self.known[word] = (",".join(map(str, ids)), self.decode(ids), len(ids))
+            self.kept_bytes += 300 + 2 * len(entry[1]) + len(entry[0])  # the objects take about 300 bytes
 
     def decode(self, ids: list[int]) -> bytes:
         """The labels of the arcs, one after another."""
@@ -269,27 +280,15 @@ class Encoder:
                 )
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def worker_encoder(shared: SharedTables) -> Encoder:
-    """This worker's encoder for the shared tables; it outlives the task."""
-    if shared.id not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[shared.id] = Encoder(shared.value)
-    return _ENCODERS[shared.id]
-
-
 class SharedTables:
-    """Tables sent to the executors once, with a name by which a worker knows them again."""
+    """Tables sent to the executors once."""
 
     def __init__(self, spark, tables: dict):
-        self.id = hashlib.sha256(tables["low"].tobytes() + tables["high"].tobytes()).hexdigest()
         self._broadcast = spark.sparkContext.broadcast(tables)
 
-    @property
-    def value(self) -> dict:
-        return self._broadcast.value
+    def encoder(self) -> Encoder:
+        """A task's own encoder; its tables are the worker's copy, its words go with the task."""
+        return Encoder(self._broadcast.value)
 
 
 def shared_tables(spark, vocabulary: str) -> SharedTables:
@@ -307,7 +306,8 @@ def encode_digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
     shared = shared_tables(docs.sparkSession, vocabulary)
     columns = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    def digests(texts: list[str]) -> list[list]:
-        return [list(x) for x in zip(*worker_encoder(shared).digests(texts), strict=True)] or [[], [], []]
+    def task():
+        encoder = shared.encoder()
+        return lambda texts: [list(x) for x in zip(*encoder.digests(texts), strict=True)] or [[], [], []]
 
-    return map_texts(docs, doc_id, text, columns, digests)
+    return map_texts(docs, doc_id, text, columns, start=task)

@@ -46,6 +46,11 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def row_key(df: DataFrame, doc_id: str, text: str) -> Column:
+    """(id, mark): tells apart rows that share an id, or have none, by a hash of their texts; null texts count as empty."""
+    return F.struct(df[doc_id].alias("id"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("mark"))
+
+
 def python_ready(spark: SparkSession) -> None:
     """Make this package importable in Python workers on every executor."""
     ship_package(spark)
@@ -151,17 +156,19 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(begin, rows)
 
 
-def map_texts(docs: DataFrame, doc_id: str, text: str, columns: dict[str, str], score) -> DataFrame:
+def map_texts(docs: DataFrame, doc_id: str, text: str, columns: dict[str, str], score=None, start=None) -> DataFrame:
     """doc_id and the columns that ``score(texts)`` gives for the whole texts of a batch (null: empty).
 
-    ``score`` returns one list or array per column, in order. The id column is passed on as it is.
+    ``score`` returns one list or array per column, in order. Instead, ``start()`` makes one for each task,
+    which may keep things as long as the task runs. The id column is passed on as it is.
     """
     python_ready(docs.sparkSession)
     names = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = start() if start else score
         for batch in parts(batches):
-            found = [pa.array(x) for x in score(batch.column(1).to_pylist())]
+            found = [pa.array(x) for x in own(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["doc_id", *names])
 
     kind = docs.schema[doc_id].dataType.simpleString()

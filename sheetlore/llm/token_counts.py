@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlore.llm.bpe_automaton import shared_tables, worker_encoder
+from sheetlore.llm.bpe_automaton import shared_tables
 from sheetlore.llm.common import parts, stored
 
 #: Lengths summed together before the sums over all lengths.
@@ -28,7 +28,7 @@ def length_histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
     shared = shared_tables(docs.sparkSession, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared)
+        encoder = shared.encoder()
         for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(encoder.counts(batch.column(0).to_pylist()), pa.int64())], ["n_tokens"])
 
