@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlore.llm.common import map_texts, mix, parts, python_ready, slices, sorted_groups, stored, word_hashes
+from sheetlore.llm.common import map_texts, mix, parts, python_ready, row_key, slices, sorted_groups, stored, unused, word_hashes
 
 ROWS, BANDS = 5, 32
 REGISTERS = ROWS * BANDS
@@ -224,6 +224,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("cid"), F.col("label").alias("component"))
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(row_key(docs, doc_id, text).alias("key"), docs[text].alias("text"))
+
+
 def _sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     def sketch(texts: list[str]) -> list[list]:
         sizes, digests, sketches = [], [], []
@@ -234,11 +238,12 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 sketches.append(registers(found).tobytes() if len(found) else None)
         return [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
 
-    return stored(map_texts(docs, doc_id, text, {"n": "long", "digest": "binary", "sketch": "binary"}, sketch), "sketches")
+    found = map_texts(_keyed(docs, doc_id, text), "key", "text", {"n": "long", "digest": "binary", "sketch": "binary"}, sketch)
+    return stored(found.select(F.col("doc_id.id").alias("id"), F.col("doc_id.mark").alias("mark"), "n", "digest", "sketch"), "sketches")
 
 
 def _sets_of(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(cid, shingles) of the wanted classes (cid, rep, digest), from one document of each."""
+    """(cid, shingles) of the wanted classes (cid, rep, digest), from one row of each."""
 
     def sets(texts: list[str]) -> list[list]:
         digests, found = [], []
@@ -248,29 +253,26 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFr
                 found.append(each.tobytes())
         return [pa.array(digests, pa.binary()), pa.array(found, pa.binary())]
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chosen = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    computed = map_texts(chosen, "doc_id", "text", {"digest": "binary", "shingles": "binary"}, sets)
-    same = computed.select("digest", "shingles", F.col("doc_id").alias("rep")).join(wanted, ["digest", "rep"])
+    rows = _keyed(docs, doc_id, text)
+    asked = wanted.select(F.col("rep.id").alias("rep_id"), F.col("rep.mark").alias("rep_mark")).distinct()
+    chosen = rows.join(asked, rows["key.id"].eqNullSafe(asked["rep_id"]) & (rows["key.mark"] == asked["rep_mark"]), "left_semi")
+    computed = map_texts(chosen, "key", "text", {"digest": "binary", "shingles": "binary"}, sets)
+    same = computed.select("digest", "shingles").join(wanted.select("cid", "digest"), "digest")
     return stored(same.groupBy("cid").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """Every row with its group of near-duplicates.
+def _groups(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """id, mark, n and the representative (struct of missing, id, mark) of every row's group.
 
-    Returns doc_id, n_shingles, component_id, kept. Two documents are linked when their sets of
-    ``words``-word shingles have a Jaccard similarity of at least 0.8; a group is what links reach,
-    named by its smallest doc_id, which alone is kept. Words are runs without ASCII white space after
-    lower-casing A-Z; a text with fewer words is one shingle. Null, empty and blank texts have no
-    shingles and stand alone. Rows that repeat an id form groups as their texts do. A null id never
-    names a group that has others. Other columns are not read; an empty table gives an empty one.
+    Rows are known by id and a hash of the text, so that null and repeated ids lose no link. The
+    representative has the smallest id, null last, then the smallest hash.
     """
     spark = docs.sparkSession
     python_ready(spark)
     sketches = _sketches(docs, doc_id, text, words)
     classes = stored(
         sketches.filter("digest IS NOT NULL").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "mark")).alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
@@ -325,18 +327,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_links = stored(links.unionByName(crossing), "all-links")
     final = components(all_links)
 
-    roots = final.join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("component_id"))
-    grouped = final.join(roots, "component").select("cid", "component_id")
-    by_class = stored(
-        classes.select("cid", "rep", "digest").join(grouped, "cid", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")),
-        "class-groups",
+    roots = final.join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("head"))
+    grouped = final.join(roots, "component").select("cid", "head")
+    by_class = stored(classes.select("cid", "rep", "digest").join(grouped, "cid", "left").select("digest", F.coalesce("head", "rep").alias("head")), "class-groups")
+    alone = F.struct(F.col("id").isNull().alias("missing"), "id", "mark")
+    return sketches.select("id", "mark", "n", "digest").join(by_class, "digest", "left").select("id", "mark", "n", F.coalesce("head", alone).alias("head"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """Every row with its group of near-duplicates.
+
+    Returns doc_id, n_shingles, component_id, kept. Two documents are linked when their sets of
+    ``words``-word shingles have a Jaccard similarity of at least 0.8; a group is what links reach,
+    named by its smallest doc_id, which alone is kept. Words are runs without ASCII white space after
+    lower-casing A-Z; a text with fewer words is one shingle. Null, empty and blank texts have no
+    shingles and stand alone. Rows that repeat an id form groups as their texts do, and all rows with
+    the id that names their group are kept. A null id names a group only where all ids are null; of
+    its different texts one is kept. Other columns are not read; an empty table gives an empty one.
+    """
+    own = F.when(F.col("id").isNull(), F.col("head.id").isNull() & (F.col("mark") == F.col("head.mark"))).otherwise(F.col("id").eqNullSafe(F.col("head.id")))
+    return _groups(docs, doc_id, text, words).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"), own.alias("kept")
     )
-    out = sketches.select("doc_id", "n", "digest").join(by_class, "digest", "left")
-    group = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    kept = near_duplicates(docs, doc_id, text, words).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
+
+    Of rows that repeat both id and text any one may stay; texts without shingles all stay.
+    """
+    groups = _groups(docs, doc_id, text, words)
+    heads = groups.filter(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("mark") == F.col("head.mark")))
+    kept = stored(heads.groupBy("id", "mark").agg(F.max("n").alias("n"), F.count("*").alias("rows")), "kept-rows")
+    own = row_key(docs, doc_id, text)
+    same = docs[doc_id].eqNullSafe(kept["id"]) & (own["mark"] == kept["mark"])
+    if kept.filter("n > 0 AND rows > 1").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    names = {c: unused(docs, c) for c in ("_mark", "_row")}
+    marked = docs.withColumns({names["_mark"]: own["mark"], names["_row"]: F.monotonically_increasing_id()})
+    several = kept.select(F.col("id").alias("_kept_id"), F.col("mark").alias("_kept_mark"), ((F.col("n") > 0) & (F.col("rows") > 1)).alias("_kept_several"))
+    joined = marked.join(several, marked[doc_id].eqNullSafe(several["_kept_id"]) & (marked[names["_mark"]] == several["_kept_mark"]))
+    once = joined.withColumn(names["_row"], F.when(F.col("_kept_several"), F.lit(0)).otherwise(F.col(names["_row"])))
+    return once.dropDuplicates([doc_id, names["_mark"], names["_row"]]).select(*docs.columns)
