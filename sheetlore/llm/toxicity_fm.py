@@ -2,7 +2,9 @@
 
 Terms are the words of a text and the first bytes of longer words, hashed into a fixed space. A term
 adds its weight, and every pair of terms the inner product of two learned vectors, so that a pair such
-as an insult with a group's name can count where neither does alone.
+as an insult with a group's name can count where neither does alone. Terms enter the machine if they
+tell by themselves, either way, or in a pair: all pairs of the most frequent and most telling terms are
+counted, and those taken whose log odds differ from what their terms give apart.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlore.llm.common import LETTERS, fold, map_texts, parts, python_ready, slices, word_hashes
+from sheetlore.llm.common import LETTERS, fold, map_texts, parts, python_ready, slices, stored, word_hashes
 from sheetlore.llm.learning import labelled_sample, sigmoid
 
 THRESHOLD = 0.5
@@ -22,8 +24,12 @@ THRESHOLD = 0.5
 TRAINING_ROWS = 12_000
 SPACE_BITS, TERMS, FACTORS = 22, 4096, 8
 PREFIXES = (4, 5, 6, 7, 8)
-#: Texts that a chosen term occurs in at least, and standard errors that its log odds lie above 0.
+#: Texts that a chosen term occurs in at least, and standard errors that its log odds lie from 0.
 LEAST_TEXTS, LEAST_Z = 4, 2.0
+#: Terms of which all pairs are counted: the most frequent and the most telling ones.
+FREQUENT, TELLING = 512, 256
+#: Pairs taken at most, and standard errors that a pair's log odds differ from those of its terms apart.
+PAIRS, LEAST_PAIR_Z = 128, 5.0
 EPOCHS, BATCH, STEP, DECAY = 40, 256, 0.02, 2e-3
 
 
@@ -37,8 +43,8 @@ def term_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def telling_terms(sample: DataFrame, terms: int = TERMS) -> np.ndarray:
-    """Hashed terms that are commoner among toxic texts, the surest first, from counts over the whole sample.
+def _counted(sample: DataFrame) -> DataFrame:
+    """term, clean, toxic: in how many texts of each class a term occurs, and its z.
 
     Each task counts its texts in two arrays of fixed size and passes on the terms it has met.
     """
@@ -60,8 +66,65 @@ def telling_terms(sample: DataFrame, terms: int = TERMS) -> np.ndarray:
     toxic, clean = of["toxic"] or 0, of["rows"] - (of["toxic"] or 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    chosen = sums.select("term", (odds / spread).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms)
-    return np.sort(np.array([r["term"] for r in chosen.collect()], np.uint64))
+    return stored(sums.select("term", "clean", "toxic", (odds / spread).alias("z")), "term-counts")
+
+
+def interacting_pairs(both: np.ndarray, alone: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """z of each pair of terms: how far its log odds are from what its terms give if they do not interact.
+
+    ``both`` has per class (clean, toxic) how many texts have a pair, ``alone`` a term, ``rows`` all texts.
+    """
+    by_chance = alone[:, :, None] * alone[:, None, :] / np.maximum(rows, 1)[:, None, None]
+    lift = np.log((both + 0.5) / (by_chance + 0.5))
+    z = (lift[1] - lift[0]) / np.sqrt(1 / (both[0] + 0.5) + 1 / (both[1] + 0.5))
+    return np.triu(z, 1)
+
+
+def _pair_terms(sample: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Terms of the pairs that tell most beyond what their terms tell apart; counted by tasks over the whole sample."""
+    size = len(terms)
+    if size < 2:
+        return terms[:0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, size + 1, size + 1), np.float64)
+        for batch in parts(batches):
+            rows = term_sets(batch.column(1).to_pylist())
+            labels = np.array(batch.column(0).to_pylist())
+            present = np.zeros((len(rows), size + 1), np.float32)
+            present[:, size] = 1  # stands for the text itself: alone with a term, it counts the term
+            for k, found in enumerate(rows):
+                present[k, _hits(found, terms)] = 1
+            for label in (0, 1):
+                own = present[labels == label]
+                seen[label] += own.T @ own
+        for one in range(size + 1):
+            met = np.flatnonzero(seen[:, one].any(axis=0))
+            met = met[met >= one]
+            if len(met):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one * (size + 1) + met), *(pa.array(seen[k, one, met].astype(np.int64)) for k in (0, 1))], ["pair", "clean", "toxic"]
+                )
+
+    counted = sample.select("label", "text").mapInArrow(count, "pair long, clean long, toxic long").groupBy("pair")
+    both = np.zeros((2, size + 1, size + 1))
+    for r in counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():  # (FREQUENT + TELLING) ** 2 / 2 rows at most
+        both[:, r["pair"] // (size + 1), r["pair"] % (size + 1)] = r["clean"], r["toxic"]
+    z = np.abs(interacting_pairs(both[:, :size, :size], both[:, :size, size], both[:, size, size]))
+    best = np.argsort(-z, axis=None, kind="stable")[:PAIRS]
+    best = best[z.ravel()[best] >= LEAST_PAIR_Z]
+    return terms[np.unique(np.concatenate(np.unravel_index(best, z.shape)))]
+
+
+def telling_terms(sample: DataFrame, terms: int = TERMS) -> np.ndarray:
+    """Hashed terms that tell the classes apart, the surest first, and terms that do so in pairs."""
+    counted = _counted(sample)
+    sure = F.abs("z")
+    chosen = counted.filter(sure >= LEAST_Z).orderBy(F.desc(sure), "term").limit(terms).select("term").collect()
+    frequent = counted.orderBy(F.desc(F.col("clean") + F.col("toxic")), "term").limit(FREQUENT).select("term").collect()
+    telling = np.array([r["term"] for r in chosen], np.uint64)
+    some = np.unique(np.concatenate((telling[:TELLING], np.array([r["term"] for r in frequent], np.uint64))))
+    return np.unique(np.concatenate((telling, _pair_terms(sample, some))))
 
 
 def _hits(found: np.ndarray, terms: np.ndarray) -> np.ndarray:
