@@ -2,16 +2,13 @@
 
 A corpus is any frame with ``id`` and ``text``; feature rows become one through
 ``feature_corpus``. Postings carry the length of their document, so ranking needs the
-postings of the query words only and no join with the documents. A stored index keeps postings in
-folders by word hash, sorted by word, with the number of documents and words beside them; a query
-reads the folders of its words and never the corpus.
+postings of the query words only and no join with the documents. These functions read the corpus
+itself; ``stored_index`` answers the same queries from an index.
 """
 
 from __future__ import annotations
 
-import zlib
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
@@ -19,8 +16,6 @@ K1, B = 1.2, 0.75
 HITS = 50
 #: Stands between the columns of a row in its text; no phrase reaches across it.
 COLUMN_END = "\x1f"
-#: Postings that one folder of a stored index is meant to hold.
-POSTINGS_PER_BUCKET = 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -52,72 +47,6 @@ def postings(corpus: DataFrame) -> DataFrame:
     return exploded.groupBy("term", "id", "n_words").agg(F.count("*").alias("tf")).select("term", "id", "tf", "n_words")
 
 
-def write_index(corpus: DataFrame, path: str, per_bucket: int = POSTINGS_PER_BUCKET) -> None:
-    """Store postings in folders by word hash, sorted by word, and the facts ranking needs.
-
-    The number of folders follows from the number of postings. Files are ranges of word and
-    document, so a word that is everywhere is spread over several of them.
-    """
-    spark, rows = corpus.sparkSession, postings(corpus)
-    rows.write.mode("overwrite").parquet(f"{path}/unsorted")
-    rows = spark.read.parquet(f"{path}/unsorted")
-    buckets = max(1, -(-rows.count() // per_bucket))
-    bucketed = rows.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
-    bucketed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(f"{path}/postings")
-    corpus_facts(corpus).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/facts")
-    rows.limit(0).write.mode("overwrite").parquet(f"{path}/unsorted")
-
-
-def index_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/facts")
-
-
-def indexed_postings(spark: SparkSession, path: str, terms: list[str], prefix: bool = False) -> DataFrame:
-    """Postings of the query words from a stored index; only the folders of the words are read.
-
-    Words that begin with a prefix are in all folders; there the sorted files are pruned.
-    """
-    rows = spark.read.parquet(f"{path}/postings")
-    if prefix:
-        test = F.lit(False)
-        for t in terms:
-            test = test | F.col("term").startswith(t)
-        return rows.filter(test).drop("bucket")
-    buckets = index_facts(spark, path).first()["buckets"]
-    wanted = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
-    return rows.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms)).drop("bucket")
-
-
-def search_index(spark: SparkSession, path: str, text: str, limit: int = HITS) -> DataFrame:
-    """Ranked search over a stored index; equal to ``search`` over the corpus. The text must hold a word."""
-    terms = query_words(text)
-    return rank(indexed_postings(spark, path, terms), index_facts(spark, path), len(terms), limit)
-
-
-def match_prefix_index(spark: SparkSession, path: str, prefixes: list[str]) -> DataFrame:
-    """Documents in which every prefix starts some word, from a stored index."""
-    low = [p.lower() for p in prefixes]
-    hits = indexed_postings(spark, path, low, prefix=True)
-    started = F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(k)) for k, p in enumerate(low)]))
-    found = hits.select("id", F.explode(started).alias("slot")).groupBy("id").agg(F.count_distinct("slot").alias("n"))
-    return found.filter(F.col("n") == len(low)).select("id")
-
-
-def match_phrase_index(corpus: DataFrame, path: str, phrase: str) -> DataFrame:
-    """Documents with the phrase: the index finds those with all its words, only they are read on."""
-    terms = query_words(phrase)
-    candidates = match_all(indexed_postings(corpus.sparkSession, path, terms), len(terms))
-    return match_phrase(corpus.join(candidates, "id", "left_semi"), phrase)
-
-
-def replace_in_index(index: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
-    """Index after documents changed (or were added) and others were removed."""
-    stale = changed.select("id").unionByName(removed.select("id")).distinct()
-    return index.join(stale, "id", "left_anti").unionByName(postings(changed))
-
-
 def query_postings(corpus: DataFrame, terms: list[str], prefix: bool = False) -> DataFrame:
     """Postings of the query words only, straight from the texts and without a shuffle."""
     counted = corpus.select("id", words_of(F.col("text")).alias("words"))

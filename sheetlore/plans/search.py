@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from sheetlore.operators import search as op
+from sheetlore.operators.stored_index import StoredIndex
 from sheetlore.plans.registry import query
-from sheetlore.session import ensure_checkpoint_dir
+from sheetlore.session import ensure_checkpoint_dir, listed
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _CORPUS = f"docs AS (SELECT doc_id AS id, text, {_WORDS} AS words FROM documents)"
@@ -20,17 +22,12 @@ def _documents(t):
     return t.documents.select(F.col("doc_id").alias("id"), "text")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
-def _index(t, kind: str) -> str:
-    """Folder of the stored index over documents or features, written once per application and data folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder, kind)
-    if key not in _STORED:
-        path = f"{ensure_checkpoint_dir(t.spark)}/index-{kind}-{uuid.uuid4().hex}"
-        op.write_index(_documents(t) if kind == "documents" else op.feature_corpus(t.features), path)
-        _STORED[key] = path
-    return _STORED[key]
+def _index(t, kind: str) -> StoredIndex:
+    """The stored index over documents or features, in a folder named by the files of the tables as they are now."""
+    marks = [(name, *rest, listed(t.spark, f"{t.folder}/{name}")) for name, *rest in listed(t.spark, t.folder)]
+    name = hashlib.sha256(repr((t.folder, kind, marks)).encode()).hexdigest()[:24]
+    index = StoredIndex(t.spark, f"{ensure_checkpoint_dir(t.spark)}/index-{name}")
+    return index if index.segments() else index.create(_documents(t) if kind == "documents" else op.feature_corpus(t.features))
 
 
 @query(
@@ -51,13 +48,14 @@ def _(t):
 def _(t):
     corpus = _documents(t)
     changed = corpus.filter("id % 50 = 1").withColumn("text", F.concat("text", F.lit(" amended amended")))
-    index = op.replace_in_index(op.postings(corpus), changed, corpus.filter("id % 50 = 0"))
-    return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    index = StoredIndex(t.spark, f"{ensure_checkpoint_dir(t.spark)}/index-{uuid.uuid4().hex}").create(corpus)
+    index.apply(1, changed, corpus.filter("id % 50 = 0"))
+    return index.postings(positions=False).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
 @query("fts02_match_all", f"WITH {_CORPUS} SELECT id FROM docs WHERE list_contains(words, 'this') AND list_contains(words, 'from')")
 def _(t):
-    return op.match_all(op.indexed_postings(t.spark, _index(t, "documents"), ["this", "from"]), 2)
+    return _index(t, "documents").match_all(["this", "from"])
 
 
 @query(
@@ -65,12 +63,12 @@ def _(t):
     f"WITH {_CORPUS} SELECT id FROM docs WHERE len(list_filter(words, lambda w: starts_with(w, 'thor'))) > 0 AND len(list_filter(words, lambda w: starts_with(w, 'erin'))) > 0",
 )
 def _(t):
-    return op.match_prefix_index(t.spark, _index(t, "documents"), ["Thor", "erin"])
+    return _index(t, "documents").match_prefix(["Thor", "erin"])
 
 
 @query("fts03_phrase", f"WITH {_CORPUS} SELECT id FROM docs WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' the of ')")
 def _(t):
-    return op.match_phrase_index(_documents(t), _index(t, "documents"), "The of")
+    return _index(t, "documents").match_phrase("The of")
 
 
 _NEXT_TO = r"contains(' ' || array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), ' ') || ' ', ' red anvil ')"
@@ -82,7 +80,7 @@ _NEXT_TO = r"contains(' ' || array_to_string(regexp_extract_all(lower({}), '[\p{
     ("features",),
 )
 def _(t):
-    return op.match_phrase_index(op.feature_corpus(t.features), _index(t, "features"), "Red anvil")
+    return _index(t, "features").match_phrase("Red anvil")
 
 
 @query(
@@ -107,18 +105,32 @@ def _bm25(terms: tuple[str, ...], limit: int = 50) -> str:
 
 @query("fts04_bm25_documents", f"WITH {_CORPUS}" + _bm25(("with", "that")))
 def _(t):
-    return op.search_index(t.spark, _index(t, "documents"), "with, THAT")
+    return _index(t, "documents").search("with, THAT")
 
 
 @query("fts04_bm25_features", _FEATURES + _bm25(("anvil", "lake")), ("features",))
 def _(t):
-    return op.search_index(t.spark, _index(t, "features"), "Anvil lake")
+    return _index(t, "features").search("Anvil lake")
+
+
+@query(
+    "fts04_ranked_mixed",
+    f"""WITH {_CORPUS}, facts AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_words FROM docs),
+  tf AS (SELECT id, len(words) AS dl, unnest(['that', 'thor*', '"the of"']) AS slot, unnest([len(list_filter(words, lambda w: w = 'that')),
+      len(list_filter(words, lambda w: starts_with(w, 'thor'))), len(list_filter(range(1, len(words)), lambda i: words[i] = 'the' AND words[i + 1] = 'of'))]) AS tf FROM docs),
+  df AS (SELECT slot, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1)
+  SELECT id, score FROM (SELECT id, count(*) AS n, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) *
+     (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (CAST(n_words AS DOUBLE) / n_docs))))), 6) AS score
+   FROM tf JOIN df USING (slot), facts WHERE tf > 0 GROUP BY 1) WHERE n = 3 ORDER BY score DESC, id LIMIT 50""",
+)
+def _(t):
+    return _index(t, "documents").ranked('"The of" thor* that')
 
 
 @query("jon13_ranked_features", _FEATURES + ", best AS (" + _bm25(("rod",)).lstrip(", ").replace("q AS", "WITH q AS", 1) + """)
   SELECT b.id, b.score, f.feature_name, f.map_name FROM best b JOIN features f ON f.id = b.id""", ("features",))
 def _(t):
-    best = op.search_index(t.spark, _index(t, "features"), "rod")
+    best = _index(t, "features").search("rod")
     return t.features.select("id", "feature_name", "map_name").join(F.broadcast(best), "id").select("id", "score", "feature_name", "map_name")
 
 

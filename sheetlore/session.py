@@ -63,6 +63,16 @@ def ship_package(spark: SparkSession) -> None:
     context._sheetlore_shipped = True
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of what lies in a folder of any file system Spark reads; nothing if there is none."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(folder))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -128,16 +128,6 @@ def test_numbering_is_row_number(spark):
         assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
 
 
-def test_index_files(spark, tables, tmp_path):
-    corpus, path = tables.documents.select(F.col("doc_id").alias("id"), "text"), str(tmp_path / "index")
-    search.write_index(corpus, path, per_bucket=5_000)
-    hits = search.indexed_postings(spark, path, ["the", "of"])
-    plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
-    assert search.search_index(spark, path, "the of").collect() == search.search(corpus, "the of").collect()
-    assert sorted(search.match_prefix_index(spark, path, ["th", "an"]).collect()) == sorted(search.match_prefix(corpus, ["th", "an"]).collect())
-
-
 def test_phrase_stays_in_its_column(spark):
     rows = spark.createDataFrame([(1, "Koel", "Nadi X", "M"), (2, "Koel Nadi", "", "M")], "id int, feature_name string, original_text string, map_name string")
     corpus = search.feature_corpus(rows.withColumn("feature_type", F.lit("river")))
