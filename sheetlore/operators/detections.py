@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlore.functions.boxes import area, iou, text_key
 from sheetlore.operators.numbering import number_rows
+from sheetlore.operators.suppression import suppress
 from sheetlore.session import cut_lineage
 
 # Tiling and overlap limits.
@@ -22,6 +24,8 @@ TILES_PER_REQUEST = 16
 # Side of a search bin in pixels, and the most boxes of one bin compared pair by pair.
 BIN_SIZE = 128
 CROWDED = 200
+#: Side of the cells by which duplicate edges are dealt out.
+CELL_SIZE = 1024
 #: Pixels a side; beyond them a coordinate is taken to be corrupt when bins are assigned.
 LARGEST_PICTURE = 32_768
 
@@ -138,23 +142,59 @@ def prepared(detections: DataFrame) -> DataFrame:
     )
 
 
-def better_neighbours(detections: DataFrame) -> DataFrame:
+def better_neighbours(detections: DataFrame, bin_size: int = BIN_SIZE, crowded: int = CROWDED) -> DataFrame:
     """``(map_name, det_id)`` of boxes that meet a box of higher priority.
 
-    A semi-join: it reports a box at its first neighbour. Boxes that do not meet are few in a
-    bin, as they must lie side by side, so a crowded bin yields a neighbour quickly.
+    Bins are leaves of a quadtree, split in four while they hold more than ``crowded`` boxes. Before a
+    split, the best box that covers a whole leaf meets everything in it: what it outranks is reported
+    and leaves, and is not needed there as anyone's neighbour either. Leaves of one pixel are covered
+    by all their boxes, so no leaf compares more than the bound, however many boxes lie in one place.
+    Bins at the picture's far border, where corrupt coordinates end up, are not split.
     """
-    binned = in_bins(prepared(detections))
-    met = binned.alias("b").join(binned.alias("a"), _same_bin() & _meet() & _outranks(), "left_semi")
-    return met.select("map_name", "det_id").distinct()
-
-
-def duplicate_pairs(detections: DataFrame, dropped: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU) -> DataFrame:
+    cells = in_bins(prepared(detections), bin_size).withColumns(
+        {
+            "left": F.col("bin_x") * bin_size, "top": F.col("bin_y") * bin_size,
+            "fixed": (F.least("x1", "y1") < 0) | (F.col("bin_x") >= LARGEST_PICTURE // bin_size) | (F.col("bin_y") >= LARGEST_PICTURE // bin_size),
+        }
+    ).drop("bin_x", "bin_y")
+    leaf, side, found = ["map_name", "left", "top"], bin_size, []
+    order = F.struct((-F.col("confidence")).alias("c"), "y1", "x1", "det_id")
+    while True:
+        counted = cells.groupBy(*leaf).agg(F.count("*").alias("n"), F.max("fixed").alias("fixed"))
+        full = counted.filter((F.col("n") > crowded) & ~F.col("fixed")).select(*leaf)
+        if side == 1:
+            full = full.limit(0)
+        full = cut_lineage(full)
+        plain = cells.join(full, leaf, "left_anti")
+        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in leaf]
+        lapped = plain.alias("b").join(plain.alias("a"), same[0] & same[1] & same[2] & _meet() & _outranks(), "left_semi")
+        found.append(lapped.select("map_name", "det_id").distinct())
+        if full.isEmpty():
+            break
+        hot = cut_lineage(cells.join(full, leaf, "left_semi"))
+        covers = (F.col("x1") <= F.col("left")) & (F.col("y1") <= F.col("top")) & (F.col("x2") >= F.col("left") + side) & (F.col("y2") >= F.col("top") + side)
+        best = hot.filter(covers).groupBy(*leaf).agg(F.min(order).alias("best"))
+        judged = hot.join(best, leaf, "left").withColumn("below", F.coalesce(order > F.col("best"), F.lit(False)))
+        judged = cut_lineage(judged.drop("best"))
+        found.append(judged.filter("below").select("map_name", "det_id").distinct())
+        half = side // 2
+        quarters = [F.struct((F.col("left") + dx).alias("left"), (F.col("top") + dy).alias("top")) for dx in (0, half) for dy in (0, half)]
+        split = judged.filter("NOT below").drop("below").withColumn("q", F.explode(F.array(*quarters))).withColumns({"left": F.col("q.left"), "top": F.col("q.top")}).drop("q")
+        touches = (F.col("x1") < F.col("left") + half) & (F.col("x2") > F.col("left")) & (F.col("y1") < F.col("top") + half) & (F.col("y2") > F.col("top"))
+        cells, side = cut_lineage(split.filter(touches)), half
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def duplicate_pairs(detections: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU, **limits) -> DataFrame:
     """``(map_name, keeper, duplicate, overlap)``: each dropped box with the best box that drops it.
 
-    Only kept boxes are matched with dropped ones. Kept boxes overlap little, so a bin has few
-    of them, and a large group of copies costs one comparison per copy and keeper.
+    Where no bin was crowded the keepers come out of the suppression. Else kept boxes are matched with
+    dropped ones: they overlap little, so a bin has few of them, and a large group of copies costs one
+    comparison per copy and keeper.
     """
+    dropped, direct = _suppressed(detections, spatial, same_text, **limits)
+    if direct:
+        return dropped.select("map_name", "keeper", F.col("det_id").alias("duplicate"), F.round("overlap", 6).alias("overlap"))
     binned = in_bins(prepared(detections))
     keepers = binned.join(dropped, ["map_name", "det_id"], "left_anti").alias("a")
     fallen = binned.join(dropped, ["map_name", "det_id"], "left_semi").alias("b")
@@ -183,37 +223,12 @@ def _without_copies(boxes: DataFrame) -> DataFrame:
 
 
 def _edges(binned: DataFrame, spatial: float, same_text: float, bin_size: int) -> DataFrame:
+    """Duplicate pairs with what ``suppress`` needs of both boxes; cells are those of the bins they were found in."""
     pairs = overlapping_pairs(binned, bin_size, is_duplicate(spatial, same_text))
-    return pairs.select(
-        F.col("a.map_name").alias("map_name"), F.col("a.det_id").alias("hi"), F.col("b.det_id").alias("lo"),
-        F.col("a.complete").alias("hi_complete"),
-    )
-
-
-def _resolve(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Boxes dropped, and the edges that stay open, by rounds over the duplicate edges.
-
-    A box that no open box outranks is kept and drops its neighbours; edges of dropped boxes
-    vanish and may free others. Each round decides at least the highest open box of every
-    connected group, and the rounds end when nothing more is dropped.
-    """
-    edges = cut_lineage(edges)
-    dropped = edges.select("map_name", F.col("lo").alias("det_id")).limit(0)
-    left = edges.count()
-    while left:
-        outranked = edges.select("map_name", F.col("lo").alias("hi")).distinct()
-        ruling = edges.filter("hi_complete").join(outranked, ["map_name", "hi"], "left_anti")
-        falls = ruling.select("map_name", F.col("lo").alias("det_id")).distinct()
-        rest = cut_lineage(
-            edges.join(falls.withColumnRenamed("det_id", "lo"), ["map_name", "lo"], "left_anti")
-            .join(falls.withColumnRenamed("det_id", "hi"), ["map_name", "hi"], "left_anti")
-        )
-        now = rest.count()
-        if now == left:  # a box that falls takes at least one edge with it
-            break
-        # The falls of a round follow from its stored edges; only the edges are written.
-        dropped, edges, left = dropped.unionByName(falls), rest, now
-    return dropped, edges
+    traits = [F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in (("a", "hi"), ("b", "lo")) for c in ("confidence", "y1", "x1", "complete")]
+    per_cell = max(1, CELL_SIZE // bin_size)
+    cell = F.concat_ws("/", F.floor(F.col("a.bin_x") / per_cell), F.floor(F.col("a.bin_y") / per_cell))
+    return pairs.select(F.col("a.map_name").alias("map_name"), cell.alias("cell"), F.col("a.det_id").alias("hi"), F.col("b.det_id").alias("lo"), iou().alias("overlap"), *traits)
 
 
 def _leading(binned: DataFrame, crowded: int, bin_size: int) -> DataFrame:
@@ -230,18 +245,11 @@ def _leading(binned: DataFrame, crowded: int, bin_size: int) -> DataFrame:
     return cut_lineage(leading.join(flags, ["map_name", "det_id"]))
 
 
-def dropped_boxes(
+def _suppressed(
     detections: DataFrame, spatial: float = SPATIAL_IOU, same_text: float = SAME_TEXT_IOU,
     bin_size: int = BIN_SIZE, crowded: int = CROWDED,
-) -> DataFrame:
-    """``(map_name, det_id)`` of the boxes that greedy suppression drops.
-
-    Boxes are taken by falling confidence; a kept box drops its duplicates and a dropped box
-    drops nobody. Only boxes of the same search bin are compared. While some bin has more than
-    ``crowded`` boxes, copies are merged, and then such bins compare their best boxes first;
-    the boxes these keep drop from the rest of the bin without pairing that rest among itself,
-    and what remains goes round again.
-    """
+) -> tuple[DataFrame, bool]:
+    """``(map_name, det_id)`` of dropped boxes; without crowded bins also ``keeper`` and ``overlap``, and True."""
     keys = ["map_name", "det_id"]
     open_boxes = cut_lineage(prepared(detections))
     parts: list[DataFrame] = []
@@ -249,7 +257,10 @@ def dropped_boxes(
     while True:
         binned = in_bins(open_boxes, bin_size)
         if binned.groupBy(*_BIN).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).isEmpty():
-            parts.append(_resolve(_edges(binned.withColumn("complete", F.lit(True)), spatial, same_text, bin_size))[0])
+            last = suppress(_edges(binned.withColumn("complete", F.lit(True)), spatial, same_text, bin_size)).filter("dropped")
+            if not parts:
+                return last.drop("dropped"), True
+            parts.append(last.select(*keys))
             break
         if not merged:
             unique = cut_lineage(_without_copies(open_boxes))
@@ -257,8 +268,8 @@ def dropped_boxes(
             open_boxes, merged = unique, True
             continue
         flagged = _leading(binned, crowded, bin_size)
-        dropped, open_edges = _resolve(_edges(flagged, spatial, same_text, bin_size))
-        waiting = open_edges.select("map_name", F.col("lo").alias("det_id"))
+        found = suppress(_edges(flagged, spatial, same_text, bin_size))
+        dropped, waiting = found.filter("dropped").select(*keys), found.filter("NOT dropped").select(*keys)
         kept = cut_lineage(
             flagged.filter("complete").select(*keys).distinct().join(dropped, keys, "left_anti").join(waiting, keys, "left_anti")
         )
@@ -267,10 +278,19 @@ def dropped_boxes(
         shadowed = cut_lineage(overshadowed_by(in_bins(rest, bin_size), keepers, spatial, same_text))
         parts += [dropped, shadowed]
         open_boxes = cut_lineage(rest.join(shadowed, keys, "left_anti"))
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part)
-    return everything
+    return reduce(DataFrame.unionByName, parts), False
+
+
+def dropped_boxes(detections: DataFrame, **limits) -> DataFrame:
+    """``(map_name, det_id)`` of the boxes that greedy suppression drops.
+
+    Boxes are taken by falling confidence; a kept box drops its duplicates and a dropped box
+    drops nobody. Only boxes of the same search bin are compared. While some bin has more than
+    ``crowded`` boxes, copies are merged, and then such bins compare their best boxes first;
+    the boxes these keep drop from the rest of the bin without pairing that rest among itself,
+    and what remains goes round again.
+    """
+    return _suppressed(detections, **limits)[0].select("map_name", "det_id")
 
 
 def overshadowed_by(binned: DataFrame, keepers: DataFrame, spatial: float, same_text: float) -> DataFrame:

@@ -77,7 +77,8 @@ def test_result_is_stable_and_free_of_duplicates(spark):
     frame = spark.createDataFrame(rows, SCHEMA)
     dropped = op.dropped_boxes(frame)
     once = cut_lineage(op.deduplicate(frame))
-    pairs = op.duplicate_pairs(frame, dropped).collect()
+    pairs = op.duplicate_pairs(frame).collect()
+    assert {p.duplicate for p in pairs} == {r.det_id for r in dropped.collect()}
     assert len({p.duplicate for p in pairs}) == len(pairs) == len(rows) - once.count()
     assert {p.keeper for p in pairs} <= {r.det_id for r in once.collect()}
     assert op.deduplicate(once).count() == once.count()
@@ -89,6 +90,53 @@ def test_pair_search_has_no_cross_product(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_long_chain_takes_few_jobs(spark):
+    """10,000 boxes in a line, each a duplicate of the next, over many cells: every second one stays."""
+    rows = [("M", k, f"t{k}", round(1 - k / 20_000, 6), 40 + (k % 2_500) * 12, 40 + (k // 2_500) * 12, 70 + (k % 2_500) * 12, 52 + (k // 2_500) * 12) for k in range(2_500)]
+    rows += [("M", 2_500 + k, f"u{k}", round(0.8 - k / 20_000, 6), 40 + k * 4, 3000, 50 + k * 4, 3010) for k in range(7_500)]
+    frame = cut_lineage(spark.createDataFrame(rows, SCHEMA))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    kept = {r.det_id for r in op.kept_boxes(frame).collect()}
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert kept == {r[1] for r in greedy_line(rows)}
+    spark.sparkContext.setJobGroup("pair", "pair")
+    op.kept_boxes(cut_lineage(spark.createDataFrame(rows[:2], SCHEMA))).collect()
+    short = len(tracker.getJobIdsForGroup("pair"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs <= short + 4  # more partitions may make the planner cut a stage; the length of the chain makes none
+
+
+def greedy_line(rows):
+    """As ``greedy``, for rows in order of priority whose duplicates are close in that order."""
+    out = []
+    for row in rows:
+        if greedy([*out[-12:], row]) >= {(row[0], row[1])}:
+            out.append(row)
+    return out
+
+
+def test_large_groups_go_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr("sheetlore.operators.suppression.suppress.__defaults__", (3,))
+    rows = boxes(500, 2, 600, 400, 21)
+    got = op.kept_boxes(spark.createDataFrame(rows, SCHEMA))
+    assert {tuple(r) for r in got.collect()} == greedy(rows)
+
+
+@pytest.mark.parametrize("crowded", [4, 60])
+def test_better_neighbours_in_a_hot_place(spark, crowded):
+    """A third of all boxes lie in one bin, many in one pixel; all leaves hold at most the bound, or are covered."""
+    rows = boxes(400, 2, 700, 500, 13)
+    rng = random.Random(3)
+    rows += [("M0", 2000 + i, "x", round(rng.uniform(0.2, 1), 3), 300 + rng.randrange(9), 200 + rng.randrange(9), 312 + rng.randrange(40), 212 + rng.randrange(40)) for i in range(250)]
+    rows += [("M0", 3000, "far", 0.5, 40_000, 10, 40_100, 30), ("M0", 3001, "far", 0.4, 40_050, 10, 40_150, 30), ("M0", 3002, "neg", 0.4, -50, -50, -10, -10), ("M0", 3003, "neg", 0.3, -40, -40, -20, -20)]
+    got = {tuple(r) for r in op.better_neighbours(spark.createDataFrame(rows, SCHEMA), crowded=crowded).collect()}
+    above = lambda a, b: (-a[3], a[5], a[4], a[1]) < (-b[3], b[5], b[4], b[1])
+    meet = lambda a, b: a[4] < b[6] and b[4] < a[6] and a[5] < b[7] and b[5] < a[7]
+    assert got == {(b[0], b[1]) for b in rows if any(a[0] == b[0] and above(a, b) and meet(a, b) for a in rows)}
+
+
 def test_tiles_cover_the_picture(spark):
     maps = spark.createDataFrame([("a", 5000, 7000), ("b", 1005, 974), ("c", 30, 40)], "map_name string, width int, height int")
     tiles = op.plan_tiles(maps).collect()
