@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheetlore.functions.names import split_map_name
 from sheetlore.functions.texts import stripped
 from sheetlore.operators import filters as op
 from sheetlore.plans.registry import query
+from sheetlore.session import ensure_checkpoint_dir
+from sheetlore.sinks.feature_store import PlaceTable
 
 _COLS = "map_name, original_text, feature_name, feature_type, grid_reference, confidence"
 _NAME_PARTS = r"""
@@ -185,18 +189,25 @@ def _(t):
     return op.score_filter(tiles)
 
 
-@query(
-    "flt19_place_filter",
-    """SELECT id, map_name, district, survey_year, sheet_ref, lat_min, lon_min FROM features WHERE feature_type <> 'noise'
-       AND lower(district) = 'brand#13' AND survey_year = '1998' AND lat_min <= 28 AND lat_max >= 22 AND lon_min <= 85 AND lon_max >= 71""",
-    ("features",),
-)
+_PLACE = """SELECT id, map_name, district, survey_year, sheet_ref, lat_min, lon_min FROM features WHERE feature_type <> 'noise'
+       AND lower(district) = 'brand#13' AND survey_year = '1998' AND lat_min <= 28 AND lat_max >= 22 AND lon_min <= 85 AND lon_max >= 71"""
+
+
+@query("flt19_place_filter", _PLACE, ("features",))
 def _(t):
     return op.place_filter(t.features, district="BRAND#13", year="1998", box=(22, 28, 71, 85)).select(
         "id", "map_name", "district", "survey_year", "sheet_ref", "lat_min", "lon_min"
     )
 
 
+@query("flt19_place_in_store", _PLACE, ("features",))
+def _(t):
+    table = PlaceTable(t.spark, f"{ensure_checkpoint_dir(t.spark)}/places-{uuid.uuid4().hex}", per_folder=20_000).create(t.features)
+    return op.place_filter(table.near(22, 28, 71, 85), district="BRAND#13", year="1998", box=(22, 28, 71, 85)).select(
+        "id", "map_name", "district", "survey_year", "sheet_ref", "lat_min", "lon_min"
+    )
+
+
 @query("flt19_sheet_filter", "SELECT id, map_name, sheet_ref FROM features WHERE feature_type <> 'noise' AND lower(sheet_ref) = '52 h/8'", ("features",))
 def _(t):
     return op.place_filter(t.features, sheet="52 H/8").select("id", "map_name", "sheet_ref")

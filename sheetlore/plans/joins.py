@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheetlore.operators import cleaning
 from sheetlore.operators import merging as op
 from sheetlore.plans.registry import query
+from sheetlore.session import ensure_checkpoint_dir
+from sheetlore.sinks.feature_store import FeatureStore
+
+
+def _store(t) -> FeatureStore:
+    """The feature table written by session, in a folder of its own."""
+    return FeatureStore(t.spark, f"{ensure_checkpoint_dir(t.spark)}/features-{uuid.uuid4().hex}").create(t.features)
 
 
 @query(
@@ -100,9 +109,7 @@ def _(t):
     )
 
 
-@query(
-    "jon14_apply_verdicts",
-    """, d AS (SELECT id, max(upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N') AS fixed, max(upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'Y') AS ok,
+_VERDICTS = """, d AS (SELECT id, max(upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N') AS fixed, max(upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'Y') AS ok,
            arg_max(coalesce(nullif(trim(verified_name), ''), trim(feature_name)), row_no) FILTER (wrong) AS new_name,
            arg_max(coalesce(nullif(trim(verified_type), ''), trim(feature_type)), row_no) FILTER (wrong) AS new_type
          FROM (SELECT *, upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N' AS wrong FROM review)
@@ -110,19 +117,26 @@ def _(t):
        SELECT f.id, CASE WHEN d.fixed THEN d.new_name ELSE f.feature_name END AS feature_name,
          CASE WHEN d.fixed THEN d.new_type ELSE f.feature_type END AS feature_type,
          CASE WHEN d.fixed THEN 1.0 WHEN d.ok THEN CASE WHEN confidence + 0.15::DOUBLE > 1.0 THEN 1.0 ELSE confidence + 0.15::DOUBLE END ELSE confidence END AS confidence
-       FROM features f LEFT JOIN d ON d.id = f.id""",
-    ("features", "review"),
-)
+       FROM features f LEFT JOIN d ON d.id = f.id"""
+
+
+@query("jon14_apply_verdicts", _VERDICTS, ("features", "review"))
 def _(t):
     return op.apply_verdicts(t.features, t.review).select("id", "feature_name", "feature_type", "confidence")
 
 
-@query(
-    "jon15_rename_maps",
-    """SELECT f.id, coalesce(m.map_name || ' renamed', f.map_name) AS map_name FROM features f
-       LEFT JOIN map_info m ON m.map_name = f.map_name AND m.s_acctbal < 1000""",
-    ("features", "map_info"),
-)
+@query("jon14_verdicts_in_store", _VERDICTS, ("features", "review"))
+def _(t):
+    store = _store(t)
+    store.apply_verdicts("review", t.review)
+    return store.read().select("id", "feature_name", "feature_type", "confidence")
+
+
+_RENAMED = """SELECT f.id, coalesce(m.map_name || ' renamed', f.map_name) AS map_name FROM features f
+       LEFT JOIN map_info m ON m.map_name = f.map_name AND m.s_acctbal < 1000"""
+
+
+@query("jon15_rename_maps", _RENAMED, ("features", "map_info"))
 def _(t):
     renames = t.map_info.filter("s_acctbal < 1000").select(
         F.col("map_name").alias("old_name"), F.concat("map_name", F.lit(" renamed")).alias("new_name")
@@ -130,6 +144,14 @@ def _(t):
     return op.rename_maps(t.features.select("id", "map_name"), renames)
 
 
+@query("jon15_renamed_in_store", _RENAMED, ("features", "map_info"))
+def _(t):
+    renames = t.map_info.filter("s_acctbal < 1000").select(F.col("map_name").alias("old_name"), F.concat("map_name", F.lit(" renamed")).alias("new_name"))
+    store = _store(t)
+    store.rename_maps("rename", renames)
+    return store.read().select("id", "map_name")
+
+
 @query(
     "agg10_rows_after_rename",
     """SELECT coalesce(m.map_name || ' renamed', f.map_name) AS map_name, count(*) AS n FROM features f
@@ -163,6 +185,19 @@ def _(t):
     )
 
 
+@query(
+    "jon16_deleted_in_store",
+    """SELECT 'left' AS what, map_name, count(*) AS n FROM features WHERE map_name NOT IN (SELECT map_name FROM map_info WHERE s_acctbal < 3000) GROUP BY 2
+       UNION ALL SELECT 'deleted', map_name, count(*) FROM features WHERE map_name IN (SELECT map_name FROM map_info WHERE s_acctbal < 3000) GROUP BY 2""",
+    ("features", "map_info"),
+)
+def _(t):
+    store = _store(t)
+    deleted = store.delete_maps("delete", t.map_info.filter("s_acctbal < 3000"))
+    left = store.read().groupBy("map_name").agg(F.count("*").alias("n"))
+    return left.select(F.lit("left").alias("what"), "map_name", "n").unionByName(deleted.select(F.lit("deleted").alias("what"), "map_name", F.col("deleted").alias("n")))
+
+
 @query(
     "jon16_deletion_counts",
     "SELECT map_name, count(*) AS deleted FROM features WHERE map_name IN (SELECT map_name FROM map_info WHERE s_acctbal < 3000) GROUP BY 1",
@@ -172,11 +207,17 @@ def _(t):
     return op.deletion_counts(t.features, t.map_info.filter("s_acctbal < 3000"))
 
 
-@query(
-    "jon17_patch_year",
-    "SELECT id, CASE WHEN map_name ILIKE '%map_4%' THEN '1936' ELSE survey_year END AS survey_year FROM features",
-    ("features",),
-)
+_PATCHED = "SELECT id, CASE WHEN map_name ILIKE '%map_4%' THEN '1936' ELSE survey_year END AS survey_year FROM features"
+
+
+@query("jon17_patched_in_store", _PATCHED, ("features",))
+def _(t):
+    store = _store(t)
+    store.patch_column("patch", "%map_4%", "survey_year", "1936")
+    return store.read().select("id", "survey_year")
+
+
+@query("jon17_patch_year", _PATCHED, ("features",))
 def _(t):
     return op.patch_column(t.features, "%map_4%", "survey_year", "1936").select("id", "survey_year")
 

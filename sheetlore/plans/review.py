@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheetlore.functions.texts import stripped
 from sheetlore.operators import merging
 from sheetlore.operators import review as op
 from sheetlore.plans.registry import query
+from sheetlore.session import ensure_checkpoint_dir
+from sheetlore.streaming import reviews
 
 _N = "upper(trim(verified_correct, ' ' || chr(9) || chr(13) || chr(160))) = 'N'"
 _LOG = f""", log AS (SELECT id, original_text, feature_name AS old_name, coalesce(nullif(trim(verified_name), ''), feature_name) AS new_name,
@@ -89,8 +93,8 @@ def _(t):
 
 @query(
     "rev07_training_rows_log",
-    _LOG + """ SELECT id, original_text, new_name, new_type FROM log WHERE new_name <> '' AND old_name <> new_name
-      AND id NOT IN (SELECT id FROM review WHERE trim(verified_type) = 'landmark')""",
+    _LOG + """ SELECT l.id, l.original_text, l.new_name, l.new_type FROM log l
+      ANTI JOIN (SELECT id FROM review WHERE trim(verified_type) = 'landmark') x ON x.id = l.id WHERE l.new_name <> '' AND l.old_name <> l.new_name""",
     ("review",),
 )
 def _(t):
@@ -98,6 +102,35 @@ def _(t):
     return op.training_rows_from_log(op.log_entries(t.review, _STAMP), exported)
 
 
+def _streamed(t) -> tuple:
+    """The review table as a stream of files, taken in by several micro-batches, and a folder for results."""
+    home = f"{ensure_checkpoint_dir(t.spark)}/reviews-{uuid.uuid4().hex}"
+    t.review.repartition(4, "id").write.parquet(f"{home}/in")
+    return reviews.review_stream(t.spark, f"{home}/in", t.review.schema, files_per_batch=2), home
+
+
+@query(
+    "rev07_streamed_rows",
+    _LOG + " SELECT DISTINCT id, original_text, new_name, new_type FROM log WHERE new_name <> '' AND old_name IS DISTINCT FROM new_name",
+    ("review",),
+)
+def _(t):
+    stream, home = _streamed(t)
+    reviews.append_training_rows(stream, f"{home}/rows", f"{home}/cp", _STAMP)
+    return t.spark.read.parquet(f"{home}/rows").select("id", "original_text", "new_name", "new_type")
+
+
+@query(
+    "snk09_streamed_log",
+    _LOG + " SELECT id, original_text, old_name, new_name, new_type, ok AS verified_correct FROM log",
+    ("review",),
+)
+def _(t):
+    stream, home = _streamed(t)
+    reviews.append_log(stream, f"{home}/log", f"{home}/cp", _STAMP)
+    return t.spark.read.parquet(f"{home}/log").select("id", "original_text", "old_name", "new_name", "new_type", "verified_correct")
+
+
 @query(
     "rev08_loop_summary",
     _LOG + """ SELECT 'applied' AS section, '' AS item, count(*) AS n FROM log WHERE new_name IS NOT NULL
