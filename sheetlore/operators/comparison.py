@@ -41,9 +41,9 @@ def comparison_summary(names: DataFrame, n_maps: int) -> DataFrame:
 
 
 def common_table(names: DataFrame, n_maps: int) -> DataFrame:
-    """Common names with the list of maps, which is that of all chosen maps for each of them."""
-    chosen = names.select("map_name").distinct().agg(F.array_join(F.array_sort(F.collect_list("map_name")), ", ").alias("in_maps"))
-    return common_names(names, n_maps).select("name").withColumn("in_maps", chosen.scalar())
+    """``(section, item)``: every chosen map once, and every name that is on all of them."""
+    chosen = names.select(F.lit("map").alias("section"), F.col("map_name").alias("item")).distinct()
+    return chosen.unionByName(common_names(names, n_maps).select(F.lit("name").alias("section"), F.col("name").alias("item")))
 
 
 def unique_rows(df: DataFrame, names: DataFrame, n_maps: int) -> DataFrame:

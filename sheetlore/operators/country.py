@@ -8,11 +8,15 @@ rule still meets words that run over from one text to the next.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetlore.functions.country_rules import COUNTRY_RULES, SHEET_NUMBER
+from sheetlore.session import ship_package
 
 SHEET_BONUS, SHEET_COUNTRY = 10, "india"
 LEAST_SCORE = 3
@@ -32,10 +36,14 @@ def words_spanned(rules=COUNTRY_RULES) -> int:
     return max([len(re.split(r"\\s|\s", pattern)) for pattern in [*patterns, SHEET_NUMBER]])
 
 
-def map_documents(texts: DataFrame) -> DataFrame:
-    """``(map_name, document)``: all texts of a map in order; for a sheet's texts, which one row can hold."""
+def map_documents(texts: DataFrame, size: int = STRETCH) -> DataFrame:
+    """``(map_name, part, document)``: the texts of a map in order, ``size`` of them in a row.
+
+    ``seq`` numbers the texts of a map; the parts of a map, one after another, are its document.
+    """
     words = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return texts.groupBy("map_name").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("document"))
+    parts = texts.groupBy("map_name", F.floor(F.col("seq") / size).alias("part"))
+    return parts.agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("document"))
 
 
 def stretches(texts: DataFrame, rules=COUNTRY_RULES, size: int = STRETCH) -> DataFrame:
@@ -55,23 +63,62 @@ def stretches(texts: DataFrame, rules=COUNTRY_RULES, size: int = STRETCH) -> Dat
     )
 
 
-def rule_hit(document: Column, pattern: str, whole_word: bool) -> Column:
-    """Does the lower-cased document hold the pattern? Plain text is found without a regex."""
-    literal = re.sub(r"\\(.)", r"\1", pattern)
+def literal_of(pattern: str, whole_word: bool) -> str | None:
+    """The plain text that a rule looks for, if it is no regular expression."""
     if whole_word:
-        return document.contains(pattern) & document.rlike(rf"(?U)\b{re.escape(pattern)}\b")
-    if re.fullmatch(r"(?:[^\\.^$*+?()\[\]{}|]|\\.)+", pattern):
-        return document.contains(literal)
-    return document.rlike(pattern)
+        return pattern
+    return re.sub(r"\\(.)", r"\1", pattern) if re.fullmatch(r"(?:[^\\.^$*+?()\[\]{}|]|\\.)+", pattern) else None
+
+
+def _matcher(literals: list[tuple[int, str, bool]]):
+    """Rows (map_name, rule_no) of a batch of documents, by one automaton over all plain texts."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        by_text: dict[str, list[tuple[int, bool]]] = {}
+        for no, text, whole in literals:
+            by_text.setdefault(text, []).append((no, whole))
+        for text, rules in by_text.items():
+            automaton.add_word(text, (len(text), rules))
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for row, (low, others) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                hits = set(others)
+                for end, (length, rules) in automaton.iter(low) if by_text and low else ():
+                    alone = None
+                    for no, whole in rules:
+                        if no not in hits:
+                            if whole and alone is None:
+                                alone = not (_in_word(low, end - length) or _in_word(low, end + 1))
+                            if not whole or alone:
+                                hits.add(no)
+                at += [row] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int32())], ["map_name", "rule_no"])
+
+    return match
+
+
+def _in_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
 
 
 def rule_hits(documents: DataFrame, rules=COUNTRY_RULES) -> DataFrame:
-    """``(map_name, rule_no)`` for every rule some document of the map fulfils."""
+    """``(map_name, rule_no)`` for every rule some document of the map fulfils; -1 stands for a sheet number.
+
+    All plain texts are looked for in one pass over a document, by an automaton that each task builds
+    from the rules, so the cost of a text does not grow with their number. Only rules that are regular
+    expressions are tested one by one.
+    """
+    ship_package(documents.sparkSession)
     low = documents.withColumn("_low", F.lower("document"))
-    tests = [F.when(rule_hit(F.col("_low"), pattern, whole), F.lit(no)) for no, (pattern, _, _, whole) in enumerate(rules)]
+    literals = [(no, text, whole) for no, (pattern, _, _, whole) in enumerate(rules) if (text := literal_of(pattern, whole)) is not None]
+    rest = [F.when(F.col("_low").rlike(pattern), F.lit(no)) for no, (pattern, _, _, whole) in enumerate(rules) if literal_of(pattern, whole) is None]
     bonus = F.when(F.col("document").rlike(SHEET_NUMBER), F.lit(-1))
-    hits = F.array_compact(F.array(bonus, *tests))
-    return low.select("map_name", F.explode(hits).alias("rule_no")).distinct()
+    tested = low.select("map_name", F.coalesce("_low", F.lit("")).alias("low"), F.array_compact(F.array(bonus, *rest)).alias("others"))
+    kind = documents.schema["map_name"].dataType.simpleString()
+    return tested.mapInArrow(_matcher(literals), f"map_name {kind}, rule_no int").distinct()
 
 
 def country_scores(hits: DataFrame, rules=COUNTRY_RULES) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlore.functions.texts import stripped
+from sheetlore.operators.numbering import number_rows
 from sheetlore.session import cut_lineage
 
 # Corner zone, patterns and distances.
@@ -21,6 +22,8 @@ ANCHOR = r"(?i)^No\.?$"
 NUMBER, LETTER, SUB_NUMBER = r"^\d{1,3}$", r"(?i)^[A-HJ-P]$", r"^\d{1,2}$"
 SAME_HEIGHT, FARTHEST_RIGHT = 1.5, 15
 BAND = 64
+#: Tokens of a corner that are joined into one row.
+ZONE_TOKENS = 64
 
 
 def corner_tokens(tokens: DataFrame, maps: DataFrame) -> DataFrame:
@@ -149,7 +152,9 @@ def zone_listing(corner: DataFrame) -> DataFrame:
     return corner.select("map_name", "seq", "text", "cx", "cy").orderBy("map_name", "cx", "seq")
 
 
-def zone_lines(corner: DataFrame) -> DataFrame:
-    """Zone tokens of a map joined from left to right; a corner of a sheet holds few tokens."""
-    words = F.array_sort(F.collect_list(F.struct("cx", "seq", "text")))
-    return corner.groupBy("map_name").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("line"))
+def zone_lines(corner: DataFrame, size: int = ZONE_TOKENS) -> DataFrame:
+    """``(map_name, part, line)``: zone tokens of a map from left to right, ``size`` of them in a row."""
+    numbered = number_rows(corner, ["map_name"], F.floor(F.col("cx") / 16), ["cx", "seq"])
+    part = F.floor((F.col("row_no") - 1) / size)
+    words = F.array_sort(F.collect_list(F.struct("row_no", "text")))
+    return numbered.groupBy("map_name", part.alias("part")).agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("line"))

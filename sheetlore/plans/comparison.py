@@ -40,7 +40,7 @@ def _(t):
 
 @query(
     "set04_common_table",
-    _CHOSEN + """SELECT name, string_agg(map_name, ', ' ORDER BY map_name) AS in_maps FROM names WHERE name IN (SELECT name FROM common) GROUP BY 1""",
+    _CHOSEN + """SELECT DISTINCT 'map' AS section, map_name AS item FROM names UNION ALL SELECT DISTINCT 'name', name FROM common""",
     ("features", "map_info"),
 )
 def _(t):

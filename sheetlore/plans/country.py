@@ -52,11 +52,11 @@ def _(t):
 
 @query(
     "cty01_documents",
-    "SELECT map_name, length(string_agg(text, ' ' ORDER BY seq)) AS n_chars, md5(lower(string_agg(text, ' ' ORDER BY seq))) AS digest FROM country_texts GROUP BY 1",
+    "SELECT map_name, seq // 32 AS part, length(string_agg(text, ' ' ORDER BY seq)) AS n_chars, md5(lower(string_agg(text, ' ' ORDER BY seq))) AS digest FROM country_texts GROUP BY 1, 2",
     ("country_texts",),
 )
 def _(t):
-    return op.map_documents(t.country_texts).select("map_name", F.length("document").cast("bigint").alias("n_chars"), F.md5(F.lower("document")).alias("digest"))
+    return op.map_documents(t.country_texts).select("map_name", "part", F.length("document").cast("bigint").alias("n_chars"), F.md5(F.lower("document")).alias("digest"))
 
 
 @query("jon07_rule_matches", _HITS + "SELECT map_name, CAST(rule_no AS INT) AS rule_no FROM hits WHERE rule_no >= 0", ("country_texts",))

@@ -266,7 +266,8 @@ def _(t):
 
 @query(
     "num06_zone_lines",
-    _ZONE + "SELECT map_name, string_agg(text, ' ' ORDER BY cx, seq) AS line FROM zone GROUP BY 1",
+    _ZONE + """SELECT map_name, (rn - 1) // 64 AS part, string_agg(text, ' ' ORDER BY rn) AS line
+      FROM (SELECT map_name, text, row_number() OVER (PARTITION BY map_name ORDER BY cx, seq) AS rn FROM zone) GROUP BY 1, 2""",
     ("sheet_tokens",),
 )
 def _(t):

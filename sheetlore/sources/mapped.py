@@ -270,11 +270,10 @@ SELECT 'SHEET_' || CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) AS map_nam
     WHEN 72 THEN text || ' 72 C/01' WHEN 83 THEN text || ' near the district of Kerala' ELSE text END AS text
 FROM {documents}""",
     "image_verdicts": """
-SELECT 'SHEET_' || CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) AS map_name,
-  CASE CAST(floor(doc_id / 40) AS BIGINT) % 5 WHEN 0 THEN 'uk' WHEN 1 THEN 'india' WHEN 2 THEN 'france' ELSE 'usa' END AS image_country,
-  CAST(CASE CAST(floor(doc_id / 40) AS BIGINT) % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 WHEN 2 THEN 0.1 ELSE 0.7 END AS DOUBLE)
-    AS image_confidence
-FROM {documents} WHERE doc_id % 40 = 0 AND doc_id % 120 <> 80""",
+SELECT 'SHEET_' || CAST(sheet AS STRING) AS map_name,
+  CASE sheet % 5 WHEN 0 THEN 'uk' WHEN 1 THEN 'india' WHEN 2 THEN 'france' ELSE 'usa' END AS image_country,
+  CAST(CASE (sheet + longest) % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 WHEN 2 THEN 0.1 ELSE 0.7 END AS DOUBLE) AS image_confidence
+FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS sheet, max(length(text)) AS longest FROM {documents} GROUP BY 1) q""",
     "spelling_files": """
 SELECT p_partkey AS file_no,
   '{{"meta": {{"version": "' || p_brand || '"}}, "' || p_brand || '": {{"' || replace(p_name, 'i', 'y') || '": "' || p_name
