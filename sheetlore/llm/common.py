@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -51,9 +54,31 @@ def row_key(df: DataFrame, doc_id: str, text: str) -> Column:
     return F.struct(df[doc_id].alias("id"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("mark"))
 
 
+#: Rows that Spark hands to a Python task at once, at most: they hold whole texts.
+ROWS_AT_ONCE = 1024
+
+
 def python_ready(spark: SparkSession) -> None:
-    """Make this package importable in Python workers on every executor."""
+    """Make this package importable in Python workers on every executor, and let them get few rows at once."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, ROWS_AT_ONCE)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as a task that gives its memory back when it ends; a worker lives on with the next task."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # other C libraries do so by themselves
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
 
 
 def local_text(path: str) -> str:
@@ -173,7 +198,7 @@ def map_texts(docs: DataFrame, doc_id: str, text: str, columns: dict[str, str],
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{k} {v}" for k, v in columns.items())]))
+    return rows.mapInArrow(tidy(run), ", ".join([f"doc_id {kind}", *(f"{k} {v}" for k, v in columns.items())]))
 
 
 def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:

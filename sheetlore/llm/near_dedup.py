@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlore.llm.common import map_texts, mix, parts, python_ready, row_key, slices, sorted_groups, stored, unused, word_hashes
+from sheetlore.llm.common import map_texts, mix, parts, python_ready, row_key, slices, sorted_groups, stored, tidy, unused, word_hashes
 
 ROWS, BANDS = 5, 32
 REGISTERS = ROWS * BANDS
@@ -291,7 +291,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     )
     unit = F.concat_ws("/", "band", "bucket", "block")
     first = placed.unionByName(leaders).distinct().join(traits, "cid").select(unit.alias("unit"), "cid", "n", "sketch")
-    stars = first.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(_stars, "a long, b long")
+    stars = first.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(tidy(_stars), "a long, b long")
     pairs = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
     named = classes.select("cid", "rep", "digest")
     asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
@@ -299,7 +299,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     with_sets = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b").join(
         sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a"
     )
-    links = stored(with_sets.mapInArrow(_verify_pairs, "a long, b long"), "star-links")
+    links = stored(with_sets.mapInArrow(tidy(_verify_pairs), "a long, b long"), "star-links")
     reached = components(links)
 
     # Second round: buckets that hold several components.
@@ -312,7 +312,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     dealt = several.withColumn("block", F.explode(F.when(F.col("minor"), everywhere).otherwise(F.array("home"))))
     second = dealt.join(traits, "cid").select(unit.alias("unit"), "cid", "n", "sketch", "component", "minor", "home", "band", "block")
     units = stored(
-        second.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(_across, "unit string, band int, cid long, asks boolean"), "units"
+        second.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(tidy(_across), "unit string, band int, cid long, asks boolean"), "units"
     )
     more = units.select("cid").distinct().join(sets, "cid", "left_anti")
     every_set = sets.unionByName(_sets_of(docs, doc_id, text, words, named.join(more, "cid")))
@@ -323,7 +323,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
         .join(places, ["band", "bucket", "cid"]).join(traits, "cid").join(every_set, "cid")
         .select("unit", "cid", "n", "sketch", "component", "minor", "home", "band", "block", "asks", "shingles")
     )
-    crossing = full.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(_verify_units, "a long, b long")
+    crossing = full.repartition("unit").sortWithinPartitions("unit", "cid").mapInArrow(tidy(_verify_units), "a long, b long")
     all_links = stored(links.unionByName(crossing), "all-links")
     final = components(all_links)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlore.llm.common import fold, map_texts, parts, python_ready
+from sheetlore.llm.common import fold, map_texts, parts, python_ready, tidy
 from sheetlore.llm.learning import TRAINING_ROWS, labelled_sample, sigmoid
 
 THRESHOLD = 0.3
@@ -162,4 +162,4 @@ def keep_good(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text",
             x = np.array([statistics(t or "") for t in batch.column(place).to_pylist()], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(scores(shared.value, x) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
