@@ -2,8 +2,8 @@
 
 Documents are read as overlapping windows of words, benchmark items as passages. Both are weighted
 by term frequency and inverse document frequency, counted over all documents, and projected on the
-leading right singular vectors of a passage-term matrix, found by a distributed randomised
-decomposition. Windows whose projection points where a benchmark passage's does are candidates; the
+leading right singular vectors of the matrix of all passages and their terms, found by a distributed
+randomised decomposition. Windows whose projection points where a benchmark passage's does are candidates; the
 longest common subsequence of words, and that of the passage's answer, its end, decide. So a passage
 is found again with words changed, dropped or put in between.
 
@@ -29,15 +29,13 @@ HALF = 32
 #: Longest passage; longer items are cut evenly, and once more from middle to middle of the cuts.
 PASSAGE = 64
 RANK, OVERSAMPLING, POWERS = 128, 8, 2
-#: Documents whose windows join the benchmark's passages in the matrix that is decomposed.
-FITTING_DOCUMENTS = 1_000
 LEAST_COSINE, LEAST_LENGTH = 0.45, 0.35
 #: Share of a passage's weight that must stand there: a passage with telling words needs some of them.
 LEAST_WEIGHT = 0.35
 #: A term is common if more than this share of all documents has it; passages made of such terms are found by counting words.
 COMMON_TERM = 0.1
-#: Windows compared at once, and cells of a table of counted words.
-WINDOWS, CELLS = 8192, 2_000_000
+#: Windows compared at once, cells of a table of counted words, and candidates whose words are counted at once.
+WINDOWS, CELLS, PAIRS = 8192, 2_000_000, 16_384
 #: A document is contaminated with this share of an item's words in order, if the answer is among them ...
 COMMON, ANSWER = 0.6, 0.5
 #: ... or with this share, whatever is missing.
@@ -100,16 +98,6 @@ class Block:
         """Terms and weights of each passage."""
         return [_vector(np.searchsorted(self.terms, w), self.idf) for w in self.words]
 
-    def windows(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Terms and weights of each window of the texts."""
-        hashes, bounds = _hashed(texts)
-        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
-            for k in range(begin, max(begin + 1, end - HALF), HALF):
-                _, terms = self.hits(hashes[k : min(end, k + 2 * HALF)])
-                terms, weights = _vector(terms, self.idf)
-                if len(terms):
-                    yield terms, weights
-
     def prepare(self) -> Block:
         """Tables that searching tasks share: latent weights of terms, passages as unit vectors, counted passages' terms."""
         self.table = (self.basis * self.idf[:, None]).astype(np.float32)
@@ -126,6 +114,10 @@ class Block:
         for k, p in enumerate(self.counted):
             self.asked[self.column[self.wanted[p][0]], k] = self.wanted[p][1]
         self.latent = np.setdiff1d(np.arange(len(self.words)), self.counted)
+        self.pairs = np.concatenate([p * len(self.terms) + terms for p, (terms, _) in enumerate(self.wanted)] or [np.zeros(0, np.int64)])  # rising
+        self.often = np.concatenate([n for _, n in self.wanted] or [np.zeros(0, np.int64)])
+        self.least_words = COMMON * np.array([len(w) for w in self.words]) - 1e-6
+        self.least_weight = LEAST_WEIGHT * np.array([(n * self.idf[terms]).sum() for terms, n in self.wanted]) - 1e-6
         return self
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, float, float, float, int, float]]:
@@ -143,7 +135,9 @@ class Block:
             for starts, passages in (*self._near(half, term), *self._counted(half, term, int(offset[-1]))):
                 text = np.searchsorted(offset, starts, "right") - 1
                 inside = starts - offset[text] < halves[text] - 1
-                for s, p, t in zip(starts[inside].tolist(), passages[inside].tolist(), text[inside].tolist(), strict=True):
+                starts, passages, text = starts[inside], passages[inside], text[inside]
+                some = self._enough(bounds[text], bounds[text + 1], starts - offset[text], passages, place, term)
+                for s, p, t in zip(starts[some].tolist(), passages[some].tolist(), text[some].tolist(), strict=True):
                     if t not in found:
                         found[t] = _Found(self, hashes[bounds[t] : bounds[t + 1]])
                     found[t].look(p, s - int(offset[t]))
@@ -151,6 +145,26 @@ class Block:
                 for item, *rest in found[t].decided():
                     yield first + t, item, *rest
 
+    def _enough(self, first: np.ndarray, last: np.ndarray, half: np.ndarray, passages: np.ndarray, place: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Which candidates have enough of the passage's words and weight around the window, as ``_Found.look`` asks; counted for many at once."""
+        out = np.zeros(len(half), bool)
+        begins, ends = _around(half)
+        low, high = np.searchsorted(place, first + begins), np.searchsorted(place, np.minimum(first + ends, last))
+        for k in range(0, len(half), PAIRS):
+            own, n = passages[k : k + PAIRS], (high - low)[k : k + PAIRS]
+            pair = np.repeat(np.arange(len(own)), n)
+            at = term[np.arange(len(pair)) + np.repeat(low[k : k + PAIRS] - np.cumsum(n) + n, n)]
+            code = own[pair] * len(self.terms) + at
+            row = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            asked = self.pairs[row] == code
+            code, count = np.unique(pair[asked] * len(self.pairs) + row[asked], return_counts=True)
+            pair, row = np.divmod(code, len(self.pairs))
+            overlap = np.minimum(count, self.often[row])
+            words = np.bincount(pair, overlap, minlength=len(own))
+            weight = np.bincount(pair, overlap * self.idf[self.pairs[row] % len(self.terms)], minlength=len(own))
+            out[k : k + PAIRS] = (words >= self.least_words[own]) & (weight >= self.least_weight[own])
+        return out
+
     def _near(self, half: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Windows whose projections point where a passage's does, some thousand at a time, and the passages.
 
@@ -224,8 +238,8 @@ class _Found:
         self.run: dict[int, int] = {}
 
     def region(self, half: int) -> np.ndarray:
-        begin = half * HALF
-        return self.hashes[max(0, begin - HALF // 2) : begin + 2 * HALF + HALF // 2]
+        begin, end = _around(half)
+        return self.hashes[begin:end]
 
     def overlap(self, passage: int, half: int) -> np.ndarray:
         """How often the region has each of the passage's terms, no more often than the passage."""
@@ -282,6 +296,11 @@ class _Found:
         return float(vector @ self.block.unit[passage] / max(1e-9, float(np.linalg.norm(vector))))
 
 
+def _around(half):
+    """First word of the region around a window, and the one after its last."""
+    return np.maximum(0, half * HALF - HALF // 2), half * HALF + 2 * HALF + HALF // 2
+
+
 def _vector(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, count = np.unique(terms, return_counts=True)
     return distinct, count * idf[distinct]
@@ -400,25 +419,8 @@ def _fitted(docs: DataFrame, doc_id: str, text: str, items: list[tuple[object, s
     counting = spark.sparkContext.broadcast(block)
     block.weigh(*_frequencies(docs, text, counting))
     counting.destroy()
-    weighted = spark.sparkContext.broadcast(block)
-
-    def windows(texts: list[str]) -> list[list]:
-        out = []
-        for t in texts:
-            out.append([{"terms": a.tolist(), "weights": (w / np.linalg.norm(w)).tolist()} for a, w in weighted.value.windows([t])])
-        return [pa.array(out, pa.list_(pa.struct([("terms", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])))]
-
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    picked = sample.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTING_DOCUMENTS).distinct()
-    sample = sample.join(F.broadcast(picked), "doc_id")
-    rows = map_texts(sample, "doc_id", "text", {"found": "array<struct<terms:array<long>,weights:array<double>>>"}, windows)
-    rows = stored(rows.select(F.explode("found").alias("p")).select("p.terms", "p.weights"), "passages")
-    weighted.destroy()
-    count = rows.count()
-    share = float(np.sqrt(len(block.words) / max(1, count)))  # both kinds of passages weigh the same together
     own = [(a.tolist(), (w / max(1e-9, np.linalg.norm(w))).tolist()) for a, w in block.passages() if len(a)]
-    own_rows = spark.createDataFrame(own, "terms array<long>, weights array<double>")
-    matrix = rows.select("terms", F.transform("weights", lambda w: w * share).alias("weights")).unionByName(own_rows)
+    matrix = spark.createDataFrame(own, "terms array<long>, weights array<double>")
     block.basis = latent_basis(matrix, len(block.terms))
     return block.prepare()
 

@@ -145,6 +145,42 @@ def test_items_of_common_words_are_found_in_long_texts(spark):
     assert all(exact(t) for k, t in rows if k in got - {99})
 
 
+def test_basis_is_that_of_all_passages(spark):
+    """However many documents there are, the basis has every passage of the benchmark whole while these are fewer than its rank."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"t{rng.randrange(400)}" for _ in range(30))) for k in range(50)]
+    rows = [(k, " ".join(f"t{rng.randrange(400)}" for _ in range(200))) for k in range(150)]
+    block = decontamination._fitted(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", items)
+    for terms, weights in block.passages():
+        whole = np.zeros(len(block.terms))
+        whole[terms] = weights / np.linalg.norm(weights)
+        assert np.linalg.norm(whole @ block.basis) > 0.999
+
+
+def test_candidates_counted_together_are_those_that_are_looked_at(monkeypatch):
+    rng = random.Random(12)
+    words = [f"k{k}" for k in range(60)]
+    block = decontamination.Block([(k, " ".join(rng.choices(words, k=40))) for k in range(6)])
+    block.weigh(50, np.array([rng.randrange(50) for _ in block.terms]))
+    block.basis = np.eye(len(block.terms), 8, dtype=np.float32)
+    block.prepare()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 300))) for _ in range(20)]
+    texts += [" ".join(rng.choices(words[:20], k=200)), ""]
+    hashes, bounds = decontamination._hashed(texts)
+    place, term = block.hits(hashes)
+    pairs = [(t, h, p) for t in range(len(texts)) for h in range(-(-int(bounds[t + 1] - bounds[t]) // 32)) for p in range(len(block.words))]
+    t, h, p = map(np.array, zip(*pairs, strict=True))
+    monkeypatch.setattr(decontamination, "PAIRS", 7)
+    got = block._enough(bounds[t], bounds[t + 1], h, p, place, term)
+    for k, (text, half, passage) in enumerate(pairs):
+        found = decontamination._Found(block, hashes[bounds[text] : bounds[text + 1]])
+        found.look(passage, half)
+        overlap, (terms, wanted) = found.overlap(passage, half), block.wanted[passage]
+        enough = overlap.sum() >= 0.6 * 40 - 1e-6 and (overlap * block.idf[terms]).sum() >= 0.35 * (wanted * block.idf[terms]).sum() - 1e-6
+        assert got[k] == enough and (got[k] or not found.best)
+    assert 0 < got.sum() < len(got)
+
+
 def longest(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
