@@ -2,7 +2,8 @@
 
 A segment holds the documents of one batch of changes. Its postings are blocks: one row per term and
 stretch of documents, with arrays of ids, counts, lengths and word positions and, beside them, the
-greatest count and least length, from which the block's best score follows. Blocks are sorted by term
+greatest count and least length, from which the block's best score follows. A stretch is inverted where
+its texts are read, so only finished blocks are shuffled. Blocks of about the same size are sorted by term
 and cut into folders of about equal size, and a dictionary names the first and last term of each folder,
 so words and prefixes alike read few folders, by partition. Positions rise inside a document, with a gap
 between columns that no phrase can bridge; the file format stores them as differences.
@@ -14,20 +15,28 @@ that is replayed overwrites its own segment, and segments are merged into one wh
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
 
 from sheetlore.operators.search import B, COLUMN_END, HITS, K1, WORD, query_words, query_words_in_order, rank, words_of
-from sheetlore.session import cut_lineage, listed
+from sheetlore.session import cut_lineage, listed, ship_package
 
 #: Documents in a block's stretch as a power of two, and the postings that one folder is meant to hold.
 BLOCK_BITS = 8
 POSTINGS_PER_FOLDER = 4_000_000
+#: Rows that an inverting task gets at once, words it inverts together and blocks it passes on at once.
+TEXTS, WORDS, ROWS = 1024, 1_000_000, 16_384
+#: Blocks whose counts of postings lie between two powers of this are cut into folders together.
+SIZES = 4
 #: Segments beside each other before they are merged.
 MOST_SEGMENTS = 8
 #: Blocks that the first pass of a ranked search scores.
@@ -54,12 +63,83 @@ def positioned(corpus: DataFrame) -> DataFrame:
 
 
 def _blocks(corpus: DataFrame, bits: int) -> DataFrame:
-    """Blocks of a corpus (id, text): term, block, n, max_tf, min_words, docs."""
+    """Blocks of a corpus (id, text): term, block, n, max_tf, min_words, docs.
+
+    A stretch is consecutive rows of a partition, so its blocks are made in the task that has them.
+    """
+    spark = corpus.sparkSession
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS:
+        spark.conf.set(key, TEXTS)
     numbered = positioned(corpus).withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits))
-    words = numbered.select("block", "id", "n_words", F.explode("words").alias("w")).select("block", "id", "n_words", "w.term", "w.position")
-    each = words.groupBy("term", "block", "id", "n_words").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    each = each.select("term", "block", "id", F.size("positions").alias("tf"), "n_words", "positions")
-    return _grouped(each)
+    rows = numbered.select("block", "id", "n_words", F.col("words.term").alias("terms"), F.col("words.position").alias("positions"))
+    one = StructType([corpus.schema["id"]]).simpleString()[:-1]
+    kind = f"term string, block long, n long, max_tf int, min_words int, docs array<{one},tf:int,n_words:int,positions:array<int>>>"
+    return rows.mapInArrow(_inverted, kind)
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (block, id, n_words, terms, positions) in order of block."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        block = table.column("block").to_numpy()
+        whole = int(np.searchsorted(block, block[-1])) if len(block) else 0
+        yield from _of_whole_stretches(table.slice(0, whole))
+        rest = table.slice(whole)
+    if rest is not None:
+        yield from _of_whole_stretches(rest)
+
+
+def _of_whole_stretches(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Some stretches at a time, so that a task holds few words."""
+    if not rows.num_rows:
+        return
+    block, n_words = rows.column("block").to_numpy(), rows.column("n_words").fill_null(0).to_numpy()
+    before = np.concatenate(([0], np.cumsum(n_words, dtype=np.int64)))
+    begin, ends = 0, [*(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+    for end, after in zip(ends, [*ends[1:], None], strict=True):
+        if after is None or before[after] - before[begin] > WORDS:
+            yield from _invert(rows.slice(begin, end - begin).combine_chunks())
+            begin = end
+
+
+def _invert(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    rows = rows.take(pa.compute.sort_indices(rows, [("block", "ascending"), ("id", "ascending")])).combine_chunks()
+    lists = rows.column("terms").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    if not len(coded):
+        return
+    size, block = rows.num_rows, rows.column("block").to_numpy()
+    stretch = np.concatenate(([0], np.cumsum(block[1:] != block[:-1])))
+    doc = np.repeat(np.arange(size), pa.compute.list_value_length(lists).fill_null(0).to_numpy())
+    key = (stretch[doc] * len(coded.dictionary) + coded.indices.to_numpy()) * size + doc
+    order = np.argsort(key, kind="stable")  # positions rise in a document
+    key = key[order]
+    places = rows.column("positions").combine_chunks().flatten().take(pa.array(order))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))  # of each posting's places
+    tf = np.diff(np.append(first, len(key))).astype(np.int32)
+    group, doc = np.divmod(key[first], size)
+    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))  # of each block's postings
+    n_words = rows.column("n_words").fill_null(0).to_numpy()[doc].astype(np.int32)
+    postings = pa.StructArray.from_arrays(
+        [rows.column("id").combine_chunks().take(pa.array(doc)), pa.array(tf), pa.array(n_words), pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), places)],
+        ["id", "tf", "n_words", "positions"],
+    )
+    stretch, code = np.divmod(group[head], len(coded.dictionary))
+    start = np.concatenate(([True], block[1:] != block[:-1]))
+    blocks = pa.RecordBatch.from_arrays(
+        [
+            coded.dictionary.take(pa.array(code)), pa.array(block[start][stretch]), pa.array(np.diff(np.append(head, len(first))).astype(np.int64)),
+            pa.array(np.maximum.reduceat(tf, head)), pa.array(np.minimum.reduceat(n_words, head)),
+            pa.ListArray.from_arrays(pa.array(np.append(head, len(first)), pa.int32()), postings),
+        ],
+        ["term", "block", "n", "max_tf", "min_words", "docs"],
+    )
+    for begin in range(0, blocks.num_rows, ROWS):
+        yield blocks.slice(begin, ROWS)
 
 
 def _grouped(postings: DataFrame) -> DataFrame:
@@ -123,8 +203,7 @@ class StoredIndex:
         folder = f"merged-{uuid.uuid4().hex}"
         # the stretches of several small segments are dealt out anew, each document to one stretch
         stretch = F.pmod(F.xxhash64("id"), F.lit((self._documents(segments) >> self.block_bits) + 1))
-        _grouped(live.withColumn("block", stretch)).write.parquet(f"{self.path}/{folder}/unsorted")
-        self._write_sorted(folder)
+        self._write_blocks(folder, _grouped(live.withColumn("block", stretch)))
         facts = self.facts()
         facts.write.parquet(f"{self.path}/{folder}/facts")
         self._lengths(segments).write.parquet(f"{self.path}/{folder}/lengths")
@@ -133,9 +212,8 @@ class StoredIndex:
 
     def _write_segment(self, folder: str, corpus: DataFrame, gone: DataFrame | None, before: list[Segment]) -> str:
         home = f"{self.path}/{folder}"
-        _blocks(corpus, self.block_bits).write.mode("overwrite").parquet(f"{home}/unsorted")
-        self._write_sorted(folder)
-        positioned(corpus).select("id", "n_words").write.mode("overwrite").parquet(f"{home}/lengths")
+        self._write_blocks(folder, _blocks(corpus, self.block_bits))
+        corpus.select("id", F.size(words_of(F.col("text"))).alias("n_words")).write.mode("overwrite").parquet(f"{home}/lengths")
         lengths = self.spark.read.parquet(f"{home}/lengths")
         superseded = gone if gone is not None else corpus.select("id").limit(0)
         superseded.write.mode("overwrite").parquet(f"{home}/superseded")
@@ -147,18 +225,30 @@ class StoredIndex:
         added.write.mode("overwrite").parquet(f"{home}/facts")
         return folder
 
-    def _write_sorted(self, folder: str) -> None:
-        """Blocks in folders that are ranges of terms, and the first and last term of each."""
+    def _write_blocks(self, folder: str, blocks: DataFrame) -> None:
+        """Blocks in folders that are ranges of terms, and the first and last term of each.
+
+        Ranges have equal numbers of rows, so blocks of like size are cut together: a common word's
+        blocks hold hundreds of postings, a rare one's a single one.
+        """
         home = f"{self.path}/{folder}"
-        rows = self.spark.read.parquet(f"{home}/unsorted")
-        folders = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // self.per_folder))
-        ranged = rows.repartitionByRange(folders, "term", "block").sortWithinPartitions("term", "block").withColumn("bucket", F.spark_partition_id())
-        writer = ranged.write.mode("overwrite").partitionBy("bucket").option("parquet.writer.version", "PARQUET_2_0")
-        writer.option("parquet.enable.dictionary#docs.list.element.positions.list.element", "false").parquet(f"{home}/postings")
-        written = self.spark.read.schema(_with_bucket(rows)).parquet(f"{home}/postings")
+        sized = blocks.withColumn("size", F.floor(F.log(float(SIZES), F.col("n") + 0.5)).cast("int"))
+        sized.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("size").parquet(f"{home}/unsorted")
+        rows = self.spark.read.schema(sized.schema).parquet(f"{home}/unsorted")
+        sums = rows.groupBy("size").agg(F.sum("n").alias("n")).orderBy("size").collect()  # a row per power of SIZES
+        begin = 0
+        for k, r in enumerate(sums or [{"size": 0, "n": 0}]):
+            folders = max(1, -(-r["n"] // self.per_folder))
+            own = rows.filter(F.col("size") == r["size"]).drop("size")
+            ranged = own.repartitionByRange(folders, "term", "block").sortWithinPartitions("term", "block").withColumn("bucket", F.spark_partition_id() + begin)
+            writer = ranged.write.mode("append" if k else "overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket")
+            writer = writer.option("parquet.writer.version", "PARQUET_2_0")
+            writer.option("parquet.enable.dictionary#docs.list.element.positions.list.element", "false").parquet(f"{home}/postings")
+            begin += folders
+        written = self.spark.read.schema(_with_bucket(blocks)).parquet(f"{home}/postings")
         dictionary = written.groupBy("bucket").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("blocks"))
         dictionary.write.mode("overwrite").parquet(f"{home}/dictionary")
-        rows.limit(0).write.mode("overwrite").parquet(f"{home}/unsorted")  # its schema stays
+        self.spark.createDataFrame([], blocks.schema).write.mode("overwrite").parquet(f"{home}/unsorted")  # its schema stays
 
     def _set(self, segments: list[Segment]) -> None:
         """The list of segments is a new folder each time; the last complete one counts."""

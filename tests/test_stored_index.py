@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sheetlore.operators import search
+from sheetlore.operators import search, stored_index
 from sheetlore.operators.stored_index import StoredIndex
 
 FOLDER = "/root/testdata/sf0.001"
@@ -134,3 +134,12 @@ def test_index_follows_a_stream(spark, tmp_path):
         spark.createDataFrame([(1, None, 1), (3, "alpha", 1), (3, "alpha gamma beta", 2)], schema).coalesce(1).write.mode("overwrite").parquet(source)
         index.follow(spark.readStream.schema(schema).parquet(source), str(tmp_path / "cp"), "at").awaitTermination()
     equal_to_rebuild(spark, index, {2: "alpha", 3: "alpha gamma beta"}, str(tmp_path / "rebuilt"))
+
+
+def test_blocks_are_made_where_texts_are_and_folders_hold_alike(spark, tmp_path):
+    """Ten words stand in every text and one in a single text: no folder has all of the common ones."""
+    corpus = spark.createDataFrame([(k, " ".join([f"a{j}" for j in range(10)] + [f"z{k}"])) for k in range(2000)], "id long, text string").coalesce(1)
+    assert "Exchange" not in plan(stored_index._blocks(corpus, 6))
+    index = StoredIndex(spark, str(tmp_path / "index"), per_folder=1_000, block_bits=6).create(corpus)
+    held = spark.read.parquet(f"{index.path}/{index.segments()[0].folder}/postings").groupBy("bucket").agg(F.sum("n").alias("n"))
+    assert held.agg(F.max("n")).first()[0] <= stored_index.SIZES * 1_000 and held.agg(F.sum("n")).first()[0] == 22_000
