@@ -44,31 +44,51 @@ class Groups:
             self.parent[max(a, b)] = min(a, b)
 
 
-def _coded(*columns: pa.ChunkedArray) -> tuple[list[np.ndarray], list]:
-    """Numbers for the values of some columns, in order of the values, and the values."""
+def _coded(run: np.ndarray, *columns: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Numbers for the values of some columns, those of each run apart and in order of the values; run and value of each number."""
     values, codes = np.unique(np.concatenate([c.to_numpy(zero_copy_only=False) for c in columns]), return_inverse=True)
-    ends = np.cumsum([len(c) for c in columns])
-    return [codes[a:b] for a, b in zip((0, *ends[:-1]), ends, strict=True)], values.tolist()
+    known, codes = np.unique(np.tile(run, len(columns)) * len(values) + codes, return_inverse=True)
+    return np.split(codes, len(columns)), known // len(values), values[known % len(values)]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, each run as one table."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Consecutive rows with equal keys: tables of whole runs, as many as a batch has, and the run of each row."""
+
+    def changes(table: pa.Table) -> np.ndarray:
         new = np.zeros(table.num_rows, bool)
         for key in keys:
             codes = np.asarray(table.column(key).combine_chunks().dictionary_encode().indices.fill_null(-1))
             new[1:] |= codes[1:] != codes[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist()]
-        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-            yield table.slice(begin, end - begin)
-        rest = table.slice(cuts[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
+        return new
+
+    def whole(tables: list[pa.Table]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        table = pa.concat_tables(tables).combine_chunks()
+        if table.num_rows:
+            yield table, np.cumsum(changes(table))
+
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        new = changes(table)
+        new[0] = bool(rest) and any(rest[-1].column(k)[-1].as_py() != table.column(k)[0].as_py() for k in keys)
+        at = np.flatnonzero(new)
+        if not len(at):
+            rest.append(table)
+            continue
+        yield from whole([*rest, table.slice(0, int(at[-1]))])
+        rest = [table.slice(int(at[-1]))]
+    if rest:
+        yield from whole(rest)
+
+
+def _joined(one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
+    """The least number of the group that each number is in, when the pairs are joined."""
+    groups = Groups(size)
+    for a, b in zip(one.tolist(), two.tolist(), strict=True):
+        groups.join(a, b)
+    return np.array([groups.find(k) for k in range(size)], np.int64)
 
 
 def _with_column(table: pa.Table, name: str, values: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -77,30 +97,24 @@ def _with_column(table: pa.Table, name: str, values: pa.Array) -> Iterator[pa.Re
 
 def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each edge with the group that the edges of its cell put it into: the cell and the least box of the group."""
-    for edges in _runs(batches, ["map_name", "cell"]):
-        (hi, lo), values = _coded(edges.column("hi"), edges.column("lo"))
-        groups = Groups(len(values))
-        for a, b in zip(hi.tolist(), lo.tolist(), strict=True):
-            groups.join(a, b)
-        cell = edges.column("cell")[0].as_py()
-        names = pa.array([f"{cell}:{values[groups.find(k)]}" for k in hi.tolist()], pa.string())
-        yield from _with_column(edges, "part", names)
+    for edges, run in _runs(batches, ["map_name", "cell"]):
+        (hi, lo), _, values = _coded(run, edges.column("hi"), edges.column("lo"))
+        least = _joined(hi, lo, len(values))[hi]
+        names = [f"{cell}:{value}" for cell, value in zip(edges.column("cell").to_pylist(), values[least].tolist(), strict=True)]
+        yield from _with_column(edges, "part", pa.array(names, pa.string()))
 
 
 def _across_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per map: the name that each of a cell's groups has after those with a box in common are joined."""
-    for pairs in _runs(batches, ["map_name"]):
-        (one, two), values = _coded(pairs.column("part"), pairs.column("other"))
-        groups = Groups(len(values))
-        for a, b in zip(one.tolist(), two.tolist(), strict=True):
-            groups.join(a, b)
-        names = [values[groups.find(k)] for k in range(len(values))]
-        maps = pairs.column("map_name").combine_chunks().take(pa.array(np.zeros(len(values), np.int64)))
-        yield pa.RecordBatch.from_arrays([maps, pa.array(values, pa.string()), pa.array(names, pa.string())], ["map_name", "part", "whole"])
+    for pairs, run in _runs(batches, ["map_name"]):
+        (one, two), owner, values = _coded(run, pairs.column("part"), pairs.column("other"))
+        names = values[_joined(one, two, len(values))]
+        maps = pairs.column("map_name").combine_chunks().take(pa.array(np.searchsorted(run, owner)))
+        yield pa.RecordBatch.from_arrays([maps, pa.array(values.tolist(), pa.string()), pa.array(names.tolist(), pa.string())], ["map_name", "part", "whole"])
 
 
 def settle(hi: np.ndarray, lo: np.ndarray, rank: np.ndarray, complete: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(state, edge that drops it or -1) of each box of a group, taken by rank.
+    """(state, edge that drops it or -1) of each box of some groups, taken by rank.
 
     A box is dropped by a kept one; it stays open while one above it is open, or if it is not complete.
     The edge is that of the best box that drops it.
@@ -119,8 +133,8 @@ def settle(hi: np.ndarray, lo: np.ndarray, rank: np.ndarray, complete: np.ndarra
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for edges in _runs(batches, ["map_name", "whole"]):
-        (hi, lo), values = _coded(edges.column("hi"), edges.column("lo"))
+    for edges, run in _runs(batches, ["map_name", "whole"]):
+        (hi, lo), _, values = _coded(run, edges.column("hi"), edges.column("lo"))
         size = len(values)
         traits = {}
         for name in ("confidence", "y1", "x1", "complete"):
@@ -130,14 +144,14 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(size, np.int64)
         rank[np.lexsort((np.arange(size), traits["x1"], traits["y1"], -traits["confidence"]))] = np.arange(size)
         state, by = settle(hi, lo, rank, traits["complete"] > 0)
-        below = np.unique(lo)  # the others have nothing above them
-        below = below[state[below] != KEPT]
+        below, first = np.unique(lo, return_index=True)  # the others have nothing above them
+        open_or_dropped = state[below] != KEPT
+        below, first = below[open_or_dropped], first[open_or_dropped]
         dropped = state[below] == DROPPED
         at = pa.array(np.where(dropped, by[below], 0))
-        first = pa.array(np.zeros(len(below), np.int64))
         yield pa.RecordBatch.from_arrays(
             [
-                edges.column("map_name").combine_chunks().take(first), pa.array([values[k] for k in below.tolist()], edges.column("lo").type), pa.array(dropped),
+                edges.column("map_name").combine_chunks().take(pa.array(first)), edges.column("lo").combine_chunks().take(pa.array(first)), pa.array(dropped),
                 pa.compute.if_else(pa.array(dropped), edges.column("hi").combine_chunks().take(at), pa.scalar(None, edges.column("hi").type)),
                 pa.compute.if_else(pa.array(dropped), edges.column("overlap").combine_chunks().take(at), pa.scalar(None, pa.float64())),
             ],

@@ -3,10 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sheetlore.operators import detections as op
+from sheetlore.operators import suppression
 from sheetlore.session import cut_lineage
 
 SCHEMA = "map_name string, det_id bigint, text string, confidence double, x1 int, y1 int, x2 int, y2 int"
@@ -166,3 +168,22 @@ def test_legend(spark):
     assert got == {"a": 750, "b": 800, "c": 880}
     body = spark.createDataFrame([("a", 750), ("a", 751)], "map_name string, y2 int")
     assert op.map_body(body, op.legend_top(lines, maps)).select(F.max("y2")).first()[0] == 750
+
+
+def test_small_groups_are_settled_together():
+    """A batch of a thousand groups of two edges goes in one turn, cut anywhere; the third box of a chain comes free again."""
+    chain = [(1, 2, 0.9, 0.8), (2, 3, 0.8, 0.7)]
+    edges = pa.Table.from_pylist([
+        {"map_name": f"M{m:04d}", "cell": "0/0", "whole": "w", "part": f"0/0:{hi}", "other": f"0/0:{lo}", "hi": hi, "lo": lo, "overlap": 0.5}
+        | {f"{side}_{k}": v for side, c in (("hi", a), ("lo", b)) for k, v in (("confidence", c), ("y1", 0), ("x1", 0), ("complete", True))}
+        for m in range(1000) for hi, lo, a, b in chain
+    ])
+    for size in (2000, 333, 1):
+        batches = edges.to_batches(max_chunksize=size)
+        settled = list(suppression._settled(iter(batches)))
+        assert size == 1 or len(settled) <= len(batches) + 1
+        assert [(r["map_name"], r["det_id"], r["keeper"]) for b in settled for r in b.to_pylist()] == [(f"M{m:04d}", 2, 1) for m in range(1000)]
+        celled = [r["part"] for b in suppression._in_cells(iter(batches)) for r in b.to_pylist()]
+        assert celled == ["0/0:1"] * 2000
+        across = [(r["map_name"], r["part"], r["whole"]) for b in suppression._across_cells(iter(batches)) for r in b.to_pylist()]
+        assert across == [(f"M{m:04d}", f"0/0:{k}", "0/0:1") for m in range(1000) for k in (1, 2, 3)]
