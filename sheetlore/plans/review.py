@@ -102,11 +102,19 @@ def _(t):
     return op.training_rows_from_log(op.log_entries(t.review, _STAMP), exported)
 
 
+#: Line items whose reviews one file of the stream holds.
+ROWS_PER_FILE = 250_000
+
+
 def _streamed(t) -> tuple:
-    """The review table as a stream of files, taken in by several micro-batches, and a folder for results."""
+    """The review table as a stream of files, taken in by several micro-batches, and a folder for results.
+
+    Files hold a bounded number of rows, so there are more of them in a larger table; two batches take them in.
+    """
     home = f"{ensure_checkpoint_dir(t.spark)}/reviews-{uuid.uuid4().hex}"
-    t.review.repartition(4, "id").write.parquet(f"{home}/in")
-    return reviews.review_stream(t.spark, f"{home}/in", t.review.schema, files_per_batch=2), home
+    files = max(4, -(-t.lineitem.count() // ROWS_PER_FILE))
+    t.review.repartition(files, "id").write.parquet(f"{home}/in")
+    return reviews.review_stream(t.spark, f"{home}/in", t.review.schema, files_per_batch=-(-files // 2)), home
 
 
 @query(

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sheetlore.operators import merging
 from sheetlore.operators import review as rev
+from sheetlore.plans import review as review_plans
 from sheetlore.session import listed
 from sheetlore.sinks.feature_store import FeatureStore, PlaceTable, place_code
+from sheetlore.sources.mapped import Tables
 from sheetlore.streaming import reviews
 
 FEATURES = "id long, map_name string, session_id string, feature_name string, feature_type string, confidence double, survey_year string, verified int"
@@ -127,3 +129,12 @@ def test_streamed_reviews_equal_the_batch(spark, tmp_path):
     columns = entries.columns
     assert rows(spark.read.parquet(log).select(*columns)) == rows(entries)
     assert rows(spark.read.parquet(out).select(*reviews.ROW)) == rows(rev.training_rows_from_log(entries).distinct())
+
+
+def test_streamed_reviews_lie_in_files_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(review_plans, "ROWS_PER_FILE", 500)
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    _, home = review_plans._streamed(tables)
+    written = spark.read.parquet(f"{home}/in")
+    held = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == tables.review.count() and len(held) == -(-tables.lineitem.count() // 500) and max(held) < 1_000
