@@ -8,7 +8,6 @@ a failure is not worked out twice: what is staged is put in place again, what is
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +24,6 @@ class FeatureStore:
         self.spark, self.path = spark, path
 
     def create(self, features: DataFrame) -> FeatureStore:
-        # rows of a session are spread, so that a session with many rows is no single file
         self._by_session(features).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(SESSION).parquet(self._table)
         features.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")
         return self
@@ -35,7 +33,8 @@ class FeatureStore:
         return f"{self.path}/table"
 
     def _by_session(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(SESSION, F.pmod(F.xxhash64("id"), F.lit(8)))
+        """Rows of a session together; Spark cuts a large session into as many tasks as its size asks for, and joins small ones."""
+        return rows.hint("rebalance", SESSION)
 
     def read(self) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.path}/columns").schema
@@ -94,8 +93,11 @@ class FeatureStore:
 
 # --- by place ------------------------------------------------------------------------------------
 
-#: Rows that one folder of a table by place is meant to hold.
+#: Rows that one folder of a table by place holds, and that one task sorts by place.
 ROWS_PER_FOLDER = 1_000_000
+ROWS_PER_TASK = 1_000_000
+#: Boxes kept of a folder, at most: its range jumps, and a box over a jump holds much that the folder does not.
+BOXES = 16
 _SIDES = ("lat_min", "lat_max", "lon_min", "lon_max")
 
 
@@ -112,28 +114,38 @@ def place_code(latitude, longitude):
 
 
 class PlaceTable:
-    """Features in folders that are ranges of places, with the box that each folder's cells fill."""
+    """Features in folders that are ranges of places, with the boxes that parts of each folder's range fill."""
 
     def __init__(self, spark: SparkSession, path: str, per_folder: int = ROWS_PER_FOLDER):
         self.spark, self.path, self.per_folder = spark, path, per_folder
 
     def create(self, features: DataFrame) -> PlaceTable:
         code = place_code((F.col("lat_min") + F.col("lat_max")) / 2, (F.col("lon_min") + F.col("lon_max")) / 2)
-        folders = max(1, -(-features.count() // self.per_folder))
-        ranged = features.withColumn("_place", code).repartitionByRange(folders, "_place", "id").sortWithinPartitions("_place", "id")
-        ranged.withColumn("_folder", F.spark_partition_id()).drop("_place").write.mode("overwrite").partitionBy("_folder").parquet(f"{self.path}/table")
+        # tasks have ranges of places and cut them into folders as they write, so small folders are not as many tasks
+        tasks = max(1, -(-features.count() // max(ROWS_PER_TASK, self.per_folder)))
+        ranged = features.withColumn("_place", code).repartitionByRange(tasks, "_place", "id").sortWithinPartitions("_place", "id")
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        folder = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.floor(row / self.per_folder)
+        ranged.withColumn("_folder", folder).drop("_place").write.mode("overwrite").partitionBy("_folder").parquet(f"{self.path}/table")
         stored = self.spark.read.parquet(f"{self.path}/table")
-        box = [F.min("lat_min").alias("lat_min"), F.max("lat_max").alias("lat_max"), F.min("lon_min").alias("lon_min"), F.max("lon_max").alias("lon_max")]
-        stored.groupBy("_folder").agg(*box).write.mode("overwrite").parquet(f"{self.path}/boxes")
+        box = F.struct(F.min("lat_min").alias("lat_min"), F.max("lat_max").alias("lat_max"), F.min("lon_min").alias("lon_min"), F.max("lon_max").alias("lon_max"))
+        placed = stored.select("_folder", *_SIDES, code.alias("_place"))
+        ends = placed.groupBy("_folder").agg(F.min("_place").alias("_low"), F.max("_place").alias("_high"))
+        part = F.floor((F.col("_place") - F.col("_low")) * BOXES / (F.col("_high") - F.col("_low") + 1))
+        boxes = placed.join(ends, "_folder").groupBy("_folder", part.alias("part")).agg(box.alias("box"))
+        boxes.groupBy("_folder").agg(F.collect_list("box").alias("boxes")).write.mode("overwrite").parquet(f"{self.path}/boxes")
         return self
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/table").drop("_folder")
 
     def near(self, lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> DataFrame:
-        """Rows of the folders whose box meets the given one; others have no row there, nor rows without a place."""
+        """Rows of the folders one of whose boxes meets the given one; others have no row there, nor rows without a place."""
         box = dict(zip(_SIDES, (lat_min, lat_max, lon_min, lon_max), strict=True))
-        meets = [F.col("lat_min") <= box["lat_max"], F.col("lat_max") >= box["lat_min"], F.col("lon_min") <= box["lon_max"], F.col("lon_max") >= box["lon_min"]]
-        boxes = self.spark.read.parquet(f"{self.path}/boxes").filter(reduce(lambda a, b: a & b, meets))
+
+        def meets(own):
+            return (own["lat_min"] <= box["lat_max"]) & (own["lat_max"] >= box["lat_min"]) & (own["lon_min"] <= box["lon_max"]) & (own["lon_max"] >= box["lon_min"])
+
+        boxes = self.spark.read.parquet(f"{self.path}/boxes").filter(F.exists("boxes", meets))
         folders = sorted(r["_folder"] for r in boxes.select("_folder").collect())  # one number per folder
         return self.spark.read.parquet(f"{self.path}/table").filter(F.col("_folder").isin(folders)).drop("_folder")

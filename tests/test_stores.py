@@ -9,6 +9,7 @@ from sheetlore.operators import merging
 from sheetlore.operators import review as rev
 from sheetlore.plans import review as review_plans
 from sheetlore.session import listed
+from sheetlore.sinks import feature_store
 from sheetlore.sinks.feature_store import FeatureStore, PlaceTable, place_code
 from sheetlore.sources.mapped import Tables
 from sheetlore.streaming import reviews
@@ -138,3 +139,23 @@ def test_streamed_reviews_lie_in_files_of_bounded_size(spark, monkeypatch):
     written = spark.read.parquet(f"{home}/in")
     held = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
     assert sum(held) == tables.review.count() and len(held) == -(-tables.lineitem.count() // 500) and max(held) < 1_000
+
+
+def test_small_folders_are_no_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([(k, k / 100, k / 100, 1.0, 1.0) for k in range(5000)], "id long, lat_min double, lat_max double, lon_min double, lon_max double")
+    monkeypatch.setattr(feature_store, "ROWS_PER_TASK", 2_500)
+    table = PlaceTable(spark, str(tmp_path / "places"), per_folder=50).create(frame)
+    held = spark.read.parquet(f"{table.path}/table").groupBy("_folder").count()
+    assert held.agg(F.max("count")).first()[0] == 50 and held.select(F.shiftright("_folder", 33)).distinct().count() == 2
+    assert rows(table.read()) == rows(frame) and rows(table.near(3, 4, 0, 2).filter("lat_min BETWEEN 3 AND 4")) == rows(frame.filter("lat_min BETWEEN 3 AND 4"))
+
+
+def test_a_large_session_is_cut_by_its_size(spark, tmp_path, monkeypatch):
+    frame = spark.range(0, 200_000, 1, 16).select("id", F.md5(F.col("id").cast("string")).alias("map_name"), F.lit("S1").alias("session_id"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        store = FeatureStore(spark, str(tmp_path / "large")).create(frame)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len([n for n, _, _ in files(store)["session_id=S1"] if n.endswith(".parquet")]) > 8 and store.read().count() == 200_000
