@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytecode of the largest method that the JVM compiles; it interprets a larger one, several times slower.
+COMPILED_METHOD = 8000
+
 
 def build_session(app_name: str = "sheetlore", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; every setting can be overridden."""
@@ -19,6 +22,7 @@ def build_session(app_name: str = "sheetlore", master: str | None = None, **conf
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.codegen.hugeMethodLimit": str(COMPILED_METHOD),
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
@@ -30,6 +34,16 @@ def build_session(app_name: str = "sheetlore", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def keep_stages_compiled(spark: SparkSession) -> None:
+    """Run a stage of many wide expressions in pieces if its one method would be too large for the JVM to compile.
+
+    For sessions that were not built here; wide mapped tables pass the bound with few expressions on top.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key)) > COMPILED_METHOD:
+        spark.conf.set(key, COMPILED_METHOD)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for ``DataFrame.checkpoint``.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetlore.session import spread
+from sheetlore.session import keep_stages_compiled, spread
 
 IMAGE_WIDTH = 5000
 IMAGE_HEIGHT = 7000
@@ -315,6 +315,7 @@ class Tables:
     """Warehouse and mapped tables of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        keep_stages_compiled(spark)
         self.spark = spark
         self.folder = folder
 

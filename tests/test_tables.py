@@ -21,6 +21,16 @@ def tables(spark):
     return Tables(spark, FOLDER)
 
 
+def test_wide_stages_are_compiled_in_pieces(spark):
+    key, rows = "spark.sql.codegen.hugeMethodLimit", []
+    for limit in (65535, 8000):
+        viewer = exports.viewer_rows(Tables(spark, FOLDER).features)
+        assert int(spark.conf.get(key)) <= 8000  # also in a session that was not built by this package
+        spark.conf.set(key, limit)
+        rows.append(sorted(map(tuple, viewer.collect()), key=repr))
+    assert rows[0] == rows[1] and rows[0]
+
+
 def test_feature_table_round_trip(spark, tables, tmp_path):
     path = str(tmp_path / "features")
     exports.write_feature_table(tables.features, path)
