@@ -8,14 +8,24 @@ itself; ``stored_index`` answers the same queries from an index.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sheetlore.session import ship_package, small_side
 
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 HITS = 50
 #: Stands between the columns of a row in its text; no phrase reaches across it.
 COLUMN_END = "\x1f"
+#: Texts that a counting task gets at once, and texts whose words it counts together.
+TEXTS, TOGETHER = 1024, 64
 
 
 def words_of(text: Column) -> Column:
@@ -39,12 +49,44 @@ def feature_corpus(features: DataFrame) -> DataFrame:
 def postings(corpus: DataFrame) -> DataFrame:
     """``(term, id, tf, n_words)``: how often each word occurs in each document.
 
-    Counting is partial before the shuffle; its key holds the document, so a word that every
-    document uses is spread over all tasks.
+    A text is counted where it is read. Only ids that several rows share are shuffled: theirs are added up,
+    partially before the shuffle, whose key holds the word and the document.
     """
     words = corpus.select("id", words_of(F.col("text")).alias("words"))
-    exploded = words.select("id", F.size("words").alias("n_words"), F.explode("words").alias("term"))
-    return exploded.groupBy("term", "id", "n_words").agg(F.count("*").alias("tf")).select("term", "id", "tf", "n_words")
+    shared = small_side(corpus.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("id").alias("again")))
+    same = F.col("id").eqNullSafe(F.col("again"))
+    once = _counted(words.join(shared, same, "left_anti"))
+    added = _counted(words.join(shared, same, "left_semi")).groupBy("term", "id", "n_words").agg(F.sum("tf").alias("tf"))
+    return once.unionByName(added)
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    """Postings of each row of (id, words)."""
+    spark = words.sparkSession
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS:
+        spark.conf.set(key, TEXTS)
+    one = StructType([words.schema["id"]]).simpleString()[len("struct<"):-1]
+    return words.mapInArrow(_count, f"term string, {one}, tf long, n_words int")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, TOGETHER):
+            rows = batch.slice(begin, TOGETHER)
+            lists = rows.column("words")
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            n_words = pa.compute.list_value_length(lists).fill_null(0)
+            row = np.repeat(np.arange(rows.num_rows), n_words.to_numpy())
+            key, tf = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+            row, code = (pa.array(part) for part in np.divmod(key, len(coded.dictionary)))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(code), rows.column("id").take(row), pa.array(tf, pa.int64()), n_words.take(row)],
+                ["term", "id", "tf", "n_words"],
+            )
 
 
 def query_postings(corpus: DataFrame, terms: list[str], prefix: bool = False) -> DataFrame:

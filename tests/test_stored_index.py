@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,28 @@ def test_postings_equal_those_of_the_corpus(index, corpus):
     assert tuple(index.facts().first()) == tuple(facts)
 
 
+def test_words_are_counted_where_the_texts_are(spark, corpus):
+    frame = search.postings(corpus)
+    assert frame.collect()
+    assert "hashpartitioning(term" not in plan(frame).split("Initial Plan")[0]
+
+
+def test_rows_that_share_an_id_count_as_one_document(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["Koel", "nadi,", "x1", "Évora", "--"]) for _ in range(rng.choice([0, 1, 3, 3, 40]))) for _ in range(600)]
+    # a third of the rows have one id, some have none, some no text
+    data = [(None if k % 11 == 0 else 7 if k % 3 == 0 else k // 2 if k % 5 == 0 else k + 1000, None if k % 13 == 0 else text) for k, text in enumerate(texts)]
+    want = Counter()
+    for key, text in data:
+        words = re.findall(r"\w+", (text or "").lower())
+        want.update((word, key, len(words)) for word in words)
+    for part in (data, [row for row in data if row[0] and row[0] > 1000], []):
+        got = search.postings(spark.createDataFrame(part, "id long, text string").repartition(5)).collect()
+        kept = {(r.term, r.id, r.n_words): r.tf for r in got}
+        ids = {row[0] for row in part}
+        assert len(kept) == len(got) and kept == {key: n for key, n in want.items() if key[1] in ids}
+
+
 def test_words_and_prefixes_read_few_folders(index, corpus):
     everything = index.blocks()[0][1].sparkSession.read.parquet(f"{index.path}/{index.segments()[0].folder}/postings").select("bucket").distinct().count()
     assert everything > 20
