@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,21 @@ def keep_stages_compiled(spark: SparkSession) -> None:
         spark.conf.set(key, COMPILED_METHOD)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Files that a write inside shuffles are removed when it ends, not when the driver happens to collect its garbage.
+
+    For jobs of several large writes, whose shuffles would otherwise lie on the disks all at once.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for ``DataFrame.checkpoint``.
 

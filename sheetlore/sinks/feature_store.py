@@ -1,20 +1,19 @@
 """A feature table stored by session, changed in place: only folders of touched sessions are written anew.
 
-A change reads the touched sessions, writes them to a staging folder named by the operation and then
-puts them over the table's folders by dynamic partition overwrite. An operation that comes again after
-a failure is not worked out twice: what is staged is put in place again, what is done is left alone.
+A change reads the touched sessions, writes them to a staging folder named by the operation, a folder per
+session, and then moves these folders over the table's. An operation that comes again after a failure is
+not worked out twice: what is staged is put in place again, what is done is left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetlore.functions.texts import stripped
 from sheetlore.operators import merging
-from sheetlore.session import listed
+from sheetlore.session import listed, shuffles_removed, small_side
 
 SESSION = "session_id"
 
@@ -24,7 +23,9 @@ class FeatureStore:
         self.spark, self.path = spark, path
 
     def create(self, features: DataFrame) -> FeatureStore:
-        self._by_session(features).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(SESSION).parquet(self._table)
+        # Spark cuts a large session into as many tasks as its size asks for, and joins small ones
+        with shuffles_removed(self.spark):
+            self._write(features.hint("rebalance", SESSION), self._table)
         features.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")
         return self
 
@@ -32,46 +33,87 @@ class FeatureStore:
     def _table(self) -> str:
         return f"{self.path}/table"
 
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(SESSION).parquet(path)
+
     def _by_session(self, rows: DataFrame) -> DataFrame:
-        """Rows of a session together; Spark cuts a large session into as many tasks as its size asks for, and joins small ones."""
-        return rows.hint("rebalance", SESSION)
+        """Rows in ranges of session and id: rows of an id are in one task, and a session is in as many as its size asks for."""
+        return rows.repartitionByRange(SESSION, "id")
 
     def read(self) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.path}/columns").schema
         return self.spark.read.schema(schema).parquet(self._table).select(*schema.names)
 
-    def _change(self, operation: str, touched: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]) -> None:
-        """Put ``change`` of the touched sessions' rows in their place; ``touched`` gives rows of these sessions."""
+    def _change(self, operation: str, touched: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Put changed rows in place of all rows of the touched sessions.
+
+        ``touched`` gives rows with these sessions and any column besides. ``change`` gets all rows of
+        these sessions and what ``touched`` gave; it leaves rows of a session in few tasks.
+        """
         home = f"{self.path}/operations/{operation}"
         state = {name for name, _, _ in listed(self.spark, home)}
         if "done" in state:
             return
+        rows = self.read()
         if "ready" not in state:
-            rows = self.read()
-            touched(rows).select(SESSION).distinct().write.mode("overwrite").parquet(f"{home}/sessions")
-            sessions = self.spark.read.parquet(f"{home}/sessions")
-            changed = change(rows.join(sessions, SESSION, "left_semi"))
-            self._by_session(changed).write.mode("overwrite").parquet(f"{home}/rows")
-            sessions.limit(0).write.mode("overwrite").parquet(f"{home}/ready")
-        staged = self.spark.read.parquet(f"{home}/rows")
-        emptied = self.spark.read.parquet(f"{home}/sessions").join(staged.select(SESSION).distinct(), SESSION, "left_anti")
-        self._by_session(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SESSION).parquet(self._table)
-        names = {r[0] for r in emptied.select(F.format_string(f"{SESSION}=%s", F.col(SESSION))).collect()}  # one row per session left without rows
-        jvm = self.spark._jvm
-        for name, _, _ in listed(self.spark, self._table):
-            if name in names:
-                folder = jvm.org.apache.hadoop.fs.Path(f"{self._table}/{name}")
-                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        staged.limit(0).write.mode("overwrite").parquet(f"{home}/done")
+            with shuffles_removed(self.spark):
+                hit = touched(rows)
+                self._write(hit, f"{home}/touched")
+                hit = self.spark.read.schema(hit.schema).parquet(f"{home}/touched")
+                sessions = small_side(hit.select(F.col(SESSION).alias("_session")).distinct())
+                self._write(change(rows.join(sessions, F.col(SESSION).eqNullSafe(F.col("_session")), "left_semi"), hit), f"{home}/rows")
+            self._mark(home, "ready")
+        staged = self._folders(f"{home}/rows")
+        if "cleared" not in state:  # sessions left without rows; once folders are moved these can't be told from others
+            for name in self._folders(f"{home}/touched") - staged:
+                self._delete(f"{self._table}/{name}")
+            self._mark(home, "cleared")
+        for name in sorted(staged):
+            self._delete(f"{self._table}/{name}")
+            self._move(f"{home}/rows/{name}", f"{self._table}/{name}")
+        self._mark(home, "done")
+        self._delete(f"{home}/touched")
+
+    def _mark(self, home: str, state: str) -> None:
+        self.read().limit(0).write.mode("overwrite").parquet(f"{home}/{state}")
+
+    def _folders(self, path: str) -> set[str]:
+        return {name for name, _, _ in listed(self.spark, path) if name.startswith(f"{SESSION}=")}
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def _move(self, path: str, to: str) -> None:
+        old, new = (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+        if not old.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(old, new):
+            raise OSError(f"{path} could not be moved to {to}")
 
     def apply_verdicts(self, operation: str, review: DataFrame, mark_verified: bool = False, order: str = "row_no") -> None:
-        """As ``merging.apply_verdicts``, in the sessions that hold a reviewed feature."""
-        decided = review.filter(F.upper(stripped("verified_correct")).isin("Y", "N")).select("id")
-        self._change(operation, lambda rows: rows.join(decided, "id", "left_semi"), lambda rows: merging.apply_verdicts(rows, review, mark_verified, order))
+        """As ``merging.apply_verdicts``, in the sessions that hold a reviewed feature.
+
+        Decisions get the session of their feature from ids alone; then whole rows and decisions are
+        shuffled together, once, and leave the tasks as they are to lie in the table.
+        """
+
+        def decided(rows: DataFrame) -> DataFrame:
+            return self._by_session(rows.select(SESSION, "id").join(merging.decisions(review, order), "id"))
+
+        def change(rows: DataFrame, decided: DataFrame) -> DataFrame:
+            both = rows.withColumn("_row", F.lit(True)).unionByName(decided, allowMissingColumns=True)
+            own = Window.partitionBy(SESSION, "id")
+            joined = self._by_session(both).withColumns({c: F.max(c).over(own) for c in ("fix", "confirmed")}).filter("_row")
+            return merging.with_decisions(joined, mark_verified).select(*rows.columns)
+
+        self._change(operation, decided, change)
 
     def rename_maps(self, operation: str, renames: DataFrame) -> None:
         old = renames.select(F.col("old_name").alias("map_name"))
-        self._change(operation, lambda rows: rows.join(old, "map_name", "left_semi"), lambda rows: merging.rename_maps(rows, renames))
+        self._change(
+            operation,
+            lambda rows: rows.join(old, "map_name", "left_semi").groupBy(SESSION).count(),
+            lambda rows, _: self._by_session(merging.rename_maps(rows, renames)),
+        )
 
     def delete_maps(self, operation: str, doomed: DataFrame, session_id: str | None = None) -> DataFrame:
         """Delete maps, in one session or everywhere; returns how many rows each lost (map_name, deleted)."""
@@ -82,13 +124,17 @@ class FeatureStore:
 
         def touched(rows: DataFrame) -> DataFrame:
             hit = rows.join(doomed.select("map_name"), "map_name", "left_semi")
-            return hit if session_id is None else hit.filter(F.col(SESSION) == session_id)
+            return (hit if session_id is None else hit.filter(F.col(SESSION) == session_id)).groupBy(SESSION).count()
 
-        self._change(operation, touched, lambda rows: merging.delete_maps(rows, doomed, session_id))
+        self._change(operation, touched, lambda rows, _: self._by_session(merging.delete_maps(rows, doomed, session_id).select(*rows.columns)))
         return self.spark.read.parquet(f"{home}/counts")
 
     def patch_column(self, operation: str, map_pattern: str, column: str, value) -> None:
-        self._change(operation, lambda rows: rows.filter(F.col("map_name").ilike(map_pattern)), lambda rows: merging.patch_column(rows, map_pattern, column, value))
+        self._change(
+            operation,
+            lambda rows: rows.filter(F.col("map_name").ilike(map_pattern)).groupBy(SESSION).count(),
+            lambda rows, _: self._by_session(merging.patch_column(rows, map_pattern, column, value)),
+        )
 
 
 # --- by place ------------------------------------------------------------------------------------

@@ -1,6 +1,9 @@
 """Stored tables changed in place, read by place, and review files as a stream."""
 
 import random
+import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +162,71 @@ def test_a_large_session_is_cut_by_its_size(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert len([n for n, _, _ in files(store)["session_id=S1"] if n.endswith(".parquet")]) > 8 and store.read().count() == 200_000
+
+
+def shuffle_bytes(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(file.stat().st_size for folder in folders for file in Path(folder).rglob("shuffle_*.data") if file.exists())
+
+
+@pytest.fixture()
+def staged(monkeypatch):
+    """What each operation's staged rows are shuffled by."""
+    plain, seen = FeatureStore._write, {}
+
+    def spied(self, frame, path):
+        if path.endswith("/rows"):
+            seen[path.split("/")[-2]] = re.findall(r"(?<!Broadcast)Exchange (\w+)", frame._jdf.queryExecution().executedPlan().toString())
+        plain(self, frame, path)
+
+    monkeypatch.setattr(FeatureStore, "_write", spied)
+    return seen
+
+
+def test_what_a_change_shuffles_goes_when_it_ends(spark, tmp_path):
+    frame = spark.range(0, 60_000, 1, 8).selectExpr("id", "md5(string(id)) AS map_name", "concat('S', id % 3) AS session_id", "md5(string(id + 1)) AS feature_name", "'river' AS feature_type", "0.5D AS confidence", "'1' AS survey_year", "0 AS verified")
+    review = spark.range(0, 60_000, 2, 8).selectExpr("id AS row_no", "id", "'o' AS original_text", "'x' AS feature_name", "'river' AS feature_type", "'Y' AS verified_correct", "'' AS verified_name", "'' AS verified_type")
+    before = shuffle_bytes(spark)
+    store = FeatureStore(spark, str(tmp_path / "store")).create(frame)
+    store.apply_verdicts("one", review)
+    until = time.time() + 20
+    while shuffle_bytes(spark) > before + 100_000 and time.time() < until:  # files are removed in the background
+        time.sleep(0.2)
+    assert shuffle_bytes(spark) <= before + 100_000  # one shuffle of these rows has some megabytes
+    assert store.read().filter("confidence > 0.6").count() == 30_000
+
+
+def test_verdicts_shuffle_whole_rows_once(spark, features, tmp_path, staged):
+    # an id in several sessions and twice in one, sessions without a name or with an odd one
+    odd = spark.createDataFrame([(2, "M2", "S8", "b", "lake", 0.2, "1", 0), (2, "M2", "S8", "c", None, None, "1", 0), (901, "M2", None, "d", "lake", 0.3, "1", 0), (902, "M9", "a/b=c d", "e", "lake", 0.4, "1", 0), (None, "M9", "S8", "f", "lake", 0.4, "1", 0)], FEATURES)
+    everything = features.unionByName(odd)
+    store = FeatureStore(spark, str(tmp_path / "odd")).create(everything)
+    review = spark.createDataFrame(
+        [(1, 2, "M", "o", "old", "river", "Y", "", ""), (2, 2, "M", "o", "old", "river", "N", "first", "lake"), (3, 2, "M", "o", " old ", " river", "n", "", ""), (4, 901, "M", "o", "x", "y", "y", "", ""),
+         (5, 901, "M", "o", "x", "y", "y", "", ""), (6, 902, "M", "o", None, None, "N", "", None), (7, None, "M", "o", "x", "y", "N", "q", "q"), (8, 3, "M", "o", "x", "y", "SKIP", "q", "q")], REVIEW)
+    store.apply_verdicts("one", review, mark_verified=True)
+    want = merging.apply_verdicts(everything, review, mark_verified=True)
+    assert rows(store.read()) == rows(want) and staged == {"one": ["rangepartitioning"]}
+    doomed = spark.createDataFrame([("M9",)], "map_name string")
+    store.delete_maps("two", doomed)
+    assert rows(store.read()) == rows(merging.delete_maps(want, doomed).select(*features.columns)) and len(files(store)) == len({r[2] for r in rows(store.read())})
+
+
+def test_a_change_that_broke_off_between_folders_is_finished(spark, features, store, monkeypatch):
+    doomed = spark.createDataFrame([("M1",), ("M3",), ("M5",), ("M2",)], "map_name string")
+    alone = spark.createDataFrame([(900, "M2", "S9", "x", "lake", 0.9, "1", 0)], FEATURES)
+    everything = features.unionByName(alone)
+    store = FeatureStore(spark, store.path + "3").create(everything)
+    plain, moved = FeatureStore._move, []
+
+    def breaks(self, path, to):
+        moved.append(path)
+        if len(moved) == 3:  # the old folder is gone, the new one not yet there
+            raise RuntimeError("lost")
+        plain(self, path, to)
+
+    monkeypatch.setattr(FeatureStore, "_move", breaks)
+    with pytest.raises(RuntimeError):
+        store.delete_maps("gone", doomed)
+    store.delete_maps("gone", doomed)
+    assert rows(store.read()) == rows(merging.delete_maps(everything, doomed).select(*features.columns)) and "session_id=S9" not in files(store)
