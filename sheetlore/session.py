@@ -127,13 +127,17 @@ def spread(df: DataFrame, least_bytes: int = 4 * 1024 * 1024) -> DataFrame:
     return df.repartition(cores) if least_bytes <= size < split * cores else df
 
 
+def is_small(written: DataFrame, most_rows: int = 50_000, most_bytes: int = 8 * 1024 * 1024) -> bool:
+    """Whether a table that was written has at most so many rows and bytes; no more than ``most_rows`` + 1 rows are looked at."""
+    measured = written.limit(most_rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+    return measured["n"] <= most_rows and (measured["size"] or 0) <= most_bytes
+
+
 def small_side(df: DataFrame, most_rows: int = 50_000, most_bytes: int = 8 * 1024 * 1024) -> DataFrame:
     """``df`` evaluated once and, when it is small, marked for broadcast.
 
     For join sides that are derived by aggregation, whose size the optimizer cannot know in
-    advance: a table of one row per map may be tiny or huge, and rows may hold long arrays. No
-    more than ``most_rows`` + 1 rows are looked at.
+    advance: a table of one row per map may be tiny or huge, and rows may hold long arrays.
     """
     written = cut_lineage(df)
-    measured = written.limit(most_rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
-    return F.broadcast(written) if measured["n"] <= most_rows and (measured["size"] or 0) <= most_bytes else written
+    return F.broadcast(written) if is_small(written, most_rows, most_bytes) else written

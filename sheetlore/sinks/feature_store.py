@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetlore.operators import merging
-from sheetlore.session import listed, shuffles_removed, small_side
+from sheetlore.session import cut_lineage, is_small, listed, shuffles_removed, small_side
 
 SESSION = "session_id"
+#: A list of maps up to this size is broadcast, so rows stay in the task that reads them; with a longer one they are shuffled.
+LISTED_MAPS = 500_000
+LISTED_BYTES = 32 * 1024 * 1024
 
 
 class FeatureStore:
@@ -107,26 +110,28 @@ class FeatureStore:
 
         self._change(operation, decided, change)
 
+    def _change_maps(self, operation: str, maps: DataFrame, name: str, change: Callable[[DataFrame, DataFrame], DataFrame], session_id: str | None = None) -> None:
+        """Change the sessions, or the one given, that have a map listed in the column ``name`` of ``maps``."""
+        small = is_small(maps, LISTED_MAPS, LISTED_BYTES)
+        maps = F.broadcast(maps) if small else maps
+
+        def touched(rows: DataFrame) -> DataFrame:
+            hit = rows.join(maps.select(F.col(name).alias("map_name")), "map_name", "left_semi")
+            return (hit if session_id is None else hit.filter(F.col(SESSION) == session_id)).groupBy(SESSION).count()
+
+        self._change(operation, touched, lambda rows, _: change(rows, maps) if small else self._by_session(change(rows, maps)))
+
     def rename_maps(self, operation: str, renames: DataFrame) -> None:
-        old = renames.select(F.col("old_name").alias("map_name"))
-        self._change(
-            operation,
-            lambda rows: rows.join(old, "map_name", "left_semi").groupBy(SESSION).count(),
-            lambda rows, _: self._by_session(merging.rename_maps(rows, renames)),
-        )
+        self._change_maps(operation, cut_lineage(renames.select("old_name", "new_name")), "old_name", merging.rename_maps)
 
     def delete_maps(self, operation: str, doomed: DataFrame, session_id: str | None = None) -> DataFrame:
         """Delete maps, in one session or everywhere; returns how many rows each lost (map_name, deleted)."""
         home = f"{self.path}/operations/{operation}"
+        doomed = cut_lineage(doomed.select("map_name"))
         if not listed(self.spark, f"{home}/counts/_SUCCESS"):
             rows = self.read() if session_id is None else self.read().filter(F.col(SESSION) == session_id)
             merging.deletion_counts(rows, doomed).write.mode("overwrite").parquet(f"{home}/counts")
-
-        def touched(rows: DataFrame) -> DataFrame:
-            hit = rows.join(doomed.select("map_name"), "map_name", "left_semi")
-            return (hit if session_id is None else hit.filter(F.col(SESSION) == session_id)).groupBy(SESSION).count()
-
-        self._change(operation, touched, lambda rows, _: self._by_session(merging.delete_maps(rows, doomed, session_id).select(*rows.columns)))
+        self._change_maps(operation, doomed, "map_name", lambda rows, maps: merging.delete_maps(rows, maps, session_id).select(*rows.columns), session_id)
         return self.spark.read.parquet(f"{home}/counts")
 
     def patch_column(self, operation: str, map_pattern: str, column: str, value) -> None:

@@ -230,3 +230,20 @@ def test_a_change_that_broke_off_between_folders_is_finished(spark, features, st
         store.delete_maps("gone", doomed)
     store.delete_maps("gone", doomed)
     assert rows(store.read()) == rows(merging.delete_maps(everything, doomed).select(*features.columns)) and "session_id=S9" not in files(store)
+
+
+@pytest.mark.parametrize("longest", [feature_store.LISTED_MAPS, 1])
+def test_renaming_and_deleting_few_maps_shuffle_no_rows(spark, features, store, staged, monkeypatch, longest):
+    monkeypatch.setattr(feature_store, "LISTED_MAPS", longest)
+    renames = spark.createDataFrame([("M4", "M4b"), ("M7", "M7 b"), ("not there", "x")], "old_name string, new_name string")
+    doomed = spark.createDataFrame([("M4b",), ("M9",)], "map_name string")
+    store.rename_maps("one", renames)
+    want = merging.rename_maps(features, renames)
+    assert rows(store.read()) == rows(want)
+    deleted = store.delete_maps("two", doomed)
+    assert rows(deleted) == rows(merging.deletion_counts(want, doomed))
+    assert rows(store.read()) == rows(merging.delete_maps(want, doomed).select(*features.columns))
+    if longest > 1:
+        assert staged == {"one": [], "two": []}
+    else:  # a long list may be shuffled, and rows of a session come together again
+        assert all(kinds[0] == "rangepartitioning" for kinds in staged.values())
