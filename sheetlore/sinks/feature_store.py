@@ -138,7 +138,7 @@ class FeatureStore:
         self._change(
             operation,
             lambda rows: rows.filter(F.col("map_name").ilike(map_pattern)).groupBy(SESSION).count(),
-            lambda rows, _: self._by_session(merging.patch_column(rows, map_pattern, column, value)),
+            lambda rows, _: merging.patch_column(rows, map_pattern, column, value),
         )
 
 

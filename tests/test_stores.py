@@ -247,3 +247,12 @@ def test_renaming_and_deleting_few_maps_shuffle_no_rows(spark, features, store,
         assert staged == {"one": [], "two": []}
     else:  # a long list may be shuffled, and rows of a session come together again
         assert all(kinds[0] == "rangepartitioning" for kinds in staged.values())
+
+
+def test_patching_shuffles_no_rows(spark, features, store, staged):
+    before = files(store)
+    store.patch_column("one", "%m1_", "survey_year", "1950")
+    assert rows(store.read()) == rows(merging.patch_column(features, "%m1_", "survey_year", "1950")) and staged == {"one": []}
+    assert {name: len(listing) for name, listing in files(store).items()} == {name: len(listing) for name, listing in before.items()}
+    store.patch_column("none", "no such map", "survey_year", "1")
+    assert rows(store.read()) == rows(merging.patch_column(features, "%m1_", "survey_year", "1950"))
